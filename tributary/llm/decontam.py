@@ -9,8 +9,8 @@ The automaton is broadcast only up to ``max_block_bytes`` of patterns; a larger
 every block is an automaton of its own, and each pass adds its word ranges to those of the passes before.
 
 Defined results: a null or wordless text has no words and is clean; an empty benchmark leaves every document clean;
-repeated items are separate items that share windows; repeated document rows give a row each in ``scan`` and
-``report``; ``decontaminate`` drops every row of an id that is contaminated and keeps all columns of the others.
+repeated items are separate items that share windows; repeated document rows are judged row by row;
+``decontaminate`` keeps all columns, whatever their names (but for names that begin with ``_hit_``).
 """
 
 from __future__ import annotations
@@ -46,15 +46,15 @@ def windows(text: str | None, width: int = WINDOW) -> list[str]:
 
 def item_blocks(benchmark: DataFrame, width: int, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks whose patterns stay under ``limit`` bytes; rows arrive one partition at a time."""
-    block, size = [], 0
+    block, size, seen = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         need = len(row[1] or "") * width
         if block and size + need > limit:
             yield block
-            block, size = [], 0
+            block, size, seen = [], 0, True
         block.append((row[0], row[1]))
         size += need
-    if block:
+    if block or not seen:
         yield block
 
 
@@ -101,9 +101,9 @@ def word_offsets(text: str) -> np.ndarray:
     return np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
 
 
-_HITS = "doc_id long, text string, n_words long, spans array<array<long>>, chars array<array<long>>, items array<string>"
 _PAIRS = pa.list_(pa.list_(pa.int64()))
-_KINDS = (pa.string(), pa.int64(), _PAIRS, _PAIRS, pa.list_(pa.string()))
+#: What a scan adds to a row, under names that no table is expected to have.
+_ADDED = {"_hit_words": pa.int64(), "_hit_spans": _PAIRS, "_hit_chars": _PAIRS, "_hit_items": pa.list_(pa.string())}
 
 
 def _united(ranges: list) -> list[list[int]]:
@@ -117,51 +117,49 @@ def _united(ranges: list) -> list[list[int]]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """Per document row: doc_id, n_words, spans (word ranges hit), chars (the same as character ranges of the original
-    text), items (ids of items with windows that occur, sorted as strings)."""
-    spark = docs.sparkSession
-    none = lambda kind: F.array().cast(kind)
-    found = docs.select(
-        F.col("doc_id").cast("long"),
-        F.col("text").cast("string"),
-        F.lit(0).cast("long").alias("n_words"),
-        none("array<array<long>>").alias("spans"),
-        none("array<array<long>>").alias("chars"),
-        none("array<string>").alias("items"),
+def _with_hits(docs: DataFrame, benchmark: DataFrame, width: int, max_block_bytes: int) -> DataFrame:
+    """The rows of ``docs`` with the columns of _ADDED. One pass over the texts for each block of items."""
+    spark, ranges = docs.sparkSession, F.array().cast("array<array<long>>")
+    found = docs.withColumn("text", F.col("text").cast("string")).withColumns(
+        {"_hit_words": F.lit(0).cast("long"), "_hit_spans": ranges, "_hit_chars": ranges, "_hit_items": F.array().cast("array<string>")}
     )
-    work = list(item_blocks(benchmark, width, max_block_bytes)) or [[]]
-    for number, block in enumerate(work):
+    for block in item_blocks(benchmark, width, max_block_bytes):
         shared = spark.sparkContext.broadcast((width, block))
-        last = number == len(work) - 1
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             auto, patterns = _automaton(shared)
             for batch in batches:
-                rows: list[list] = [[], [], [], [], []]
-                texts, earlier, known = (batch.column(i).to_pylist() for i in (1, 3, 5))
-                for text, old, had in zip(texts, earlier, known, strict=True):
+                rows: dict[str, list] = {name: [] for name in _ADDED}
+                columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                before = zip(columns["_hit_spans"].to_pylist(), columns["_hit_items"].to_pylist(), strict=True)
+                for text, (old, had) in zip(columns["text"].to_pylist(), before, strict=True):
                     n, ranges, items = _matches(text, auto, patterns)
                     spans = _united([*(old or []), *ranges])
                     at = word_offsets(text) if spans else None
                     chars = [[int(at[lo, 0]), int(at[hi - 1, 1])] for lo, hi in spans]
-                    values = (None if last else text, n, spans, chars, sorted({*(had or []), *items}))
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-                arrays = [pa.array(x, k) for x, k in zip(rows, _KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "text", "n_words", "spans", "chars", "items"])
+                    for name, value in zip(_ADDED, (n, spans, chars, sorted({*(had or []), *items})), strict=True):
+                        rows[name].append(value)
+                columns |= {name: pa.array(rows[name], kind) for name, kind in _ADDED.items()}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        found = found.mapInArrow(find, _HITS)
-    return found.drop("text")
+        found = found.mapInArrow(find, found.schema)
+    return found
 
 
-def n_hit():
-    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """Per document row: doc_id, n_words, spans (word ranges hit), chars (the same as character ranges of the original
+    text), items (ids of items with windows that occur, sorted as strings)."""
+    hits = _with_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, width, max_block_bytes)
+    return hits.select("doc_id", *(F.col(f"_hit_{x}").alias("n_words" if x == "words" else x) for x in ("words", "spans", "chars", "items")))
+
 
+def n_hit(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
 
-def is_contaminated():
+
+def is_contaminated(spans: str = "spans", words: str = "n_words"):
     """At least one word is hit, and a twentieth of all words."""
-    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+    return (n_hit(spans) > 0) & (20 * n_hit(spans) >= F.col(words))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -176,8 +174,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = scan(docs, benchmark, width).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """The document rows that are not contaminated, with all their columns. No shuffle: rows pass through the scan."""
+    hits = _with_hits(docs, benchmark, width, max_block_bytes)
+    return hits.where(~is_contaminated("_hit_spans", "_hit_words")).select(*docs.columns)

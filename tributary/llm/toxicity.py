@@ -340,6 +340,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    bad = score(docs, model, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The document rows that are not rejected, with all their columns. No shuffle: rows pass through the scoring."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon.parts_of(), model.weights, model.mean, model.scale))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, *rest = shared.value
+        own = Model(Lexicon(*terms), *rest)
+        for batch in batches:
+            for lo, hi in column_blocks(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                yield part.filter(pa.array(own.score(features(part.column(at), [own.lexicon])) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
