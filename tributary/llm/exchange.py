@@ -2,7 +2,8 @@
 
 Documents are dealt to groups by a hash of their id. A group sends each of its distinct hashes once, packed into one
 binary row per bucket of the hash space; a bucket merges what all groups sent and answers each group in the order of its
-keys; the group, read again together with the answers, knows of each hash what the whole corpus says. A hash that occurs
+keys; the group, read again together with the answers, knows of each hash what the whole corpus says. The numbers of
+groups and buckets follow the number of documents, so that messages stay few and large. A hash that occurs
 in a third of all documents costs a bucket one entry a group, not one a document, so that hot passages and large groups
 of copies do not meet in one task, and an exchanged hash takes a few bytes instead of a row.
 """
@@ -16,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.session import shuffle_partitions
-
-MAX_GROUP = 20_000
+#: Documents in a group at least (below MIN_GROUPS groups) and at most, and for each bucket.
+MIN_GROUP, MAX_GROUP, MIN_GROUPS, PER_BUCKET = 1_000, 20_000, 256, 5_000
 
 _SENT = "grp int, bucket int, keys binary, vals binary"
 _REPLY = "grp int, bucket int, reply binary"
@@ -34,14 +34,17 @@ def unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def with_group(docs: DataFrame, n_docs: int) -> DataFrame:
-    """Adds ``grp``: groups of at most about MAX_GROUP documents, at least four for each shuffle partition."""
-    n = max(4 * shuffle_partitions(docs.sparkSession), -(-n_docs // MAX_GROUP))
-    return docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+def n_groups(n_docs: int) -> int:
+    return max(1, min(MIN_GROUPS, -(-n_docs // MIN_GROUP)), -(-n_docs // MAX_GROUP))
+
 
+def n_buckets(n_docs: int) -> int:
+    return max(n_groups(n_docs), -(-n_docs // PER_BUCKET))
 
-def n_buckets(docs: DataFrame) -> int:
-    return 4 * shuffle_partitions(docs.sparkSession)
+
+def with_group(docs: DataFrame, n_docs: int) -> DataFrame:
+    """Adds ``grp``, a hash of the id."""
+    return docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups(n_docs))).cast("int"))
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -155,8 +155,9 @@ def _sets_once(ids: pa.Array, texts: pa.Array, width: int) -> list[np.ndarray]:
 
 def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    buckets = n_buckets(docs)
-    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), docs.count())
+    n_docs = docs.count()
+    buckets = n_buckets(n_docs)
+    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n_docs)
     answers = ask(keyed, _sender(buckets, width), _answer)
     profiles = save(tell(keyed, answers, _profiler(buckets, width, similar), _PROFILE), "ngram-profiles", "zstd")
 

@@ -147,8 +147,9 @@ _SPANS = "doc_id long, span int, start_word long, n_words long, start_char long,
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage to remove: doc_id, span, start_word, n_words, start_char, n_chars, first_docs (the
     documents that keep its chunks)."""
-    buckets = n_buckets(docs)
-    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), docs.count())
+    n = docs.count()
+    buckets = n_buckets(n)
+    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
 
     def use(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         rows: list[list] = [[], [], [], [], [], [], []]
@@ -169,10 +170,11 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages taken out of ``text``; all other columns and rows are kept."""
-    buckets, columns = n_buckets(docs), docs.columns
+    n, columns = docs.count(), docs.columns
+    buckets = n_buckets(n)
     if docs.schema["doc_id"].dataType != T.LongType() or docs.schema["text"].dataType != T.StringType():
         docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    keyed = with_group(docs, docs.count())
+    keyed = with_group(docs, n)
 
     def use(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         cuts: dict[int, list[tuple[int, int]]] = {}
