@@ -191,8 +191,9 @@ def compare(words: list[str], family: str) -> tuple[int, float]:
 
 def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
     """Trains on the templates and on paragraphs of at most ``sample_documents`` documents (taken by hash) as unknown."""
-    picked = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text"))
-    rows = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents).collect()
+    chosen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
+    sampled = docs.select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = sampled.where(F.col("text").isNotNull()).orderBy("doc_id", "text").collect()  # ids first: at most sample_documents texts reach the driver
     known = [pairs for _, _, pairs in _SETS]
     out = []
     for line in (x for r in rows for x in r["text"].split("\n")[:6]):
