@@ -9,11 +9,13 @@ a pair is a candidate only if the prefixes meet in every order, and only then ar
    shingles occur elsewhere has no partner. (Shingle fingerprints there are 32 bits within a bucket of the hash space;
    a collision only makes a shingle look more frequent, for all documents alike.)
 2. Documents with equal sets are one class, represented by the smallest doc_id.
-3. Each representative is compared with the smallest one that has the same first token. The links of these stars
-   already join most of a large group of near copies, without making its pairs.
-4. Representatives of different components that share a prefix token are candidates under the first order; those that
-   fail the other orders are dropped; the rest are compared. Pairs inside one component need no comparison.
-5. Components of all links, by large-star and small-star rounds.
+3. Each representative is compared with the smallest one that has the same first token; then, for each prefix token
+   that several components share, one member of each with the smallest one. The links of these stars join large groups
+   of near copies without making their pairs.
+4. Representatives of different components that share a prefix token, and have enough shingles in common with the corpus
+   to be similar at their sizes, are candidates under the first order; those that fail the other orders are dropped; the
+   rest are compared. Pairs inside one component need no comparison.
+5. Components of all links: parents are followed in the stars, other links go through large-star and small-star rounds.
 
 No link between different texts is lost: a pair is left out only if its ends are joined already or a filter that every
 link passes rejects it.
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.exchange import ask, bucket_base, bucket_edges, n_buckets, pack, tell, unpack, with_group
-from tributary.llm.graph import components
+from tributary.llm.graph import components, roots
 from tributary.llm.kernel import mix, shingle_sets
 from tributary.session import save
 
@@ -42,7 +44,7 @@ WIDTH = 5
 SIMILAR = (75, 100)
 _SECOND, _THIRD, _SET = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
-_PROFILE = "doc_id long, n long, d1 long, d2 long, n_probe int, n_index int, first array<long>, second array<int>, third array<int>, text string"
+_PROFILE = "doc_id long, n long, m long, d1 long, d2 long, n_probe int, n_index int, first array<long>, second array<int>, third array<int>, text string"
 
 
 def _ceil(a: int, b: int) -> int:
@@ -94,7 +96,7 @@ def _profiler(buckets: int, width: int, similar: tuple[int, int]):
             grade[edges[b] : edges[b + 1]] = np.frombuffer(raw, np.uint8)
         ids = table.column("doc_id").to_pylist()
         texts = table.column("text")
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "d1", "d2", "n_probe", "n_index", "first", "second", "third", "text")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "m", "d1", "d2", "n_probe", "n_index", "first", "second", "third", "text")}
         seen: set[tuple[int, int, int]] = set()
         for row in sorted(range(len(ids)), key=lambda r: (ids[r] is None, ids[r] or 0)):
             own = sets[row]
@@ -104,6 +106,7 @@ def _profiler(buckets: int, width: int, similar: tuple[int, int]):
             if n and ids[row] is not None:
                 g = grade[np.searchsorted(token, own)]
                 shared = own[g > 0]
+                values["m"] = len(shared)
                 probe = len(shared) - _ceil(num * n, den) + 1
                 if probe > 0:
                     values["d1"] = int(mix(own).sum(dtype=np.uint64).view(np.int64))
@@ -121,7 +124,7 @@ def _profiler(buckets: int, width: int, similar: tuple[int, int]):
                         values["text"] = texts[row].as_py()
             for k, v in values.items():
                 out[k].append(v)
-        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "n_probe": pa.int32(), "n_index": pa.int32(), "first": pa.list_(pa.int64()), "second": pa.list_(pa.int32()), "third": pa.list_(pa.int32()), "text": pa.string()}
+        kinds = {"doc_id": pa.int64(), "n": pa.int64(), "m": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "n_probe": pa.int32(), "n_index": pa.int32(), "first": pa.list_(pa.int64()), "second": pa.list_(pa.int32()), "third": pa.list_(pa.int32()), "text": pa.string()}
         return pa.table({k: pa.array(out[k], kind) for k, kind in kinds.items()})
 
     return use
@@ -162,54 +165,84 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     profiles = save(tell(keyed, answers, _profiler(buckets, width, similar), _PROFILE), "ngram-profiles", "zstd")
 
     sets = ["d1", "d2", "n"]
-    classes = save(profiles.where("n_probe is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = save(profiles.where("n_probe is not null").groupBy(*sets).agg(F.min("doc_id").alias("rep")), "ngram-classes", "zstd")
     able = profiles.where("first is not null").join(classes.select(*sets, F.col("rep").alias("doc_id")), [*sets, "doc_id"], "left_semi")
-    # A representative: rep, n, n_probe, n_index, and its prefixes. Its text is read from ``profiles`` where it is needed.
-    reps = save(able.select(F.col("doc_id").alias("rep"), "n", "n_probe", "n_index", "first", "second", "third", "text"), "ngram-reps", "zstd")
+    kept = ["n", "m", "n_probe", "n_index", "first", "second", "third", "text"]
+    reps = save(able.select(F.col("doc_id").alias("rep"), *kept), "ngram-reps", "zstd")
+    num, den = similar
+    # Sizes that allow the similarity, and enough shared shingles for the overlap that it takes: den o >= num (na + nb - o).
+    sized = (F.col("na") <= F.col("nb")) & (F.col("na") * den >= F.col("nb") * num)
+    enough = F.least("ma", "mb") * (num + den) >= (F.col("na") + F.col("nb")) * num
+    text = lambda x: reps.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
 
-    # Stars: each representative against the smallest one with the same first token.
+    # Stars: each representative against the smallest one with the same first token. Every node has one parent.
     rays = reps.select("rep", F.get("first", F.lit(0)).alias("token"), F.col("text"))
-    hubs = rays.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hub_texts = hubs.join(reps.select(F.col("rep").alias("hub"), F.col("text").alias("text_a")), "hub")
-    stars = rays.join(hub_texts, "token").where("rep <> hub").select(F.col("hub").alias("a"), "text_a", F.col("rep").alias("b"), F.col("text").alias("text_b"))
+    hubs = rays.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size").join(text("a"), "a")
+    stars = rays.join(hubs, "token").where("rep <> a").select("a", "text_a", F.col("rep").alias("b"), F.col("text").alias("text_b"))
     star_links = save(_links(stars, width, similar), "ngram-star-links")
-    star_of = components(star_links)
-
-    # Candidates of the first order between different stars.
-    named = reps.select("rep", "n", "n_probe", "n_index", "first").join(star_of.withColumnRenamed("node", "rep"), "rep", "left")
+    # An id with several texts has several parents; the others count as links.
+    above = star_links.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.collect_set("src").alias("all"))
+    second = above.where(F.size("all") > 1).select(F.explode("all").alias("src"), F.col("node").alias("dst"))
+    star_of = roots(above.select("node", "parent"))
+    named = reps.select("rep", "n", "m", "n_index", "first").join(star_of.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
+
+    # Postings of prefix tokens that several components share.
     postings = save(
-        named.select("rep", "n", "component", "n_index", F.posexplode("first").alias("pos", "token")).withColumn("indexed", F.col("pos") < F.col("n_index")).drop("n_index", "pos"),
+        named.select("rep", "n", "m", "component", "n_index", F.posexplode("first").alias("pos", "token")).withColumn("indexed", F.col("pos") < F.col("n_index")).drop("n_index", "pos"),
         "ngram-postings",
+        "zstd",
     )
-    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    several = save(postings.join(mixed, "token", "left_semi"), "ngram-mixed")
-    present = several.groupBy("token", "component").agg(F.max("indexed").alias("indexed"))
-    meet = present.where("indexed").select("token", F.col("component").alias("ca")).join(present.select("token", F.col("component").alias("cb")), "token").where("ca <> cb")
-    small = several.where("indexed").select("token", F.col("component").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    large = several.select("token", F.col("component").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    num, den = similar
-    sized = (F.col("na") <= F.col("nb")) & (F.col("na") * den >= F.col("nb") * num)
-    pairs = meet.join(small, ["token", "ca"]).join(large, ["token", "cb"]).where(sized).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = save(_shared(postings), "ngram-mixed", "zstd")
+
+    # One member of each of these components against the smallest one of the token.
+    least = several.groupBy("token").agg(F.min(F.struct("rep", "component", "n", "m")).alias("hub"))
+    members = several.groupBy("token", "component").agg(F.min(F.struct("rep", "n", "m")).alias("x")).join(least, "token").where("component <> hub.component")
+    spokes = members.select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), F.least("hub.n", "x.n").alias("na"), F.greatest("hub.n", "x.n").alias("nb"), F.col("hub.m").alias("ma"), F.col("x.m").alias("mb"))
+    spokes = spokes.where(sized & enough).select("a", "b").distinct()
+    spoke_links = save(second.unionByName(_links(spokes.join(text("a"), "a").join(text("b"), "b"), width, similar)), "ngram-spoke-links")
+    star_of = save(named.select("rep", "component").distinct(), "ngram-stars", "zstd")
+    merged = _bridged(spoke_links, star_of)
+    several = several.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    several = save(_shared(several), "ngram-mixed", "zstd")
+
+    # Candidates of the first order between components: only where some sizes of both sides fit.
+    n, m = (lambda f, x: f(F.when(F.col("indexed"), F.col(x)))), F.max("m").alias("m")
+    present = several.groupBy("token", "component").agg(n(F.min, "n").alias("lo"), n(F.max, "n").alias("hi"), F.max("n").alias("top"), F.min("n").alias("low"), m)
+    left = present.where("lo is not null").select("token", F.col("component").alias("ca"), "lo", "hi", F.col("m").alias("ma"))
+    right = present.select("token", F.col("component").alias("cb"), "low", "top", F.col("m").alias("mb"))
+    fits = (F.col("lo") <= F.col("top")) & (F.col("hi") * den >= F.col("low") * num) & (F.least("ma", "mb") * (num + den) >= (F.col("lo") + F.greatest("lo", "low")) * num)
+    meet = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits).select("token", "ca", "cb")
+    small = several.where("indexed").select("token", F.col("component").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    large = several.select("token", F.col("component").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    pairs = meet.join(small, ["token", "ca"]).join(large, ["token", "cb"]).where(sized & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # The prefixes must meet in the other orders, too.
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    text = lambda x: reps.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
     links = save(_links(met.join(text("a"), "a").join(text("b"), "b"), width, similar), "ngram-links")
 
-    # Links between stars join the stars.
-    named = save(named.select("rep", "component"), "ngram-stars")
-    of = lambda x: named.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}"))
-    bridges = links.join(of("src"), "src").join(of("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
-    final = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    rooted = named.join(final, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
+    final = _bridged(links.unionByName(spoke_links), star_of)
+    rooted = star_of.join(final, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
     by_set = classes.join(rooted, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root"))
     found = profiles.select("doc_id", *sets).join(by_set, sets, "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that more than one component has."""
+    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return postings.join(mixed, "token", "left_semi")
+
+
+def _bridged(links: DataFrame, star_of: DataFrame) -> DataFrame:
+    """(component, root) of the components that links between their members join."""
+    of = lambda x: star_of.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}"))
+    bridges = links.join(of("src"), "src").join(of("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
+    return components(bridges).select(F.col("node").alias("component"), F.col("component").alias("root"))
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays, with all columns;
     of rows with that doc_id one stays. Rows with a null doc_id stay."""
