@@ -108,10 +108,10 @@ def merge_generations(spark, sf_dir):
     return inference.merge(rows, rows.where("rec_id % 3 <> 0"))
 
 
-@query("distill_targets", f"SELECT rec_id, instruction, input, CASE WHEN rec_id % 4 = 0 THEN output ELSE upper(output) END AS output FROM {_PAIR}")
+@query("distill_targets", f"SELECT rec_id, instruction, input, CASE WHEN rec_id % 4 = 0 THEN output ELSE 'Teacher: ' || trim(output) END AS output FROM {_PAIR}")
 def distill_targets(spark, sf_dir):
     rows = pairs(spark, sf_dir)
-    said = rows.select("rec_id", F.when(F.col("rec_id") % 4 == 0, F.lit("  ")).otherwise(F.upper("output")).alias("output"))
+    said = rows.select("rec_id", F.when(F.col("rec_id") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" Teacher: "), F.col("output"))).alias("output"))
     return inference.distill_targets(rows, said)
 
 
