@@ -28,19 +28,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
 
 
-def roots(parents: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Rows (node, parent), one a node and parent < node, to (node, component): the end of each node's way up. A round
-    doubles the length of the way that is known."""
-    now = save(parents, "parents")
-    for _ in range(max_rounds):
-        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        after = save(now.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "parents")
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now.select("node", F.col("parent").alias("component"))
-    raise RuntimeError(f"no end after {max_rounds} rounds")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node are linked to its smallest neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -9,13 +9,13 @@ a pair is a candidate only if the prefixes meet in every order, and only then ar
    shingles occur elsewhere has no partner. (Shingle fingerprints there are 32 bits within a bucket of the hash space;
    a collision only makes a shingle look more frequent, for all documents alike.)
 2. Documents with equal sets are one class, represented by the smallest doc_id.
-3. Each representative is compared with the smallest one that has the same first token; then, for each prefix token
-   that several components share, one member of each with the smallest one. The links of these stars join large groups
-   of near copies without making their pairs.
+3. Each representative is compared with the most central one that has the same first token; then, for each prefix token
+   that several components share, one member of each with the most central one. The links of these stars join large
+   groups of near copies without making their pairs.
 4. Representatives of different components that share a prefix token, and have enough shingles in common with the corpus
    to be similar at their sizes, are candidates under the first order; those that fail the other orders are dropped; the
    rest are compared. Pairs inside one component need no comparison.
-5. Components of all links: parents are followed in the stars, other links go through large-star and small-star rounds.
+5. Components of all links between stars, by large-star and small-star rounds.
 
 No link between different texts is lost: a pair is left out only if its ends are joined already or a filter that every
 link passes rejects it.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.exchange import ask, bucket_base, bucket_edges, n_buckets, pack, tell, unpack, with_group
-from tributary.llm.graph import components, roots
+from tributary.llm.graph import components
 from tributary.llm.kernel import mix, shingle_sets
 from tributary.session import save
 
@@ -175,29 +175,33 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     enough = F.least("ma", "mb") * (num + den) >= (F.col("na") + F.col("nb")) * num
     text = lambda x: reps.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
 
-    # Stars: each representative against the smallest one with the same first token. Every node has one parent.
-    rays = reps.select("rep", F.get("first", F.lit(0)).alias("token"), F.col("text"))
-    hubs = rays.groupBy("token").agg(F.min("rep").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size").join(text("a"), "a")
+    # Stars: each representative against the hub of its first token. A hub has that first token itself, so it has no hub.
+    # The hub is the most central text, with the smallest share of shingles that are found nowhere else: copies of one
+    # original often resemble it, but not each other.
+    central = (1 - F.col("m") / F.col("n")).alias("apart")
+    rays = reps.select("rep", F.get("first", F.lit(0)).alias("token"), "text", central)
+    hubs = rays.groupBy("token").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("token", F.col("hub.rep").alias("a")).join(text("a"), "a")
     stars = rays.join(hubs, "token").where("rep <> a").select("a", "text_a", F.col("rep").alias("b"), F.col("text").alias("text_b"))
     star_links = save(_links(stars, width, similar), "ngram-star-links")
-    # An id with several texts has several parents; the others count as links.
-    above = star_links.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.collect_set("src").alias("all"))
-    second = above.where(F.size("all") > 1).select(F.explode("all").alias("src"), F.col("node").alias("dst"))
-    star_of = roots(above.select("node", "parent"))
-    named = reps.select("rep", "n", "m", "n_index", "first").join(star_of.withColumnRenamed("node", "rep"), "rep", "left")
+    # An id with several texts can have several hubs; the others count as links.
+    above = star_links.groupBy(F.col("dst").alias("rep")).agg(F.min("src").alias("hub"), F.collect_set("src").alias("all"))
+    second = above.where(F.size("all") > 1).select(F.explode("all").alias("src"), F.col("rep").alias("dst"))
+    named = reps.select("rep", "n", "m", "n_index", "first", central).join(above.select("rep", F.col("hub").alias("component")), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
 
     # Postings of prefix tokens that several components share.
     postings = save(
-        named.select("rep", "n", "m", "component", "n_index", F.posexplode("first").alias("pos", "token")).withColumn("indexed", F.col("pos") < F.col("n_index")).drop("n_index", "pos"),
+        named.select("rep", "n", "m", "apart", "component", "n_index", F.posexplode("first").alias("pos", "token")).withColumn("indexed", F.col("pos") < F.col("n_index")).drop("n_index", "pos"),
         "ngram-postings",
         "zstd",
     )
     several = save(_shared(postings), "ngram-mixed", "zstd")
 
-    # One member of each of these components against the smallest one of the token.
-    least = several.groupBy("token").agg(F.min(F.struct("rep", "component", "n", "m")).alias("hub"))
-    members = several.groupBy("token", "component").agg(F.min(F.struct("rep", "n", "m")).alias("x")).join(least, "token").where("component <> hub.component")
+    # The most central member of each of these components against the most central one of the token.
+    best = F.min(F.struct("apart", "rep", "component", "n", "m"))
+    hubs = several.groupBy("token").agg(best.alias("hub"))
+    members = several.groupBy("token", "component").agg(best.alias("x")).join(hubs, "token").where("component <> hub.component")
     spokes = members.select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), F.least("hub.n", "x.n").alias("na"), F.greatest("hub.n", "x.n").alias("nb"), F.col("hub.m").alias("ma"), F.col("x.m").alias("mb"))
     spokes = spokes.where(sized & enough).select("a", "b").distinct()
     spoke_links = save(second.unionByName(_links(spokes.join(text("a"), "a").join(text("b"), "b"), width, similar)), "ngram-spoke-links")
@@ -225,6 +229,8 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
 
     final = _bridged(links.unionByName(spoke_links), star_of)
     rooted = star_of.join(final, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("least"))
+    rooted = rooted.join(smallest, "root").select("rep", F.col("least").alias("root"))
     by_set = classes.join(rooted, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root"))
     found = profiles.select("doc_id", *sets).join(by_set, sets, "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
