@@ -5,8 +5,8 @@ Documents are tokenised once; longer ones are cut into pieces of ``capacity`` id
 bins of one parent into the other, drops the bins that then hold a piece twice, and best-fits the displaced pieces back;
 mutation empties badly filled bins. After the first epoch the best-filled bins of all islands migrate as patterns of
 lengths (a bounded number), and each island injects those it can make up from its own pieces. After the second epoch,
-pieces in badly filled bins of all islands are dealt to new islands once more, so that an island's remainder does not
-cost a sequence of its own. An island that reaches its lower bound stops.
+pieces in badly filled bins of all islands are dealt to new, fewer islands, again until one is enough (or TAIL_ROUNDS
+times), so that an island's remainder does not cost a sequence of its own. An island that reaches its lower bound stops.
 
 Results are deterministic: seeds are island numbers, pieces are ordered within an island.
 
@@ -37,6 +37,7 @@ GENERATIONS = 8
 MIGRANTS = 64
 #: Bins filled less than this share are dealt out once more.
 TAIL = 0.995
+TAIL_ROUNDS = 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, island long, bin long, offset long"
@@ -205,12 +206,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         elite = bins.where(F.size("pattern") > 1).groupBy("pattern", "fill").agg(F.count("*").alias("n")).orderBy(F.desc("fill"), F.desc("n"), "pattern").limit(MIGRANTS)
         patterns = [list(r["pattern"]) for r in elite.collect()]
         placed = save(_settle(placed, capacity, patterns, True), "packing-epoch2")
-        fill = placed.groupBy("island", "bin").agg(F.sum("length").alias("fill"))
-        marked = placed.join(fill, ["island", "bin"])
-        is_tail = F.col("fill") < int(TAIL * capacity)
-        tail = save(marked.where(is_tail).drop("fill"), "packing-tail")
-        again = _settle(_deal(tail, tail.count(), first=1 << 30), capacity, [], False)
-        placed = marked.where(~is_tail).drop("fill").unionByName(again)
+        done = None
+        for number in range(1, TAIL_ROUNDS + 1):
+            fill = placed.groupBy("island", "bin").agg(F.sum("length").alias("fill"))
+            marked = placed.join(fill, ["island", "bin"])
+            is_tail = F.col("fill") < int(TAIL * capacity)
+            full = marked.where(~is_tail).drop("fill")
+            done = full if done is None else done.unionByName(full)
+            tail = save(marked.where(is_tail).drop("fill"), "packing-tail")
+            n = tail.count()
+            placed = save(_settle(_deal(tail, n, first=number << 26), capacity, [], False), "packing-again")
+            if n <= ISLAND:
+                break
+        placed = done.unionByName(placed)
     sequence = F.shiftleft("island", 32) + F.col("bin")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")
 
