@@ -12,8 +12,8 @@ a pair is a candidate only if the prefixes meet in every order, and only then ar
 3. Each representative is compared with the most central one that has the same first token; then, for each prefix token
    that several components share, one member of each with the most central one. The links of these stars join large
    groups of near copies without making their pairs.
-4. Representatives of different components that share a prefix token, and have enough shingles in common with the corpus
-   to be similar at their sizes, are candidates under the first order; those that fail the other orders are dropped; the
+4. Representatives of different components that share a prefix token, and from there on have enough shared shingles to
+   be similar at their sizes, are candidates under the first order; those that fail the other orders are dropped; the
    rest are compared. Pairs inside one component need no comparison.
 5. Components of all links between stars, by large-star and small-star rounds.
 
@@ -190,9 +190,13 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     named = reps.select("rep", "n", "m", "n_index", "first", central).join(above.select("rep", F.col("hub").alias("component")), "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
 
-    # Postings of prefix tokens that several components share.
+    # Postings of prefix tokens that several components share. At the first token that two sets share, all they have in
+    # common comes from there on; so ``m``, which bounds the overlap, counts a posting's shared shingles from its token on.
     postings = save(
-        named.select("rep", "n", "m", "apart", "component", "n_index", F.posexplode("first").alias("pos", "token")).withColumn("indexed", F.col("pos") < F.col("n_index")).drop("n_index", "pos"),
+        named.select("rep", "n", "m", "apart", "component", "n_index", F.posexplode("first").alias("pos", "token"))
+        .withColumn("indexed", F.col("pos") < F.col("n_index"))
+        .withColumn("m", F.col("m") - F.col("pos"))  # shared shingles from this token on
+        .drop("n_index", "pos"),
         "ngram-postings",
         "zstd",
     )
