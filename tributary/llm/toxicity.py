@@ -170,7 +170,8 @@ def context_factor(before: list[str], piece: str, after: list[str]) -> tuple[flo
 
 
 def features(column: pa.Array, lexicons: list[Lexicon], which: np.ndarray | None = None) -> np.ndarray:
-    """A row of FEATURES for each text; ``which`` names the lexicon of each row."""
+    """A row of FEATURES for each text, zeros for a text without hits, whatever its length; ``which`` names the lexicon
+    of each row."""
     texts = pc.fill_null(column, "").cast(pa.large_string())
     for c in "\n\t\r":
         texts = pc.replace_substring(texts, c, " ")
@@ -179,7 +180,6 @@ def features(column: pa.Array, lexicons: list[Lexicon], which: np.ndarray | None
     flat = cut.flatten().dictionary_encode()
     codes, pieces = flat.indices.to_numpy(), flat.dictionary.to_pylist()
     out = np.zeros((len(texts), FEATURES))
-    out[:, 5] = np.log1p(np.diff(offsets))
     for k, lexicon in enumerate(lexicons):
         matches = [lexicon.match(p) for p in pieces]
         hit = np.fromiter((m is not None for m in matches), bool, len(matches))
@@ -197,7 +197,8 @@ def features(column: pa.Array, lexicons: list[Lexicon], which: np.ndarray | None
         for row, terms in best.items():
             found = list(terms.values())
             by_kind = [max((w for w, kind, _ in found if (kind == 2) == stem), default=0.0) for stem in (False, True)]
-            out[row, :5] = *by_kind, math.log1p(sum(w for w, _, _ in found)), math.log1p(len(found)), sum(q for _, _, q in found) / len(found)
+            sums = math.log1p(sum(w for w, _, _ in found)), math.log1p(len(found)), sum(q for _, _, q in found) / len(found)
+            out[row] = *by_kind, *sums, math.log1p(int(offsets[row + 1] - offsets[row]))
     return out
 
 
