@@ -220,10 +220,12 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     left = present.where("lo is not null").select("token", F.col("component").alias("ca"), "lo", "hi", F.col("m").alias("ma"))
     right = present.select("token", F.col("component").alias("cb"), "low", "top", F.col("m").alias("mb"))
     fits = (F.col("lo") <= F.col("top")) & (F.col("hi") * den >= F.col("low") * num) & (F.least("ma", "mb") * (num + den) >= (F.col("lo") + F.greatest("lo", "low")) * num)
-    meet = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits).select("token", "ca", "cb")
+    meet = left.join(right, "token").where((F.col("ca") != F.col("cb")) & fits).select("token", "ca", "cb", "low", "top", F.col("mb").alias("most"))
+    # A member of the smaller side stays where the other side's range of sizes and overlaps still allows a partner.
+    possible = (F.col("na") <= F.col("top")) & (F.col("na") * den >= F.col("low") * num) & (F.least("ma", "most") * (num + den) >= (F.col("na") + F.greatest("na", "low")) * num)
     small = several.where("indexed").select("token", F.col("component").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
     large = several.select("token", F.col("component").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    pairs = meet.join(small, ["token", "ca"]).join(large, ["token", "cb"]).where(sized & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = meet.join(small, ["token", "ca"]).where(possible).join(large, ["token", "cb"]).where(sized & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # The prefixes must meet in the other orders, too.
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
