@@ -98,6 +98,16 @@ def test_substring_dedup_cuts_planted_passages_only(spark):
     assert substring.repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def test_substring_dedup_leaves_prose_of_common_chunks(spark):
+    rng = random.Random(15)
+    texts = [(i, prose(rng, 300, 6)) for i in range(200)]
+    docs = docs_of(spark, texts)
+    assert substring.repeated_spans(docs).count() == 0
+    words = texts[0][1].split()
+    mixed = docs_of(spark, [*texts, (900, " ".join(w for a in (0, 60, 120, 180) for w in words[a : a + 15]))])
+    assert substring.repeated_spans(mixed).count() == 0
+
+
 def test_decontamination_is_brute_force_in_any_number_of_blocks(spark, monkeypatch):
     rng = random.Random(9)
     items = [(k, prose(rng, n, 50)) for k, n in enumerate((40, 13, 12, 3, 1, 0, 20))] + [(7, None), (3, "Été-2")]

@@ -2,10 +2,11 @@
 
 A gear hash rolls over the words of a text: ``h = (h << 16) + G(word)`` in 64 bits, so that it depends on the last four
 words, and a chunk begins where its top bits fall below a threshold, on average every fourth word. Boundaries depend on
-nearby words only: text inserted before a passage does not move the passage's chunks. Chunks are compared by the 64-bit
-digest of their lower-cased words. A chunk is a repeat if its digest occurs in a document with a smaller doc_id; a run
-of adjacent repeats of at least ``MIN_WORDS`` words is removed, and the first document keeps the passage. Short chance
-repeats, and lines repeated inside one document only, stay.
+nearby words only: text inserted before a passage does not move the passage's chunks. What is compared are stretches: from
+each chunk on as many whole chunks as make ``MIN_WORDS`` words, by the 64-bit digest of their lower-cased words. A
+stretch is a repeat if it occurs, word for word, in one document with a smaller doc_id; repeated stretches that overlap or
+touch are one run, which is removed, and the first document keeps the passage. Shorter repeats, however many of them stand
+side by side, and lines repeated inside one document only, stay.
 
 Digests are exchanged by ``exchange``: every document is compared with all others.
 
@@ -32,10 +33,8 @@ WINDOW = 4
 _LAST = np.iinfo(np.int64).max
 
 
-def chunks(data: np.ndarray, off: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, first word of each chunk (len + 1), digest and text number of each chunk."""
-    words = Words(data, off)
-    gear = words.hashes()
+def _begins(words: Words, gear: np.ndarray, mean: int) -> np.ndarray:
+    """Which words begin a chunk."""
     n = len(gear)
     rolled = np.zeros(n, np.uint64)
     for j in range(WINDOW):
@@ -45,12 +44,25 @@ def chunks(data: np.ndarray, off: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[W
     for j in range(WINDOW):  # no boundary before the window is full
         at = head + j
         begins[at[at < words.first[1:]]] = j == 0
-    first = np.append(np.flatnonzero(begins), n)
+    return begins
+
+
+def stretches(data: np.ndarray, off: np.ndarray, min_words: int, mean: int = MEAN_CHUNK) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words; first word, end, digest and text number of each stretch: the fewest whole chunks from a chunk's first word
+    on that have ``min_words`` words. Ends of texts end chunks, texts with fewer words have no stretch."""
+    words = Words(data, off)
+    gear = words.hashes()
+    n = len(gear)
+    first = np.append(np.flatnonzero(_begins(words, gear, mean)), n)
+    row = np.searchsorted(words.first, first[:-1], "right") - 1
+    enough = first[:-1] + min_words <= words.first[row + 1]
+    begin, row = first[:-1][enough], row[enough]
+    end = first[np.searchsorted(first, begin + min_words)]
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(gear * power[:n], out=total[1:])
-    digest = mix((total[first[1:]] - total[first[:-1]]) * inverse[first[:-1]] + np.diff(first).astype(np.uint64))
-    return words, first, digest, np.searchsorted(words.first, first[:-1], "right") - 1
+    digest = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    return words, begin, end, digest, row
 
 
 def _parts(column: pa.ChunkedArray):
@@ -64,12 +76,12 @@ def _ids(table: pa.Table) -> np.ndarray:
     return pc.fill_null(table.column("doc_id"), _LAST).to_numpy().astype(np.int64)
 
 
-def _firsts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(table: pa.Table, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct digests of a group, sorted, and the smallest doc_id of each."""
     ids = _ids(table)
     digests, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, data, off in _parts(table.column("text")):
-        _, _, digest, row = chunks(data, off)
+        *_, digest, row = stretches(data, off, min_words)
         digests.append(digest)
         owners.append(ids[lo + row])
     digest, owner = np.concatenate(digests), np.concatenate(owners)
@@ -79,9 +91,9 @@ def _firsts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return digest[new], owner[new]
 
 
-def _sender(buckets: int):
+def _sender(buckets: int, min_words: int):
     def send(table: pa.Table):
-        digest, owner = _firsts(table)
+        digest, owner = _firsts(table, min_words)
         edges = bucket_edges(digest, buckets)
         used = np.flatnonzero(np.diff(edges))
         cut = [slice(edges[b], edges[b + 1]) for b in used]
@@ -108,9 +120,9 @@ def _answer(keys: list[bytes], values: list[bytes]) -> list[bytes]:
     return out
 
 
-def _resolve(table: pa.Table, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _resolve(table: pa.Table, replies: dict[int, bytes], buckets: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The group's digests and the smallest doc_id of each in the whole corpus."""
-    digest, first = _firsts(table)
+    digest, first = _firsts(table, min_words)
     edges = bucket_edges(digest, buckets)
     for b, raw in replies.items():
         n = int(edges[b + 1] - edges[b])
@@ -122,23 +134,22 @@ def _resolve(table: pa.Table, replies: dict[int, bytes], buckets: int) -> tuple[
 
 def _spans(table: pa.Table, replies: dict[int, bytes], buckets: int, min_words: int):
     """(row, first word, words, from byte, to byte, first documents) of each run of repeats, in row order."""
-    digest, first = _resolve(table, replies, buckets)
+    digest, first = _resolve(table, replies, buckets, min_words)
     ids = _ids(table)
     for lo, data, off in _parts(table.column("text")):
-        words, begin, own, row = chunks(data, off)
-        if not len(own):
-            continue
+        words, begin, end, own, row = stretches(data, off, min_words)
         source = first[np.searchsorted(digest, own)]
         repeat = source < ids[lo + row]
-        new = np.concatenate(([True], (repeat[1:] != repeat[:-1]) | (row[1:] != row[:-1])))
-        runs = np.append(np.flatnonzero(new), len(own))
-        sizes = begin[runs[1:]] - begin[runs[:-1]]
-        for k in np.flatnonzero(repeat[runs[:-1]] & (sizes >= min_words)).tolist():
-            a, b = int(runs[k]), int(runs[k + 1])
-            r, w0, w1 = int(row[a]), int(begin[a]), int(begin[b])
-            end = words.starts[w1] if w1 < words.first[r + 1] else off[r + 1]
+        if not repeat.any():
+            continue
+        begin, end, row, source = begin[repeat], end[repeat], row[repeat], source[repeat]  # begin and end both grow
+        new = np.concatenate(([True], (begin[1:] > end[:-1]) | (row[1:] != row[:-1])))
+        runs = np.append(np.flatnonzero(new), len(begin))
+        for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+            r, w0, w1 = int(row[a]), int(begin[a]), int(end[b - 1])
+            stop = words.starts[w1] if w1 < words.first[r + 1] else off[r + 1]
             docs = sorted(set(source[a:b].tolist()))
-            yield lo + r, w0 - int(words.first[r]), w1 - w0, int(words.starts[w0] - off[r]), int(end - off[r]), docs
+            yield lo + r, w0 - int(words.first[r]), w1 - w0, int(words.starts[w0] - off[r]), int(stop - off[r]), docs
 
 
 _SPANS = "doc_id long, span int, start_word long, n_words long, start_char long, n_chars long, first_docs array<long>"
@@ -146,7 +157,7 @@ _SPANS = "doc_id long, span int, start_word long, n_words long, start_char long,
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage to remove: doc_id, span, start_word, n_words, start_char, n_chars, first_docs (the
-    documents that keep its chunks)."""
+    documents that keep its stretches)."""
     n = docs.count()
     buckets = n_buckets(n)
     keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
@@ -165,7 +176,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         names = ["doc_id", "span", "start_word", "n_words", "start_char", "n_chars", "first_docs"]
         return pa.table([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
 
-    return tell(keyed, ask(keyed, _sender(buckets), _answer), use, _SPANS)
+    return tell(keyed, ask(keyed, _sender(buckets, min_words), _answer), use, _SPANS)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -192,4 +203,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return table.select(columns)
 
     schema = T.StructType([T.StructField(c, keyed.schema[c].dataType) for c in columns])
-    return tell(keyed, ask(keyed, _sender(buckets), _answer), use, schema)
+    return tell(keyed, ask(keyed, _sender(buckets, min_words), _answer), use, schema)
