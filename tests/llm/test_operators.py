@@ -108,6 +108,16 @@ def test_substring_dedup_leaves_prose_of_common_chunks(spark):
     assert substring.repeated_spans(mixed).count() == 0
 
 
+def test_substring_dedup_finds_every_passage_of_51_words(spark):
+    rng = random.Random(16)
+    lines = [prose(rng, k % 12 + 1, 10**6).split() for k in range(120)]  # one word or a short line again and again
+    passages = [(line * 51)[:51] for line in lines] + [prose(rng, 51, 10**6).split() for _ in range(400)]
+    texts = [(1000 * c + k, f"{prose(rng, 30, 10**6)} {' '.join(p)} {prose(rng, 30, 10**6)}") for c in (1, 2) for k, p in enumerate(passages)]
+    spans = {r.doc_id: r for r in substring.repeated_spans(docs_of(spark, texts)).collect()}
+    assert set(spans) == {2000 + k for k in range(len(passages))}
+    assert all(30 <= r.start_word and r.start_word + r.n_words <= 81 for r in spans.values())
+
+
 def test_decontamination_is_brute_force_in_any_number_of_blocks(spark, monkeypatch):
     rng = random.Random(9)
     items = [(k, prose(rng, n, 50)) for k, n in enumerate((40, 13, 12, 3, 1, 0, 20))] + [(7, None), (3, "Été-2")]
