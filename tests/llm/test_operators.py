@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -311,6 +312,30 @@ def test_licence_scan_names_families_and_leaves_prose(spark):
     assert got == {(100, 1, "mit"), (101, 1, "apache"), (102, 1, "gpl"), (103, 1, "cc-by-nc"), (203, 0, "mit")}
 
 
+def test_licence_scan_reads_wrapped_split_and_several_notices(spark):
+    rng = random.Random(17)
+    rows = [(i, "\n".join(prose(rng, 40) for _ in range(3))) for i in range(60)]
+    template = {f: max((t for g, t in license_scan.TEMPLATES if g == f), key=len) for f in ("mit", "isc", "gpl", "bsd")}
+    wrapped = {100 + 4 * (width // 10) + k: (f, textwrap.fill(template[f], width, initial_indent="# ", subsequent_indent="# ")) for width in (40, 60, 72) for k, f in enumerate(template)}
+    rows += [(i, f"{prose(rng, 30)}\n\n{t}\n\n{prose(rng, 30)}") for i, (_, t) in wrapped.items()]
+    rows += [(300 + k, f"{prose(rng, 60 + k)} released under the mit license {prose(rng, 90)}") for k in range(40)]
+    rows += [(400, f"{prose(rng, 30)}\nReleased under the MIT license.\nLicensed under the Apache License, Version 2.0.")]
+    docs = docs_of(spark, rows)
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs, license_scan.fit(docs)).collect())
+    assert got == sorted([*((i, 2, f) for i, (f, _) in wrapped.items()), *((300 + k, 0, "mit") for k in range(40)), (400, 1, "mit"), (400, 2, "apache")])
+
+
+def test_licence_segment_sums_are_the_logits():
+    rng = np.random.default_rng(2)
+    shape = license_scan.BUCKETS, len(license_scan.FAMILIES)
+    model = license_scan.Model(rng.normal(size=shape), rng.normal(size=shape[1]))
+    hashes, paragraph = rng.integers(0, 1 << 63, 9).astype(np.uint64), np.array([0, 0, 0, 0, 0, 0, 1, 2, 2])
+    spans = [(0, 6), (0, 3), (2, 4), (1, 2), (6, 7), (7, 9)]
+    want = [model.logits(*license_scan.grams(hashes[a:b], np.zeros(b - a, int)), 1)[0] for a, b in spans]
+    start, end = np.array(spans).T
+    assert np.allclose(license_scan._segment_logits(hashes, paragraph, start, end, model), want)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name):
     import pyarrow as pa

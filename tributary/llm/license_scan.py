@@ -2,15 +2,18 @@
 
 A softmax regression over hashed word one- to three-grams tells licence families apart. It is trained here: licence
 paragraphs are the templates below, varied by dropping words and by surrounding them with words of the corpus; the
-``unknown`` class is paragraphs of a bounded, hashed sample of documents. A temperature is fitted on held-back examples
-so that the probabilities are calibrated, and a threshold below which a paragraph is unknown. A prediction counts only
-if the words of one of the family's templates are found in the paragraph.
-
-Every line of every text is scored, in segments of at most ``SEGMENT`` words; the comparison with templates sees the
-segment and its neighbours of the same paragraph.
-
-Defined results: null, empty and wordless texts have no findings; a family found in several segments of a paragraph is
-one finding; repeated rows are scanned alike; an empty table has no findings; other columns are ignored.
+``unknown`` class is all segments of a bounded, hashed sample of documents. A temperature is fitted on held-back examples
+so that the probabilities are calibrated, and a threshold below which a segment is unknown. A prediction counts only
+if most word pairs of one of the family's templates are found close together in the paragraph.
+
+A paragraph is the lines up to one without words, so that wrapped notices are whole. Every paragraph of every text is
+scored in segments of at most ``SEGMENT`` words that overlap by the longest template, and every line also alone; the
+comparison with templates sees the segment and its neighbours of the same paragraph.
+
+Defined results: null, empty and wordless texts have no findings; every family of which a template is found is reported,
+with the line on which the notice begins; of families that rest on the same word pairs the more probable one is; a notice
+found in several segments is one finding; repeated rows are scanned alike; an empty table has no findings; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +74,9 @@ BUCKETS = 1 << 15
 SEGMENT = 40
 CONTEXT = 24
 MIN_SIMILARITY = 0.6
+#: Grams of fewer training examples have no weight: else a notice inside a sampled document drowns in what was learned by heart.
+MIN_EXAMPLES = 3
+STRIDE = SEGMENT - max(len(t.split()) for _, t in TEMPLATES)
 
 #: Separators: all of ASCII but letters and digits.
 SEPARATORS = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
@@ -105,11 +112,10 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.5
 
-    def logits(self, feature: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        out, count = np.zeros((n, len(FAMILIES))), np.bincount(owner, minlength=n)
-        has = np.flatnonzero(count)
-        if len(has):
-            out[has] = np.add.reduceat(self.weights[feature], np.concatenate(([0], np.cumsum(count[has])[:-1])), axis=0)
+    def logits(self, feature: np.ndarray, owner: np.ndarray, n: int, count: np.ndarray | None = None) -> np.ndarray:
+        """``count``: grams of each text, if ``feature`` lacks some."""
+        count = np.bincount(owner, minlength=n) if count is None else count
+        out = np.stack([np.bincount(owner, w[feature], n) for w in np.ascontiguousarray(self.weights.T)], axis=1)
         return out / np.sqrt(np.maximum(count, 1))[:, None] + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
@@ -118,20 +124,22 @@ class Model:
 
 
 def examples(paragraphs: list[str], seed: int = 7, copies: int = 24) -> tuple[list[str], np.ndarray]:
-    """Varied templates and unknown paragraphs, with class numbers."""
+    """Varied templates and unknown segments, with class numbers."""
     rng = random.Random(seed)
-    pool = [w for p in paragraphs for w in p.split()[:50]] or ["text"]
+    pool = [w for p in paragraphs for w in p.split()] or ["text"]
     texts, classes = [], []
     for family, template in TEMPLATES:
         for k in range(copies):
             words = template.split()
             if k and len(words) > 6:
                 words = [w for w in words if rng.random() > 0.06]
-            around = [rng.choices(pool, k=rng.randrange(0, 12)) if k % 3 else [] for _ in range(2)]
+            extra = rng.randrange(max(0, SEGMENT - len(words)) + 1) if k % 3 else 0  # as much as a segment holds
+            before = rng.randrange(extra + 1)
+            around = [rng.choices(pool, k=n) for n in (before, extra - before)]
             texts.append(" ".join([*around[0], *words, *around[1]]))
             classes.append(FAMILIES.index(family))
     for p in paragraphs:
-        texts.append(" ".join(p.split()[:SEGMENT]))
+        texts.append(p)
         classes.append(0)
     return texts, np.array(classes)
 
@@ -145,17 +153,19 @@ def train(paragraphs: list[str], epochs: int = 120, rate: float = 0.5, ridge: fl
     keep = ~held[owner]
     number = np.cumsum(~held) - 1
     f, o, target = feature[keep], number[owner[keep]], np.eye(len(FAMILIES))[y[~held]]
-    used, f = np.unique(f, return_inverse=True)
+    count = np.bincount(o, minlength=len(target))
+    common = np.bincount(np.unique(f * len(target) + o) // len(target), minlength=BUCKETS)[f] >= MIN_EXAMPLES
+    used, f = np.unique(f[common], return_inverse=True)
+    o = o[common]
     part = Model(np.zeros((len(used), len(FAMILIES))), model.bias)
     balance = 1 / np.maximum(1, np.bincount(y[~held], minlength=len(FAMILIES)))[y[~held]]
     balance *= len(target) / balance.sum()
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(o, minlength=len(target))))
-    order = np.argsort(f, kind="stable")
-    begins = np.searchsorted(f[order], np.arange(len(used)))
+    scale = 1 / np.sqrt(np.maximum(1, count))
     squares, bias_squares = np.full_like(part.weights, 1e-8), np.full(len(FAMILIES), 1e-8)
     for _ in range(epochs):
-        error = (part.probabilities(part.logits(f, o, len(target))) - target) * balance[:, None]
-        step = np.add.reduceat((error * scale[:, None])[o[order]], begins, axis=0) / len(target) + ridge * part.weights
+        error = (part.probabilities(part.logits(f, o, len(target), count)) - target) * balance[:, None]
+        scaled = np.ascontiguousarray((error * scale[:, None]).T)
+        step = np.stack([np.bincount(f, e[o], len(used)) for e in scaled], axis=1) / len(target) + ridge * part.weights
         squares += step**2
         part.weights -= rate * step / np.sqrt(squares)
         step = error.mean(axis=0)
@@ -181,30 +191,57 @@ def _ngrams(words: list[str], n: int = 2) -> set[tuple[str, ...]]:
 
 
 _SETS = [(family, k, _ngrams(template.split())) for k, (family, template) in enumerate(TEMPLATES)]
-
-
-def compare(words: list[str], family: str) -> tuple[int, float]:
-    """The family's template of which most word pairs are in ``words``, and the share of them."""
-    seen = _ngrams(words)
-    return max(((k, len(pairs & seen) / len(pairs)) for f, k, pairs in _SETS if f == family), key=lambda x: (x[1], len(_SETS[x[0]][2]), -x[0]))
+_TEMPLATES_OF: dict[tuple[str, ...], list[int]] = {}
+for _, _k, _pairs in _SETS:
+    for _pair in _pairs:
+        _TEMPLATES_OF.setdefault(_pair, []).append(_k)
+
+
+def places(words: list[str]) -> list[tuple[int, float, list[int]]]:
+    """Where templates stand in ``words``: template, share of its word pairs found within twice its length, and where
+    the pairs found begin. A template found several times has several places."""
+    hits: dict[int, list[int]] = {}
+    for i in range(len(words) - 1):
+        for k in _TEMPLATES_OF.get((words[i], words[i + 1]), ()):
+            hits.setdefault(k, []).append(i)
+    out = []
+    for k, at in sorted(hits.items()):
+        pairs = len(_SETS[k][2])
+        while len(at) >= MIN_SIMILARITY * pairs:
+            best: list[int] = []
+            for x, i in enumerate(at):
+                near: dict[tuple[str, str], int] = {}
+                for j in at[x:]:
+                    if j - i < 2 * (pairs + 1):
+                        near.setdefault((words[j], words[j + 1]), j)
+                if (len(near), -(max(near.values()) - i)) > (len(best), -(best[-1] - best[0]) if best else 0):
+                    best = sorted(near.values())
+            if len(best) < MIN_SIMILARITY * pairs:
+                break
+            out.append((k, len(best) / pairs, best))
+            at = [i for i in at if not best[0] <= i <= best[-1]]
+    return out
 
 
 def fit(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
-    """Trains on the templates and on paragraphs of at most ``sample_documents`` documents (taken by hash) as unknown."""
+    """Trains on the templates and on all segments of at most ``sample_documents`` documents (taken by hash) as unknown."""
     chosen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
-    sampled = docs.select(F.col("doc_id").cast("long"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    sampled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id", "left_semi")
     rows = sampled.where(F.col("text").isNotNull()).orderBy("doc_id", "text").collect()  # ids first: at most sample_documents texts reach the driver
     known = [pairs for _, _, pairs in _SETS]
     out = []
-    for line in (x for r in rows for x in r["text"].split("\n")[:6]):
-        words = "".join(c if c.isalnum() else " " for c in line.lower()).split()
-        if words and not any(len(pairs & _ngrams(words)) / len(pairs) >= 0.3 for pairs in known):
-            out.append(" ".join(words))
+    for r in rows:
+        lines = ["".join(c if c.isalnum() else " " for c in line.lower()).split() for line in r["text"].split("\n")]
+        for paragraph in (list(chain.from_iterable(g)) for full, g in groupby(lines, bool) if full):
+            for words in (paragraph[a : a + SEGMENT] for a in range(0, len(paragraph), SEGMENT)):
+                seen = _ngrams(words)
+                if not any(len(pairs & seen) / len(pairs) >= 0.3 for pairs in known):
+                    out.append(" ".join(words))
     return train(out)
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Per licence paragraph: doc_id, paragraph (number of the line, from 0), family, probability, template_id, similarity."""
+    """Per licence notice: doc_id, paragraph (number of the line on which it begins, from 0), family, probability, template_id, similarity."""
     packed = model.weights.astype(np.float32), model.bias, model.temperature, model.threshold
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # BUCKETS x families numbers
 
@@ -232,30 +269,70 @@ def _findings(data: np.ndarray, off: np.ndarray, model: Model) -> list[list]:
     breaks = np.flatnonzero(data == 10)
     line = np.searchsorted(breaks, words.starts)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(words.first))
-    new = np.concatenate(([True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])))
-    begin = np.flatnonzero(new)
-    paragraph = np.cumsum(new) - 1
-    within = np.arange(len(doc)) - begin[paragraph]
-    starts = np.flatnonzero(within % SEGMENT == 0)
-    segment = np.cumsum(within % SEGMENT == 0) - 1
-    feature, owner = grams(words.hashes(), segment)
-    p = model.probabilities(model.logits(feature, owner, len(starts)))
-    ends = np.concatenate((begin[1:], [len(doc)]))
-    best: dict[tuple[int, int, str], tuple[float, int, float]] = {}
+    n, other = len(doc), doc[1:] != doc[:-1]
+    begin, paragraph = _spans_of(other | (line[1:] > line[:-1] + 1))
+    line_begin, line_number = _spans_of(other | (line[1:] != line[:-1]))
+    pieces = [_segments(begin, paragraph, n, STRIDE), _segments(line_begin, line_number, n, SEGMENT)]
+    start, end = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    p = model.probabilities(_segment_logits(words.hashes(), paragraph, start, end, model))
+    ends = np.append(begin[1:], n)
+    found: dict[tuple[int, tuple[int, ...]], tuple[float, int, float]] = {}  # template, word pairs: best
     for s in np.flatnonzero(1 - p[:, 0] >= model.threshold).tolist():
-        w = int(starts[s])
-        par = int(paragraph[w])
-        a, b = max(int(begin[par]), w - CONTEXT), min(int(ends[par]), w + SEGMENT + CONTEXT)
+        par = int(paragraph[start[s]])
+        a, b = max(int(begin[par]), int(start[s]) - CONTEXT), min(int(ends[par]), int(end[s]) + CONTEXT)
         text = [words.low[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)]
-        for k in np.argsort(-p[s, 1:])[:3].tolist():
-            template, share = compare(text, FAMILIES[k + 1])
-            if share >= MIN_SIMILARITY:
-                d = int(doc[w])
-                number = int(line[w] - np.searchsorted(breaks, off[d]))
-                key = d, number, FAMILIES[k + 1]
-                best[key] = max(best.get(key, (0.0, 0, 0.0)), (float(p[s, k + 1]), template, float(share)))
+        for template, share, at in places(text):
+            key = template, tuple(a + i for i in at)
+            found[key] = max(found.get(key, (0.0, 0, 0.0)), (float(p[s, FAMILIES.index(TEMPLATES[template][0])]), template, share))
+    notices: dict[int, list[tuple[str, float, int, float, set[int]]]] = {}  # by document
+    for (template, at), (prob, _, share) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][2], -len(x[0][1]), x[0])):
+        family, here = TEMPLATES[template][0], notices.setdefault(int(doc[at[0]]), [])
+        for same, *_, taken in here:
+            shared = len(taken.intersection(at))
+            if shared and same == family or 2 * shared > min(len(at), len(taken)):
+                if same == family:
+                    taken.update(at)
                 break
-    for (d, number, family), (prob, template, share) in sorted(best.items()):
-        for column, value in zip(out, (d, number, family, prob, template, share), strict=True):
+        else:
+            here.append((family, prob, template, share, set(at)))
+    rows = [(d, int(line[min(at)] - np.searchsorted(breaks, off[d])), family, prob, template, share) for d, x in notices.items() for family, prob, template, share, at in x]
+    for row in sorted(rows):
+        for column, value in zip(out, row, strict=True):
             column.append(value)
     return out
+
+
+def _spans_of(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the spans that begin where ``new`` says (from the second word on), and the span of each word."""
+    new = np.concatenate(([True], new))
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _segments(begin: np.ndarray, span: np.ndarray, n: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the segments of each span, ``stride`` words apart, up to the first that reaches its end."""
+    ends = np.append(begin[1:], n)
+    within = np.arange(n) - begin[span]
+    start = np.flatnonzero((within % stride == 0) & ((within == 0) | (within - stride + SEGMENT < (ends - begin)[span])))
+    return start, np.minimum(start + SEGMENT, ends[span[start]])
+
+
+def _segment_logits(hashes: np.ndarray, paragraph: np.ndarray, start: np.ndarray, end: np.ndarray, model: Model) -> np.ndarray:
+    """As ``Model.logits`` of the segments' ``grams``, from running sums of the weights of the grams that begin at each
+    word, less those of the grams that cross a segment's end."""
+    n, none = len(hashes), np.zeros((1, len(FAMILIES)), model.weights.dtype)
+    weights, longer = np.concatenate((model.weights, none)), []
+    for size, lane in ((2, _PAIR), (3, _TRIPLE)):
+        m, at = max(0, n - size + 1), np.full(n, BUCKETS, np.int64)
+        joined = np.zeros(m, np.uint64)
+        for j in range(size):
+            joined = (joined + hashes[j : j + m]) * lane
+        at[:m] = np.where(paragraph[:m] == paragraph[n - m :], (mix(joined) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS)
+        longer.append(at)
+    pair, triple = longer
+    total = np.zeros((n + 1, len(FAMILIES)))
+    np.cumsum(weights[(hashes % np.uint64(BUCKETS)).astype(np.int64)] + weights[pair] + weights[triple], axis=0, dtype=np.float64, out=total[1:])
+    size = end - start
+    out = total[end] - total[start] - weights[pair[end - 1]] - weights[triple[end - 1]]
+    out -= weights[np.where(size > 1, triple[np.maximum(end - 2, 0)], BUCKETS)]
+    count = size + np.maximum(size - 1, 0) + np.maximum(size - 2, 0)
+    return out / np.sqrt(count)[:, None] + model.bias
