@@ -277,6 +277,13 @@ def test_html_extraction_keeps_the_article():
     assert [html_extract.extract(x) for x in (None, "", "<p>x", "plain", "<nav>a</nav>", "<article><p>a <b>b")] == ["", "", "x", "plain", "", "a b"]
 
 
+def test_html_extraction_keeps_all_elements_with_content():
+    text = ["First part of a story with enough words to be content, and some more.", "Second part of the story, which also goes on for a good many words.", "An introduction in the main element that is as long as its articles."]
+    nav = "<nav><a href=x>Home</a></nav>"
+    assert html_extract.extract(f"<body>{nav}<article><p>{text[0]}</p></article><article><p>{text[1]}</p></article></body>") == f"{text[0]} {text[1]}"
+    assert html_extract.extract(f"<body>{nav}<main><p>{text[2]}</p><article><p>{text[0]}</p></article></main></body>") == f"{text[2]} {text[0]}"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é😀</p></article>", 3), (1, None, None, 4)], "page_id long, url string, html string, n_chars int")
     assert {tuple(r) for r in html_extract.extract_pages(df).collect()} == {(1, None, "", 0), (1, "u", "é😀", 2)}

@@ -3,7 +3,7 @@
 The standard library's streaming parser turns a page into lines: the text of one block with its number of tags and of
 characters inside links. The text-to-tag ratio of each line is smoothed with a Gaussian over its neighbours, and a
 one-dimensional two-means clustering of the smoothed ratios separates content lines from the rest. The content lines
-select the region: the article (or main) element that holds most of them, else the innermost element that holds four
+select the region: all article and main elements that hold some of them, else the innermost element that holds four
 fifths of their text. Blocks of the region are the text, without those inside elements that are never content: scripts, styles,
 menus, headers and footers of the page, asides, forms, notices, adverts, comments, hidden elements.
 
@@ -185,13 +185,13 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines(smooth(ratios(lines)))
-    sizes: Counter[int] = Counter()
+    held: Counter[int] = Counter()
     for line, good in zip(lines, content, strict=True):
         if line.scope:
-            sizes[line.scope] += (len(line.text) - line.linked) * (10 if good else 1)
-    if sizes and max(sizes.values()) > 0:
-        best = max(sizes, key=lambda s: (parser.scope_kind[s] == "article", sizes[s], -s))
-        return " ".join(x.text for x in lines if x.scope == best)
+            held[line.scope] += (len(line.text) - line.linked) * bool(good)
+    scopes = {s for s, n in held.items() if n} or {s for s in held if any(x.scope == s and x.linked < len(x.text) for x in lines)}
+    if scopes:
+        return " ".join(x.text for x in lines if x.scope in scopes)
     inside: Counter[int] = Counter()
     for line, good in zip(lines, content, strict=True):
         for element in line.path if good else ():
