@@ -170,6 +170,8 @@ def test_packing_places_every_piece_on_several_islands(spark, monkeypatch):
     ids = np.array([*enc.whole(texts[-1][1]), 1], "<u4")
     assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(long.start, long.length)] == long.ids_crc32.tolist()
     assert packing.pack_documents(docs_of(spark, []), path).count() == 0
+    same = packing.pack_documents(docs_of(spark, [(9, prose(rng, 700))] * 150), path).toPandas()  # repeated rows go to several islands
+    assert len(same) == 150 * len(set(same.piece)) and (same.sequence_id // 2**32).nunique() > 1
 
 
 def test_packing_operators_keep_items():
@@ -182,11 +184,23 @@ def test_packing_operators_keep_items():
     assert sorted(i for x in child.bins for i in x) == list(range(300)) and min(child.room) >= 0
 
 
+def test_packing_by_genes_beats_best_fit():
+    rng = random.Random(6)
+    sizes = [rng.randrange(600, 2000) for _ in range(1500)]
+    plain = packing.Packing(sizes, 4096).best_fit(list(range(1500)))
+    best = packing.evolve(sizes, 4096, 1)
+    assert -(-sum(sizes) // 4096) <= len(best.bins) <= len(plain.bins) - 10
+    assert sorted(i for b in best.bins for i in b) == list(range(1500)) and all(sum(sizes[i] for i in b) <= 4096 for b in best.bins)
+
+
 def test_token_files_round_trip(spark):
     rng = random.Random(4)
     texts = [(i, prose(rng, rng.randrange(0, 700))) for i in (5, 3, 9, 1, 7)] + [(2, None), (4, ""), (4, "  two  spaces\n\n x"), (8, "naïve 日本 don't")]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = token_output.write_tokens(docs_of(spark, texts), f"{token_output.shared_dir(spark)}/tokens-test", path, seq_len=64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    manifest = token_output.write_tokens(docs_of(spark, texts), f"{token_output.shared_dir(spark)}/tokens-{random.random()}", path, seq_len=64, shard_tokens=300)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert manifest.count() > 4  # more shards than tasks
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output.read_documents(manifest).collect())
     enc, at, want, stream = Encoder(path), 0, [], []
     for i, t in sorted(texts, key=lambda x: (x[0], x[1] or "")):
@@ -284,6 +298,59 @@ def test_html_extraction_keeps_all_elements_with_content():
     assert html_extract.extract(f"<body>{nav}<main><p>{text[2]}</p><article><p>{text[0]}</p></article></main></body>") == f"{text[2]} {text[0]}"
 
 
+def test_html_regions_come_from_the_clusters(monkeypatch):
+    """Menus without a name, linked cards in article elements, and content without article elements."""
+    rng = random.Random(8)
+    paragraphs = [prose(rng, 60) for _ in range(5)]
+    story = "".join(f"<p>{x}</p>" for x in paragraphs)
+    menu = "<div>" + "".join(f"<div><a href=/{k}>item {k}</a></div>" for k in range(9)) + "</div>"
+    cards = "".join(f"<article><h3><a href=/{k}>Card {k}</a></h3></article>" for k in range(6))
+    pages = {
+        "plain": (f"<body>{menu}<div>{story}</div>{menu}</body>", paragraphs),
+        "cards": (f"<body>{menu}<main><h1>Title</h1>{story}</main>{cards}</body>", ["Title", *paragraphs]),
+        "inside": (f"<body><article>{story}{menu}<p>The end.</p></article></body>", [*paragraphs, "The end."]),
+        "linked": (f"<body><article>{story}<p><a href=/r>A linked title</a></p>{story}</article></body>", [*paragraphs, "A linked title", *paragraphs]),
+        "small article": (f"<body><article><p>Short note.</p></article><div>{story}</div></body>", ["Short note.", *paragraphs]),
+    }
+    for name, (page, want) in pages.items():
+        assert html_extract.extract(page) == " ".join(want), name
+    true = html_extract.content_lines
+    for spoil, least in ((lambda values: ~true(values), 2), (lambda values: np.arange(len(values)) < 2, 2)):
+        monkeypatch.setattr(html_extract, "content_lines", spoil)
+        assert sum(html_extract.extract(page) != " ".join(want) for page, want in pages.values()) >= least
+
+
+def test_html_names_label_boilerplate_only_as_a_whole():
+    text = "A paragraph with enough words to be the content of this page, and a few more of them."
+    for kept in ("legal-analysis", "share-price", "search-results-explained", "no-sidebar", "comment-free"):
+        assert html_extract.extract(f'<article><p>{text}</p><div class="{kept}"><p>{text}</p></div></article>') == f"{text} {text}", kept
+    for lost in ("legal", "share-buttons", "comments-area", "ad_box_2", "newsletter-signup", "x related"):
+        assert html_extract.extract(f'<article><p>{text}</p><div class="{lost}"><p>{text}</p></div></article>') == text, lost
+
+
+def test_html_extraction_is_brute_force_on_planted_pages():
+    """Pages dealt from blocks that are content or boilerplate; the content blocks in order are the text."""
+    rng = random.Random(9)
+    block = {
+        True: [lambda t: f"<p>{t}</p>", lambda t: f"<p><b>{t}</b><br>", lambda t: f"<ul><li>{t}<li>{t}</ul>", lambda t: f"<h2>{t}</h2>", lambda t: f"<table><tr><td>{t}</table>", lambda t: f"<div class=part>{t}</div>"],
+        False: [lambda t: f"<nav><a href=x>{t}</a></nav>", lambda t: f'<div class="ad">{t}</div>', lambda t: f"<script>{t}</script>", lambda t: f"<!-- {t} -->", lambda t: f'<div id="comments"><p>{t}</div>', lambda t: f"<aside>{t}</aside>", lambda t: f"<form>{t}</form>"],
+    }
+    for _ in range(200):
+        want, page = [], []
+        for _ in range(rng.randrange(1, 25)):
+            is_content, t = rng.random() < 0.6, prose(rng, rng.randrange(5, 60))
+            kind = rng.randrange(len(block[is_content]))
+            page.append(block[is_content][kind](t))
+            want += [t] * ((2 if kind == 2 else 1) * is_content)
+        html = f"<html><head><title>x</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav><article>{''.join(page)}</article><footer>&copy; us</footer></body></html>"
+        assert html_extract.extract(html) == " ".join(want)
+
+
+def test_html_extraction_of_deep_and_long_pages():
+    assert html_extract.extract("<div>x " * 50_000) == " ".join(["x"] * 50_000)
+    assert html_extract.extract("<p>word</p>" * 50_000) == " ".join(["word"] * 50_000)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é😀</p></article>", 3), (1, None, None, 4)], "page_id long, url string, html string, n_chars int")
     assert {tuple(r) for r in html_extract.extract_pages(df).collect()} == {(1, None, "", 0), (1, "u", "é😀", 2)}
@@ -346,8 +413,17 @@ def test_licence_segment_sums_are_the_logits():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_tokenizer(name):
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    odd = ["", None, " a", "a ", "a  b", "a   b  ", "don't we'll", "x\n\n y", "日本語 テスト。", "ΟΔΟΣ Σας İ", "é áb ́c", "<|endoftext|> hi", "1,5 a1b2", "²", "a　 b", "😀 👍🏽", "a,, b.' c.\"", "\x00 \x01a", "é,ê. É;;", "ﬁ Ǆ ẞ"]
-    enc = Encoder(public_tokenizers.path(name), max_cached=3)
-    ids, at = enc.encode(pa.array(odd, pa.string()))
-    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(odd))] == [enc.whole(x or "") for x in odd]
+    odd = ["", None, " a", "a ", "a  b", "a   b  ", "don't we'll", "x\n\n y", "日本語 テスト。", "ΟΔΟΣ Σας İ", "é áb ́c", "<|endoftext|> hi", "a<|startoftext|>b", "1,5 a1b2", "²", "a　 b", "😀 👍🏽", "a,, b.' c.\"", "\x00 \x01a", "é,ê. É;;", "ﬁ Ǆ ẞ"]
+    odd += ["\n", "a\n", "\na", "a\n\nb", "a\n\n\nb", "a\n\n\tb", "a\n\t\tb", "a\r\nb", "a\n b", "a \nb", "a\n\n", "\n\n", " ", "a\n's b", "x.\nY z.\nW"]
+    rng = random.Random(3)
+    odd += ["".join(rng.choices(["a", "B", "é", " ", "\n", "\t", ".", "'s", "1", "\u2003", "\r", "\u0308", " ", "b"], k=rng.randint(1, 9))) for _ in range(3000)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [plain.encode(x or "", add_special_tokens=False).ids for x in odd]
+    for cached in (3, 600, 10**6):  # with and without pieces leaving the table
+        enc, got = Encoder(public_tokenizers.path(name), max_cached=cached), []
+        for lo in range(0, len(odd), 100):
+            ids, at = enc.encode(pa.array(odd[lo : lo + 100], pa.string()))
+            got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == want

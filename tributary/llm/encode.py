@@ -1,10 +1,11 @@
 """Encoding whole texts with the tokenizers library, one distinct word at a time.
 
-A byte-pair model works on pre-tokens, and no pre-token of the two supported layouts crosses the space before a word.
-So a column of texts is cut at its spaces, the distinct pieces are encoded once, and ids are gathered for all
-occurrences. Pieces of letters and closing punctuation go straight to the model; any other piece goes through the whole
-tokenizer; texts with runs of white space, where cutting could change the pre-tokens, are encoded whole. Other tokenizer
-layouts are always encoded whole. The cache of a Python worker holds a bounded number of pieces.
+A byte-pair model works on pre-tokens, and no pre-token of the two supported layouts crosses the space before a word or
+a single line end between two words. So a column of texts is cut there, and the ids of all occurrences are gathered from
+a table of pieces that the Python worker keeps: known pieces are looked up by Arrow, new ones are encoded once. Pieces of
+letters and closing punctuation go straight to the model; any other piece goes through the whole tokenizer; texts with
+runs of white space, where cutting could change the pre-tokens, or with a special token's string are encoded whole. Other
+tokenizer layouts are always encoded whole. The table holds a bounded number of pieces; the least used ones leave it.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CACHED = 300_000
+MAX_CACHED = 800_000
+BLOCK = 12 << 20
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,|%$*#&:;!?]*)")
 #: The byte alphabet of byte-level models (fixed values): printable bytes stand for themselves, others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,88 +46,146 @@ def layout(spec: dict) -> str:
     return "whole"
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _is_open(piece: str) -> bool:
+    """Whether a run of white space at its beginning or end can reach beyond what the piece shows."""
+    return not piece or piece != "\n" and (piece[-1].isspace() or piece[0] == "\n" and piece[1].isspace())
+
+
 class Encoder:
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            self.layout = layout(json.load(f))
+            spec = json.load(f)
+        self.layout = layout(spec)
+        self.special = [x["content"] for x in spec.get("added_tokens", ())]
         self.model, self.max_cached = self.tokenizer.model, max_cached
-        self.pieces: dict[str, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
+        #: Letters to ids; when the young ones are many, the old ones go.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bytes = _alphabet()
+        #: The table: pieces, where their ids begin in ``pool``, how many they are, how often the piece was used.
+        self.known, self.pool = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.begin, self.size, self.uses = (np.zeros(0, np.int64) for _ in range(3))
+        #: Entries whose white space may go on in the next piece (byte layout).
+        self.open = np.zeros(0, np.uint8)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _core(self, core: str) -> list[int]:
+    def _core(self, core: str) -> bytes:
         """Ids of letters, with the space before them in the byte layout."""
-        found = self.cores.get(core)
+        found = self.young.get(core)
         if found is None:
-            mapped = core.replace(" ", "Ġ") if core.isascii() else core.encode().decode("latin-1").translate(self.bytes)
-            found = [t.id for t in self.model.tokenize(mapped)]
-            if len(self.cores) < self.max_cached:
-                self.cores[core] = found
+            found = self.old.get(core)
+            if found is None:
+                mapped = core.replace(" ", "Ġ") if core.isascii() else core.encode().decode("latin-1").translate(self.bytes)
+                found = _bytes([t.id for t in self.model.tokenize(mapped)])
+            if len(self.young) >= self.max_cached // 2:
+                self.old, self.young = self.young, {}
+            self.young[core] = found
         return found
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         """Ids of a piece; in the byte layout a leading space belongs to it."""
-        found = self.pieces.get(piece)
+        space = piece[:1] == " "
+        simple = _SIMPLE.fullmatch(piece, 1 if space else 0)
+        core = simple[1] if simple else ""
+        if simple and self.layout == "word":
+            core = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
+        if not simple or not core.isalpha() or "Σ" in simple[1]:
+            return _bytes(self.whole(piece))
+        found = self._core(" " + core if space else core)
+        return found + self._core_of_marks(simple[2]) if simple[2] else found
+
+    def _core_of_marks(self, marks: str) -> bytes:
+        found = self.young.get(marks)
         if found is None:
-            space = piece[:1] == " "
-            simple = _SIMPLE.fullmatch(piece, 1 if space else 0)
-            core = simple[1] if simple else ""
-            if self.layout == "word" and simple:
-                core = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
-            if simple and core.isalpha() and "Σ" not in simple[1]:
-                found = self._core(" " + core if space else core)
-                if simple[2]:
-                    found = found + self.piece(simple[2])
-            else:
-                found = self.whole(piece)
-            if len(self.pieces) < self.max_cached:
-                self.pieces[piece] = found
+            found = self.young[marks] = _bytes(self.whole(marks))
         return found
 
+    def _entry(self, piece: str) -> bytes:
+        """Ids of a table entry: in the byte layout a space stands before it unless it begins with a line end."""
+        if not piece:
+            return b""
+        if self.layout == "word":
+            return self.piece(piece)
+        if piece[0] != "\n":
+            return self.piece(" " + piece)
+        return self._core_of_marks("\n") + (self.piece(piece[1:]) if piece[1:] else b"")
+
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
+        """The table entry of each piece; new pieces are encoded and added."""
+        if len(self.known) > self.max_cached:
+            self._evict()
+        found = pc.index_in(pieces, self.known)
+        slots = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            coded = pieces.take(pa.array(new)).dictionary_encode()
+            slots[new] = coded.indices.to_numpy() + len(self.known)
+            added = coded.dictionary.to_pylist()
+            ids = [self._entry(x) for x in added]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(size) - size))
+            self.size, self.uses = np.concatenate((self.size, size)), np.concatenate((self.uses, np.zeros(len(ids), np.int64)))
+            self.open = np.concatenate((self.open, np.fromiter(map(_is_open, added), np.uint8, len(added))))
+            self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), np.uint32)))
+            self.known = pa.concat_arrays([self.known, coded.dictionary])
+        self.uses += np.bincount(slots, minlength=len(self.uses))
+        return slots
+
+    def _evict(self) -> None:
+        """The more used two thirds stay."""
+        n = 2 * self.max_cached // 3
+        keep = np.sort(np.argpartition(-self.uses, n)[:n])
+        begin, size = self.begin[keep], self.size[keep]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.known, self.begin, self.size, self.uses, self.open = self.known.take(pa.array(keep)), ends - size, size, self.uses[keep] // 2, self.open[keep]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts and len + 1 offsets. Nulls are empty."""
         texts = pc.fill_null(column, "").cast(pa.large_string())
         n = len(texts)
-        if self.layout == "whole":
+        if self.layout == "whole" or not n:
             found = [np.array(self.whole(x), np.uint32) for x in texts.to_pylist()]
             return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.cumsum([0, *map(len, found)])
-        cut = pc.split_pattern(texts, " ")
-        offsets = cut.offsets.to_numpy().astype(np.int64)
-        flat = cut.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy().astype(np.int64)
-        distinct = flat.dictionary.to_pylist()
         byte = self.layout == "byte"
-        get, lead = self.pieces.get, " " if byte else ""
-        items = [get(lead + x) or self.piece(lead + x) if x else [] for x in distinct]
-        first = offsets[:-1]
-        if byte:  # first pieces have no space before them
-            heads = [distinct[c] for c in codes[first].tolist()]
-            slot: dict[str, int] = {}
-            for head in heads:
-                if head not in slot:
-                    slot[head] = len(items)
-                    items.append(self.piece(head) if head else [])
-            doubtful = np.array([not x or x[-1].isspace() for x in distinct], bool)[codes]
-            codes[first] = [slot[x] for x in heads]
-        sizes = np.fromiter(map(len, items), np.int64, len(items))
-        ids = np.fromiter((i for x in items for i in x), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
+        odd = np.zeros(n, bool)
+        for mark in [*self.special, *(["  ", " \n", "\n ", "\n\n\n"] if byte else [])]:
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if byte else " "), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        pieces = cut.flatten()
+        slots = self._slots(pieces)
+        pool, begin, size = self.pool, self.begin, self.size
+        if byte:
+            first = offsets[:-1]
+            odd |= pc.ends_with(texts, "\n\n").to_numpy(zero_copy_only=False)
+            odd |= np.add.reduceat(self.open[slots], first) > 0
+            # No space stands before a text's first piece.
+            heads = [self.piece(x) if x else b"" for x in pieces.take(pa.array(first)).to_pylist()]
+            lengths = np.fromiter(map(len, heads), np.int64, n) // 4
+            begin = np.concatenate((begin, len(pool) + np.cumsum(lengths) - lengths))
+            size, pool = np.concatenate((size, lengths)), np.concatenate((pool, np.frombuffer(b"".join(heads), np.uint32)))
+            slots[first] = len(self.begin) + np.arange(n)
+        lengths = size[slots]
         ends = np.cumsum(lengths)
-        gather = np.repeat(begin[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        out = ids[gather]
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+        gather = np.repeat((begin[slots] - (ends - lengths)).astype(kind), lengths)
+        gather += np.arange(total, dtype=kind)
+        out = pool[gather]
         at = np.concatenate(([0], ends))[offsets]
-        if byte and doubtful.any():
-            odd = np.flatnonzero(np.add.reduceat(doubtful, first) > 0) if n else []
-            values = {int(k): np.array(self.whole(texts[int(k)].as_py()), np.uint32) for k in odd if texts[int(k)].as_py()}
+        if odd.any():
+            values = {k: np.array(self.whole(texts[k].as_py()), np.uint32) for k in np.flatnonzero(odd).tolist()}
             parts = [values.get(k, out[at[k] : at[k + 1]]) for k in range(n)]
             out, at = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return out, at
@@ -140,7 +201,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def column_blocks(column: pa.Array, limit: int = 4 << 20) -> list[tuple[int, int]]:
+def column_blocks(column: pa.Array, limit: int = BLOCK) -> list[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = (np.cumsum(sizes) - sizes) // limit
