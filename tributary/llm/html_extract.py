@@ -1,14 +1,20 @@
 """Main-text extraction from HTML by text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines: the text of one block with its number of tags and of
-characters inside links. The text-to-tag ratio of each line is smoothed with a Gaussian over its neighbours, and a
-one-dimensional two-means clustering of the smoothed ratios separates content lines from the rest. The content lines
-select the region: all article and main elements that hold some of them, else the innermost element that holds four
-fifths of their text. Blocks of the region are the text, without those inside elements that are never content: scripts, styles,
-menus, headers and footers of the page, asides, forms, notices, adverts, comments, hidden elements.
+characters inside links. Elements whose tag, class, id or role names boilerplate (scripts, styles, menus, headers and
+footers of the page, asides, forms, notices, adverts, comments, hidden elements) give no lines. The text-to-tag ratio of
+each line is smoothed with a Gaussian over its neighbours, and a one-dimensional two-means clustering of the logarithms
+of the smoothed ratios separates content lines from the rest.
 
-White space inside a block becomes one space, blocks are joined in page order by one space; short blocks of the region
-are kept. Character references are decoded.
+Regions are elements in which content lines have a large share of the text: of article and main elements that name
+themselves content a twentieth is asked, of any other element half. If the article and main elements so found hold at
+least half of all content text, they are the regions; else the largest other elements join them. The text is all lines
+of the regions but those that are mostly links; of these, content lines stay that are headings or stand between two
+other content lines. So a menu without a name goes, and a linked heading, which its neighbours lift, stays. A page
+without regions gives its lines that are not mostly links.
+
+White space inside a block becomes one space, blocks are joined in page order by one space; short blocks of a region are
+kept. Character references are decoded. Time and memory grow linearly with the page, however deep it nests.
 
 Defined results: null or empty html, or a page without content, gives an empty text; broken or cut markup is read as
 far as it goes, and an element left open reaches to the end of its parent; repeated rows give a row each; other columns
@@ -18,8 +24,9 @@ are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
+#: Least share of content lines in the text of a region: of elements that name themselves content, and of others.
+NAMED_SHARE, SHARE = 0.05, 0.5
 
 # Fixed values of HTML: elements without content, elements that break a line, and those whose text is never content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +49,8 @@ SILENT = set(
     "script style noscript template head title iframe object svg math canvas audio video button select textarea form nav "
     "aside footer menu dialog search label fieldset".split()
 )
-#: Words in class, id or role that name boilerplate, and those that do so only outside an article.
+#: Words in class, id or role that name boilerplate, those that do so only outside an article, and words that may stand
+#: beside them: a name counts only if it has no other word, so that ``legal-analysis`` is content.
 BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo "
     "cookie cookies disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation navigator newsletter "
@@ -48,11 +58,20 @@ BOILERPLATE = set(
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets "
     "complementary dialog alert announcement paywall".split()
 )
-OUTSIDE = {"header", "head", "site", "top", "bottom", "tags", "meta"} - {"meta"}
-_NAMES = re.compile(r"[a-z0-9]+")
+OUTSIDE = {"header", "head", "site", "top", "bottom", "tags"}
+BESIDE = set(
+    "area articles bar block body bottom box button buttons card cards center column container content dark desktop fixed "
+    "form grid group header hero icon icons id inline inner item items js label large layout left light link links list "
+    "main media message mobile module news outer page panel popular post posts primary print reader readers right row "
+    "secondary section sections site slot small sticky stories story strip tags text thread title top unit user users "
+    "view wrap wrapper zone".split()
+)
+_NAMES = re.compile(r"[a-z]+")
 #: A start tag of the first set ends an open element of the second set (fixed values of HTML).
 ENDS_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "li", "dd", "dt", "option", "figcaption", "summary"}
 SELF_ENDING = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+KEEPS_P = ("td", "th", "button", "object")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -62,87 +81,96 @@ def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) ->
         return True
     if tag in ("html", "body", "main"):
         return False
-    said = [x for key in ("class", "id", "role") for x in (attrs.get(key) or "").lower().split()]
-    words = {w for x in said if not re.match(r"(has|with|no|without)[-_]", x) for w in _NAMES.findall(x)}
-    if tag == "article":
-        return bool(words & {"comment", "comments", "ad", "advert", "advertisement", "sponsored", "promo", "related"})
-    return bool(words & BOILERPLATE) or not in_article and bool(words & OUTSIDE)
+    naming = {"comment", "comments", "ad", "advert", "advertisement", "sponsored", "promo", "related"} if tag == "article" else BOILERPLATE if in_article else BOILERPLATE | OUTSIDE
+    for said in (x for key in ("class", "id", "role") for x in (attrs.get(key) or "").lower().split()):
+        words = set(_NAMES.findall(said))
+        if words & naming and words <= BOILERPLATE | OUTSIDE | BESIDE and not re.match(r"(has|with|no|without)[-_]", said):
+            return True
+    return False
 
 
+@dataclass(slots=True)
 class Line:
-    __slots__ = ("text", "tags", "linked", "scope", "path")
+    text: str
+    tags: int
+    linked: int
+    element: int
+    heads: bool  # a heading
 
-    def __init__(self, text: str, tags: int, linked: int, scope: int, path: tuple[int, ...]):
-        self.text, self.tags, self.linked, self.scope, self.path = text, tags, linked, scope, path
+    @property
+    def is_links(self) -> bool:
+        return 2 * self.linked > len(self.text)
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page that are not inside boilerplate."""
+    """Collects the lines of a page that are not inside boilerplate, and the tree of its elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.n_scopes = 0
-        #: tag, inside boilerplate, scope (number of the article or main element), number of the element
-        self.stack: list[tuple[str, bool, int, int]] = []
-        self.n_elements = 0
-        self.scope_kind = {0: ""}
+        self.tags = self.linked = 0
+        #: Open elements (tag, inside boilerplate, inside an article, number), and where each tag is among them.
+        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        #: Of each element, 0 being the page: its parent, and whether it names itself content.
+        self.parent, self.named = [0], [False]
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.stack[-1][2] if self.stack else 0, tuple(x[3] for x in self.stack)))
+            self.lines.append(Line(text, self.tags, self.linked, self.stack[-1][3] if self.stack else 0, self._open(*HEADINGS) >= 0))
             self.tags = self.linked = 0
         self.parts = []
 
+    def _open(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def _pop_to(self, k: int) -> None:
         if any(tag in BLOCK for tag, *_ in self.stack[k:]):
             self._end_line()
+        for tag, *_ in self.stack[k:]:
+            self.places[tag].pop()
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
         if tag in BLOCK:
             self._end_line()
-        if tag in ENDS_P:
-            at = max((k for k, x in enumerate(self.stack) if x[0] == "p"), default=None)
-            if at is not None and not any(x[0] in ("td", "th", "button", "object") for x in self.stack[at:]):
-                self._pop_to(at)
+        if tag in ENDS_P and (at := self._open("p")) >= 0 and self._open(*KEEPS_P) < at:
+            self._pop_to(at)
         if tag in SELF_ENDING:
-            at = max((k for k, x in enumerate(self.stack) if x[0] == tag or {x[0], tag} == {"dd", "dt"}), default=None)
-            if at is not None and not any(x[0] in SELF_ENDING[tag] for x in self.stack[at:]):
+            at = self._open("dd", "dt") if tag in ("dd", "dt") else self._open(tag)
+            if at >= 0 and self._open(*SELF_ENDING[tag]) < at:
                 self._pop_to(at)
-        if tag == "br":
+        _, silent, in_article, up = self.stack[-1] if self.stack else ("", False, False, 0)
+        self.tags += not silent
+        if tag == "br" and not silent:
             self.parts.append(" ")
         if tag in VOID:
             return
-        _, silent, scope, _ = self.stack[-1] if self.stack else ("", False, 0, 0)
-        silent = silent or _is_boilerplate(tag, dict(attrs), self.scope_kind[scope] == "article")
-        if tag == "main" or tag == "article" and self.scope_kind[scope] != "article":
-            self.n_scopes += 1
-            scope = self.n_scopes
-            self.scope_kind[scope] = tag
-        self.n_elements += 1
-        self.stack.append((tag, silent, scope, self.n_elements))
+        silent = silent or _is_boilerplate(tag, dict(attrs), in_article)
+        self.parent.append(up)
+        self.named.append(tag in ("article", "main"))
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, silent, in_article or tag == "article", len(self.parent) - 1))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        if tag == "p" and all(x[0] != "p" for x in self.stack):
-            self._end_line()
-            return
-        at = max((k for k, x in enumerate(self.stack) if x[0] == tag), default=None)
-        if at is not None:
+        at = self._open(tag)
+        self.tags += at >= 0 and not self.stack[-1][1]
+        if at >= 0:
             self._pop_to(at)
+        elif tag == "p":
+            self._end_line()
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][1]:
             return
         self.parts.append(data)
-        if any(x[0] == "a" for x in self.stack):
+        if self.places["a"]:
             self.linked += len(data.strip())
 
     def close(self) -> None:
@@ -177,6 +205,32 @@ def content_lines(values: np.ndarray, rounds: int = 20) -> np.ndarray:
     return x > (low + high) / 2
 
 
+def regions(lines: list[Line], content: np.ndarray, parent: list[int], named: list[bool]) -> np.ndarray:
+    """For each element whether it is, or is inside, a region."""
+    n = len(parent)
+    good, whole = np.zeros(n), np.zeros(n)
+    for line, is_content in zip(lines, content.tolist(), strict=True):
+        whole[line.element] += len(line.text)
+        good[line.element] += (len(line.text) - line.linked) * is_content
+    for e in range(n - 1, 0, -1):  # a parent has a smaller number
+        whole[parent[e]] += whole[e]
+        good[parent[e]] += good[e]
+    says = np.array(named)
+    found = says & (good > 0) & (good >= NAMED_SHARE * whole)
+    inside, held = found.copy(), 0.0
+    for e in range(1, n):
+        held += good[e] * (found[e] and not inside[parent[e]])
+        inside[e] |= inside[parent[e]]
+    if 2 * held < good[0] or not held:
+        holds = np.zeros(n, bool)  # elements around a region that names itself take no lines beside it
+        for e in range(n - 1, 0, -1):
+            holds[parent[e]] |= holds[e] | inside[e]
+        inside |= (good > 0) & (good >= SHARE * whole) & ~holds
+        for e in range(1, n):
+            inside[e] |= inside[parent[e]]
+    return inside
+
+
 def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
@@ -185,21 +239,13 @@ def extract(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines(smooth(ratios(lines)))
-    held: Counter[int] = Counter()
-    for line, good in zip(lines, content, strict=True):
-        if line.scope:
-            held[line.scope] += (len(line.text) - line.linked) * bool(good)
-    scopes = {s for s, n in held.items() if n} or {s for s in held if any(x.scope == s and x.linked < len(x.text) for x in lines)}
-    if scopes:
-        return " ".join(x.text for x in lines if x.scope in scopes)
-    inside: Counter[int] = Counter()
-    for line, good in zip(lines, content, strict=True):
-        for element in line.path if good else ():
-            inside[element] += len(line.text) - line.linked
-    enough = 0.8 * sum(len(x.text) - x.linked for x, good in zip(lines, content, strict=True) if good)
-    region = max((e for e, n in inside.items() if n >= enough), default=0)  # elements are numbered from outside to inside
-    chosen = [(x, good) for x, good in zip(lines, content, strict=True) if not region or region in x.path]
-    return " ".join(x.text for x, good in chosen if good or 2 * x.linked <= len(x.text))
+    inside = regions(lines, content, parser.parent, parser.named)
+    text = np.array([not x.is_links for x in lines])
+    beside = np.concatenate(([False], content & text, [False]))
+    between = beside[:-2] & beside[2:]
+    good = inside[[x.element for x in lines]] & (text | content & (between | [x.heads for x in lines]))
+    kept = [lines[k].text for k in np.flatnonzero(good)]
+    return " ".join(kept or [x.text for x in lines if not x.is_links])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
