@@ -66,7 +66,7 @@ def test_near_dedup_is_the_sequential_pass(spark):
         if not any(like(s, sets[j]) for j in kept):
             kept.append(i)
     assert sorted(r.rec_id for r in dedup.near_dedup(keyed(spark, texts)).collect()) == kept
-    pairs = {(r.a, r.b) for r in dedup.similar_pairs(dedup.shingle_sets(keyed(spark, texts).where("key <> ''"))).collect()}
+    pairs = {(r.a, r.b) for r in dedup.similar_pairs(keyed(spark, texts).where("key <> ''")).collect()}
     assert pairs == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])}
     assert dedup.exact_dedup(keyed(spark, texts)).count() == len(set(texts))
 
@@ -242,3 +242,83 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("kept").count() == 1
+
+
+def test_long_chains_are_decided(spark):
+    pairs = spark.createDataFrame([(i, i + 1, 0.9) for i in range(230)], "a long, b long, similarity double")
+    assert sorted(r.rec_id for r in dedup.first_kept(pairs).collect()) == list(range(1, 231, 2))
+
+
+def test_crowds_of_near_copies(spark, monkeypatch):
+    """Large groups are compared with their first record; the result is that of the sequential pass."""
+    rng = random.Random(5)
+    monkeypatch.setattr(dedup, "CROWD", 4)
+    texts = []
+    for base in ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3)):
+        for _ in range(30):
+            t = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t))
+    rng.shuffle(texts)
+    sets, kept = [set(text.character_shingles(text.canonical_text(t)).tolist()) for t in texts], []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) / len(s | sets[j]) >= 0.85 for j in kept):
+            kept.append(i)
+    assert sorted(r.rec_id for r in dedup.near_dedup(keyed(spark, texts)).collect()) == kept
+
+
+def test_request_rate():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    pace = inference.Pace(2.0, lambda: now[0], sleep)
+    waits = [pace.wait() for _ in range(6)]
+    assert waits[:2] == [0, 0] and all(abs(w - 0.5) < 1e-9 for w in waits[2:]) and abs(sum(slept) - 2.0) < 1e-9
+    now[0] += 100.0
+    assert [pace.wait() for _ in range(2)] == [0, 0] and pace.wait() > 0  # no more than the burst is saved up
+    assert inference.Pace(0).wait() == 0
+    with pytest.raises(ValueError):
+        inference.JobSettings(requests_per_second=-1)
+
+
+def test_generation_job_resumes_and_batches(spark, tmp_path):
+    class Batches:
+        def batch(self, prompts):
+            if any("bad" in p for p in prompts):
+                raise inference.CallFailed("no", 400)
+            return [f" {len(prompts)} " for p in prompts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 9 else f"q{i}", "", f"gold {i}") for i in range(10)], "rec_id long, instruction string, input string, output string")
+    log, settings = f"file://{tmp_path}/log", inference.JobSettings(base_delay=0.0, requests_per_second=0, partitions=1, batch_size=3)
+    got = {r.rec_id: r for r in inference.generation_job(df.where("rec_id < 7"), Batches, settings, log).collect()}
+    assert len(got) == 7 and {r.output for r in got.values()} <= {"1", "3"} and not any(r.error for r in got.values())
+    again = {r.rec_id: r for r in inference.generation_job(df, Batches, settings, log).collect()}
+    assert all(again[i].output == got[i].output for i in got) and again[9].output == "" and "400" in again[9].error
+    assert {r.output for r in inference.generation_job(df, " PassThrough ", settings).collect()} == {f"gold {i}" for i in range(10)}
+    with pytest.raises(ValueError):
+        inference.provider("nobody")
+    assert src.read_generation_log(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_three_way_scores_are_split_back(spark):
+    df = spark.createDataFrame([(0, f"e{i}", "q", ["c"], ["n"], [1, 2]) for i in range(5)], "batch int, example_id string, question string, contexts array<string>, negative array<string>, labels array<int>")
+    make = lambda: lambda prompts, labels: [[[float(len(p)), float(k)] for k in range(len(y))] for p, y in zip(prompts, labels)]
+    rows = inference.three_way_scores(df, make, batch_size=2).collect()
+    bare, rag = len("Question: q\nAnswer:"), len("Context 1: c\nContext 2: \nContext 3: \nQuestion: q\nAnswer:")
+    assert len(rows) == 10 and all((r.rag[0], r.bare[0], r.neg[0], r.bare[1]) == (rag, bare, rag, r.pos) for r in rows)
+
+
+def test_approximate_neighbours_reach_the_exact_ones(spark):
+    from tributary.plans.queries_models import vectors
+
+    q, corpus = vectors(spark, "/root/testdata/sf0.01")
+    exact = {(r.query_id, r.doc_id) for r in retrieval.cosine_top_k(q, corpus, 3).collect()}
+    near = {(r.query_id, r.doc_id) for r in retrieval.lsh_top_k(q, corpus, 3).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    far = spark.createDataFrame([(i, [1.0 if i == k else 0.0 for k in range(8)]) for i in range(8)], "doc_id long, embedding array<float>")
+    few = retrieval.lsh_top_k(far.select(F.col("doc_id").alias("query_id"), "embedding"), far, 3).groupBy("query_id").count().collect()
+    assert len(few) == 8 and all(r["count"] == 3 for r in few)

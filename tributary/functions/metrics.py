@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tributary.functions.curation import let, ngrams
-from tributary.functions.text import qa_normalize, words
+from tributary.functions.text import let, ngrams, qa_normalize, words
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.metrics import bleu4, exact_match, token_f1
+from tributary.session import save
 
 STRATA = ("parametric", "retrieval_dependent", "hard")
 METRICS = ("exact_match", "f1", "bleu4")
@@ -26,8 +27,8 @@ def evaluate_models(scores: DataFrame) -> DataFrame:
 
 def compare_models(scores: DataFrame) -> DataFrame:
     """A row a metric, a column a model, in percent with one decimal."""
-    means = evaluate_models(scores).unpivot(["model"], list(METRICS), "metric", "value")
-    models = [r["model"] for r in scores.select("model").distinct().orderBy("model").limit(1000).collect()]
+    means = save(evaluate_models(scores), "model-means").unpivot(["model"], list(METRICS), "metric", "value")
+    models = [r["model"] for r in means.select("model").distinct().orderBy("model").collect()]  # they become columns
     return means.groupBy("metric").pivot("model", models).agg(F.round(100 * F.first("value"), 1))
 
 
@@ -66,6 +67,20 @@ def independence_gap(wide: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return wide.agg(mean("student").alias("em_alone"), mean("student_rag").alias("em_with_retrieval"), gap.alias("gap"), (F.abs(gap) < tolerance).alias("independent"))
 
 
+def evaluate_run(wide: DataFrame, models: tuple[str, ...]) -> dict[str, DataFrame]:
+    """All results of an evaluation of predictions (example_id, reference, and a column a model): ``models`` (the means of
+    each), ``table`` (a row a metric), and the retention probe where there are ``bare``, ``rag`` and ``student`` columns:
+    ``probe``, ``strata``, and ``gap`` where there is ``student_rag``, too."""
+    scores = save(scored(wide.unpivot(["example_id"], list(models), "model", "prediction"), wide.select("example_id", "reference")), "scores")
+    out = {"models": evaluate_models(scores), "table": compare_models(scores)}
+    if {"bare", "rag", "student"} <= set(wide.columns):
+        stratified = stratify(wide)
+        out |= {"probe": retention(stratified), "strata": probe_strata(stratified)}
+        if "student_rag" in wide.columns:
+            out["gap"] = independence_gap(wide)
+    return out
+
+
 def bin_edges(n_bins: int = 10) -> list[float]:
     step = 1.0 / n_bins
     return [i * step for i in range(n_bins)] + [1.0]

@@ -7,11 +7,14 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.text import build_prompt, filled, strip
+from tributary.functions.text import bare_prompt, build_prompt, filled, rag_prompt, strip, student_input
+from tributary.session import save
+from tributary.sources.records import append_generations, read_generation_log
 
 #: Statuses after which another attempt may succeed; so does a call that got no status at all.
 RETRIED = {408, 409, 425, 429}
@@ -32,8 +35,31 @@ class JobSettings:
     max_delay: float = 60.0
     requests_per_second: float = 4.0  # of all partitions together; 0: no limit
     partitions: int = 8
-    batch_size: int = 8
-    max_new_tokens: int = 256
+    batch_size: int = 8  # prompts in a call of a client that takes several
+
+    def __post_init__(self):
+        if self.requests_per_second < 0 or self.attempts < 1 or self.batch_size < 1 or self.partitions < 1:
+            raise ValueError("requests_per_second must not be negative; attempts, batch_size and partitions are at least 1")
+
+
+class Pace:
+    """A token bucket: ``rate`` calls a second, up to max(1, rate) of them at once."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.size, self.clock, self.sleep = rate, max(1.0, rate), clock, sleep
+        self.tokens, self.at = self.size, clock()
+
+    def wait(self) -> float:
+        """Takes a token, after sleeping until there is one; returns the seconds slept."""
+        if not self.rate:
+            return 0.0
+        now = self.clock()
+        self.tokens, self.at = min(self.size, self.tokens + (now - self.at) * self.rate), now
+        pause = max(0.0, (1 - self.tokens) / self.rate)
+        if pause:
+            self.sleep(pause)
+        self.tokens -= 1
+        return pause
 
 
 def is_retryable(status: int | None) -> bool:
@@ -45,51 +71,106 @@ def delay(attempt: int, s: JobSettings, jitter: Callable[[], float] = random.ran
     return min(s.base_delay * 2 ** (attempt - 1), s.max_delay) * jitter()
 
 
-def call(client: Callable[[str], str], prompt: str, s: JobSettings, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
-    """(output, error) of a prompt after at most ``attempts`` tries."""
+def call(client: Callable, request, s: JobSettings, sleep: Callable[[float], None] = time.sleep) -> tuple:
+    """(output, error) of a request (a prompt, or a list of prompts) after at most ``attempts`` tries."""
     for attempt in range(1, s.attempts + 1):
         try:
-            return client(prompt), None
+            return client(request), None
         except CallFailed as e:
             if attempt == s.attempts or not is_retryable(e.status):
                 return None, f"{e.status}: {e}"
             sleep(delay(attempt, s))
-    return None, "no attempt"
+    raise AssertionError("attempts is at least 1")
 
 
-def generate(records: DataFrame, make_client: Callable[[], Callable[[str], str]], settings: JobSettings = JobSettings()) -> DataFrame:
-    """rec_id, output, error. ``make_client()`` is called once a partition; failures become rows, not failed tasks."""
+def _answers(prompts: list[str], client, pace: Pace, s: JobSettings) -> Iterator[tuple[str | None, str | None]]:
+    """(output, error) of each prompt; a client with a ``batch`` method gets ``batch_size`` prompts at once."""
+    if not hasattr(client, "batch"):
+        for prompt in prompts:
+            pace.wait()
+            yield call(client, prompt, s)
+        return
+    for lo in range(0, len(prompts), s.batch_size):
+        part = prompts[lo : lo + s.batch_size]
+        pace.wait()
+        outputs, error = call(client.batch, part, s)
+        yield from zip(outputs if error is None else [None] * len(part), [error] * len(part), strict=True)
+
+
+def _ask(prompts: DataFrame, key: str, make_client: Callable[[], Callable], settings: JobSettings) -> DataFrame:
+    """(key, prompt) to (key, output, error); the request rate is shared out among the partitions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, pause = make_client(), settings.partitions / settings.requests_per_second if settings.requests_per_second else 0.0
-        free, burst = time.monotonic(), max(1.0, settings.requests_per_second / settings.partitions)
+        client, pace = make_client(), Pace(settings.requests_per_second / settings.partitions)
         for batch in batches:
-            rows = []
-            for rec_id, prompt in zip(batch["rec_id"], batch["prompt"], strict=True):
-                if pause:
-                    now = time.monotonic()
-                    free = max(free, now - burst * pause) + pause
-                    if free > now:
-                        time.sleep(free - now)
-                rows.append((rec_id, *call(client, prompt, settings)))
-            yield pd.DataFrame(rows, columns=["rec_id", "output", "error"])
+            found = list(_answers(batch["prompt"].tolist(), client, pace, settings))
+            yield pd.DataFrame({key: batch[key], "output": [x for x, _ in found], "error": [e for _, e in found]}, columns=[key, "output", "error"])
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(key, "prompt").repartition(settings.partitions, key).mapInPandas(run, f"{key} {kind}, output string, error string")
+
+
+def generate(records: DataFrame, make_client: Callable[[], Callable], settings: JobSettings = JobSettings()) -> DataFrame:
+    """rec_id, output, error. ``make_client()`` is called once a partition; failures become rows, not failed tasks."""
+    return _ask(records.select("rec_id", build_prompt(F.col("instruction"), F.col("input")).alias("prompt")), "rec_id", make_client, settings)
+
+
+def predict(examples: DataFrame, make_client: Callable[[], Callable], settings: JobSettings = JobSettings(), n_contexts: int = 2) -> DataFrame:
+    """(example_id, question, reference[, contexts]) to (example_id, prediction, reference, error): with contexts the first
+    ``n_contexts`` of them stand before the question."""
+    q = F.col("question")
+    prompt = rag_prompt(q, F.col("contexts"), n_contexts) if "contexts" in examples.columns else student_input(q)
+    said = _ask(examples.select("example_id", prompt.alias("prompt")), "example_id", make_client, settings)
+    return examples.select("example_id", "reference").join(said, "example_id").select("example_id", F.col("output").alias("prediction"), "reference", "error")
+
+
+PASSTHROUGH = "passthrough"
+
 
-    prompts = records.select("rec_id", build_prompt(F.col("instruction"), F.col("input")).alias("prompt"))
-    return prompts.repartition(settings.partitions, "rec_id").mapInPandas(run, "rec_id long, output string, error string")
+class EchoTeacher:
+    """A deterministic teacher for tests: says how long the prompt's instruction is, and fails at first for some."""
 
+    def __init__(self):
+        self.failed: set[str] = set()
 
-#: Teachers by name; a name maps to a client factory.
-PROVIDERS: dict[str, Callable[[], Callable[[str], str]]] = {}
+    def __call__(self, prompt: str) -> str:
+        body = prompt.split("### Instruction:\n", 1)[-1].split("\n\n###", 1)[0]
+        if len(body) % 5 == 0 and body not in self.failed:
+            self.failed.add(body)
+            raise CallFailed("busy", 429)
+        return f"echo {len(body)}"
 
 
-def provider(name: str) -> str:
-    """The registered name, whatever its case and surrounding space."""
-    found = (name or "").strip().lower()
-    if found not in PROVIDERS and found != "passthrough":
-        raise ValueError(f"unknown teacher provider {name!r}; known: {', '.join(['passthrough', *PROVIDERS])}")
+#: Teachers by name; a name maps to a client factory. ``passthrough`` needs no client: its targets are the gold answers.
+PROVIDERS: dict[str, Callable[[], Callable] | None] = {PASSTHROUGH: None, "echo": EchoTeacher}
+
+
+def provider(name: str | None) -> str:
+    """The registered name, whatever its case and surrounding space; passthrough where there is none."""
+    found = (name or PASSTHROUGH).strip().lower()
+    if found not in PROVIDERS:
+        raise ValueError(f"unknown teacher provider {name!r}; known: {', '.join(PROVIDERS)}")
     return found
 
 
+def generation_job(records: DataFrame, teacher: str | Callable[[], Callable], settings: JobSettings = JobSettings(), log_path: str | None = None) -> DataFrame:
+    """rec_id, output, error of all records: what the log has is kept, the rest is generated and appended to the log, so
+    that a job that broke off goes on where it was. A failed call has an empty output and its error, and is tried again
+    by the next run. ``teacher`` is a registered name or a client factory."""
+    make_client = PROVIDERS[provider(teacher)] if isinstance(teacher, str) else teacher
+    if make_client is None:
+        return records.select("rec_id", F.coalesce("output", F.lit("")).alias("output"), F.lit(None).cast("string").alias("error"))
+    spark = records.sparkSession
+    empty = spark.createDataFrame([], "rec_id long, output string")
+    done = save(read_generation_log(spark, log_path), "generation-log") if log_path else empty
+    made = save(generate(pending(records, done), make_client, settings), "generated")
+    good = made.where("error is null").select("rec_id", strip(filled(F.col("output"))).alias("output"))
+    if log_path:
+        append_generations(good, log_path)
+    failed = made.where("error is not null").select("rec_id", "error")
+    return merge(records, done.unionByName(good)).join(failed, "rec_id", "left")
+
+
 def pending(records: DataFrame, done: DataFrame) -> DataFrame:
     return records.join(done.select("rec_id"), "rec_id", "left_anti")
 
@@ -109,8 +190,6 @@ def distill_targets(records: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def three_way_prompts(examples: DataFrame) -> DataFrame:
     """(example_id, question, contexts, negative) to a row a prompt kind: rag, bare, neg."""
-    from tributary.functions.text import bare_prompt, rag_prompt
-
     q = F.col("question")
     kinds = F.array(
         F.struct(F.lit("rag").alias("kind"), rag_prompt(q, F.col("contexts")).alias("prompt")),
@@ -118,3 +197,31 @@ def three_way_prompts(examples: DataFrame) -> DataFrame:
         F.struct(F.lit("neg").alias("kind"), rag_prompt(q, F.col("negative")).alias("prompt")),
     )
     return examples.select("example_id", F.explode(kinds).alias("k")).select("example_id", "k.kind", "k.prompt")
+
+
+def three_way_scores(examples: DataFrame, make_scorer: Callable[[], Callable], batch_size: int = 8) -> DataFrame:
+    """(batch, example_id, question, contexts, negative, labels) to rows (batch, example_id, pos, label, rag, bare, neg).
+    ``make_scorer()`` is called once a partition; its scorer takes prompts and the label ids of each and returns for each
+    an array of logits [position, vocabulary]. The three prompts of ``batch_size`` examples are scored in one call and
+    split back, so that no logits are shuffled."""
+    q = F.col("question")
+    prompts = (rag_prompt(q, F.col("contexts")), bare_prompt(q), rag_prompt(q, F.col("negative")))
+    asked = examples.select("batch", "example_id", F.col("labels").cast("array<int>").alias("labels"), F.array(*prompts).alias("prompts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = make_scorer()
+        for rows in batches:
+            for lo in range(0, len(rows), batch_size):
+                part = rows.iloc[lo : lo + batch_size]
+                labels = [[int(y) for y in x] for x in part["labels"]]
+                logits = score([p[k] for k in range(3) for p in part["prompts"]], labels * 3)
+                n = len(part)
+                out = [
+                    (b, e, pos, y, *(np.asarray(logits[k * n + i][pos], np.float32) for k in range(3)))
+                    for i, (b, e) in enumerate(zip(part["batch"], part["example_id"], strict=True))
+                    for pos, y in enumerate(labels[i])
+                ]
+                yield pd.DataFrame(out, columns=["batch", "example_id", "pos", "label", "rag", "bare", "neg"])
+
+    kinds = "batch int, example_id string, pos int, label int, rag array<float>, bare array<float>, neg array<float>"
+    return asked.withColumns({"batch": F.col("batch").cast("int"), "example_id": F.col("example_id").cast("string")}).mapInPandas(run, kinds)

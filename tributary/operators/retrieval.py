@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.curation import let
-from tributary.functions.text import passage_id, words
+from tributary.functions.text import let, passage_id, words
+from tributary.session import save
 
 CHUNK, OVERLAP, TOP_K = 256, 32, 3
 #: Queries scored at once; a bounded broadcast. More queries are taken in blocks.
@@ -135,7 +135,11 @@ def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, bucket_leng
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(b)
     near = model.approxSimilarityJoin(a, b, radius, "l2").select("datasetA.query_id", "datasetB.doc_id", (F.col("l2") ** 2 / 2).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
+    found = save(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance"), "lsh-hits")
+    # Queries with fewer than k neighbours inside the radius are answered exactly.
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    rest = save(queries.join(enough, "query_id", "left_anti"), "lsh-rest")
+    return found.join(enough, "query_id", "left_semi").unionByName(cosine_top_k(rest, corpus, k))
 
 
 def upsert(store: DataFrame | None, passages: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from tributary.functions import text
 from tributary.operators import curriculum, evaluate, inference, retrieval
 from tributary.operators import softlabels as soft
 from tributary.plans.pipelines import build_passage_index as build_index
-from tributary.plans.queries_records import _PAIR, _QA, code_points, pairs
+from tributary.plans.pipelines import soft_label_job as run_soft_labels
+from tributary.plans.queries_records import _PAIR, _QA, pairs
 from tributary.plans.registry import query, table
 from tributary.session import save
 from tributary.sources import records as src
@@ -137,17 +138,6 @@ def student_inputs(spark, sf_dir):
     return squad(spark, sf_dir).select("rec_id", text.student_input(F.col("question")).alias("input_text"), F.coalesce(F.get("answers.text", F.lit(0)), F.lit("")).alias("answer_text"))
 
 
-@query("tokenize_records")
-def tokenize_records(spark, sf_dir):
-    """Supervised arrays of whole prompts and outputs; characters stand for the user's tokenizer."""
-    from tributary.functions import sft
-
-    rows = pairs(spark, sf_dir).withColumn("prompt", text.build_prompt(F.col("instruction"), F.col("input")))
-    rows = rows.select("rec_id", code_points("prompt", 1 << 20).alias("p"), code_points("output", 1 << 20).alias("r"))
-    ids, labels, mask = sft.supervised(F.col("p"), F.col("r"), 2, 1024)
-    return rows.select("rec_id", ids.alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask")).where(sft.is_trainable(F.col("labels")))
-
-
 @query("build_passage_index", f"""WITH e AS (SELECT rec_id, CASE WHEN rec_id % 2 = 0 THEN output ELSE 'one shared context' END AS context FROM {_PAIR} WHERE rec_id % 3 <> 0),
 c AS (SELECT DISTINCT context FROM e), w AS (SELECT list_filter(string_split_regex(context, '\\s+'), lambda x: x <> '') AS w FROM c),
 k AS (SELECT DISTINCT array_to_string(list_slice(w, i + 1, i + 256), ' ') AS chunk FROM (SELECT w, unnest(range(0, greatest(len(w) - 32, 1), 224)) AS i FROM w WHERE len(w) > 0))
@@ -441,3 +431,58 @@ def ece_by_group(spark, sf_dir):
     return evaluate.expected_calibration_error(confidences(spark, sf_dir), "l_linestatus").select("l_linestatus", F.round("ece", 6).alias("ece"), F.round("overconfidence", 6).alias("overconfidence"), "n")
 
 
+# Whole runs
+
+_PROMPT = "'Context 1: ' || output || chr(10) || 'Context 2: ' || chr(10) || 'Question: ' || instruction || chr(10) || 'Answer:'"
+
+
+@query("predict_with_contexts", f"SELECT rec_id AS example_id, 'echo ' || length({_PROMPT}) AS prediction, output AS reference FROM {_PAIR}")
+def predict_with_contexts(spark, sf_dir):
+    rows = pairs(spark, sf_dir).select(F.col("rec_id").alias("example_id"), F.col("instruction").alias("question"), F.col("output").alias("reference"), F.array("output").alias("contexts"))
+    settings = inference.JobSettings(base_delay=0.0, requests_per_second=0)
+    return inference.predict(rows, inference.EchoTeacher, settings).select("example_id", "prediction", "reference")
+
+
+_RUN = " UNION ALL ".join(f"SELECT 'models' AS part, model AS name, '{m}' AS metric, round(avg({m}), 6) AS value FROM s GROUP BY model" for m in evaluate.METRICS)
+
+
+@query("evaluate_run", f"""WITH {_BLEU} {_RUN}
+  UNION ALL SELECT 'probe', 'student', 'retention_rate', round(avg(es) FILTER (stratum = 'retrieval_dependent'), 6) FROM {_STRATA}
+  UNION ALL SELECT 'probe', 'student', 'parametric_preservation', round(avg(es) FILTER (stratum = 'parametric'), 6) FROM {_STRATA}
+  UNION ALL SELECT 'strata', stratum, 'n', CAST(count(*) AS DOUBLE) FROM {_STRATA} GROUP BY stratum
+  UNION ALL SELECT 'gap', 'student', 'gap', round(avg(eg) - avg(es), 6) FROM {_STRATA}""")
+def evaluate_run(spark, sf_dir):
+    run = evaluate.evaluate_run(predictions(spark, sf_dir), tuple(MODELS))
+
+    def rows(part: str, name, *metrics: str) -> DataFrame:
+        wide = run[part].select(F.lit(part).alias("part"), name.alias("name"), *(F.round(F.col(m).cast("double"), 6).alias(m) for m in metrics))
+        return wide.unpivot(["part", "name"], list(metrics), "metric", "value")
+
+    student = F.lit("student")
+    parts = [rows("models", F.col("model"), *evaluate.METRICS), rows("probe", student, "retention_rate", "parametric_preservation"), rows("strata", F.col("stratum"), "n"), rows("gap", student, "gap")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+class StubScorer:
+    """Logits over eight ids that depend on a prompt's length and the position."""
+
+    def __call__(self, prompts: list[str], labels: list[list[int]]) -> list[list[list[float]]]:
+        return [[[((3 * len(p) + 7 * pos + 5 * v) % 13) / 4 for v in range(8)] for pos in range(len(y))] for p, y in zip(prompts, labels, strict=True)]
+
+
+_NLL = "ln(list_sum(list_transform(range(8), lambda v: exp(((3 * {0} + 7 * pos + 5 * v) % 13) / 4.0)))) - ((3 * {0} + 7 * pos + 5 * ((query_id + pos) % 8)) % 13) / 4.0"
+
+
+@query("soft_label_job", f"""WITH c AS (SELECT query_id, string_agg('Context ' || rank || ': passage ' || doc_id || chr(10), '' ORDER BY rank) AS ctx FROM {_TOP} GROUP BY query_id),
+l AS (SELECT query_id, length('Question: q' || query_id || chr(10) || 'Answer:') AS lb, length(ctx) AS lc FROM c), p AS (SELECT query_id, lb, lb + lc AS lr, unnest(range(3)) AS pos FROM l)
+SELECT CAST(query_id AS VARCHAR) AS example_id, CAST((query_id // 20) // 8 AS INTEGER) AS batch, round(avg(({_NLL.format('lb')}) - ({_NLL.format('lr')})), 5) AS utility FROM p GROUP BY query_id""")
+def soft_label_job(spark, sf_dir):
+    q, corpus = vectors(spark, sf_dir)
+    i = F.col("query_id")
+    examples = q.select(
+        "query_id", F.floor(i / 160).cast("int").alias("batch"), (F.floor(i / 20) % 8).alias("pos"), i.cast("string").alias("example_id"),
+        F.concat(F.lit("q"), i.cast("string")).alias("question"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda x: ((i + x) % 8).cast("int")).alias("labels"),
+    )
+    store = corpus.withColumn("document", F.concat(F.lit("passage "), F.col("doc_id").cast("string")))
+    _, utility = run_soft_labels(examples, q, store, StubScorer, exclude_self=True)
+    return utility.select("example_id", "batch", F.round("utility", 5).alias("utility"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import curation as C
 from tributary.functions import sft, text
 from tributary.functions.budget import estimate_tokens
-from tributary.operators import budget, curate, dedup, inference
+from tributary.operators import budget, curate, dedup, inference, supervised
 from tributary.plans.pipelines import prepare_training_set as prepare
 from tributary.plans.registry import query, table
+from tributary.session import shared_dir
 from tributary.sources import records as src
 
 _PAIR = """(
@@ -115,28 +118,12 @@ def distill_targets(spark, sf_dir):
     return inference.distill_targets(rows, said)
 
 
-class EchoTeacher:
-    """A deterministic teacher: answers with the last line of the prompt's instruction, and fails at first for some."""
-
-    def __init__(self):
-        self.failed: set[str] = set()
-
-    def __call__(self, prompt: str) -> str:
-        body = prompt.split("### Instruction:\n", 1)[1].split("\n\n###", 1)[0]
-        if len(body) % 5 == 0 and body not in self.failed:
-            self.failed.add(body)
-            raise inference.CallFailed("busy", 429)
-        return f"echo {len(body)}"
-
-
-inference.PROVIDERS["echo"] = EchoTeacher
-
-
-@query("generate_targets", f"SELECT rec_id, 'echo ' || CAST(length(trim(instruction)) AS VARCHAR) AS output FROM {_PAIR}")
+@query("generate_targets", f"""SELECT rec_id, CASE WHEN rec_id % 4 = 0 THEN 'logged ' || output ELSE 'echo ' || CAST(length(trim(instruction)) AS VARCHAR) END AS output, CAST(NULL AS VARCHAR) AS error FROM {_PAIR}""")
 def generate_targets(spark, sf_dir):
-    settings = inference.JobSettings(base_delay=0.0, requests_per_second=0)
-    rows = pairs(spark, sf_dir)
-    return inference.generate(rows, EchoTeacher, settings).select("rec_id", "output")
+    """A job that goes on from a log that has a quarter of the records."""
+    rows, log = pairs(spark, sf_dir), f"{shared_dir(spark)}/generations-{uuid4().hex}"
+    src.append_generations(rows.where("rec_id % 4 = 0").select("rec_id", F.concat(F.lit("logged "), F.col("output")).alias("output")), log)
+    return inference.generation_job(rows, "echo", inference.JobSettings(base_delay=0.0, requests_per_second=0), log)
 
 
 # Text
@@ -314,8 +301,8 @@ pairs AS (
 
 
 def keyed_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("rec_id"), dedup.key_of().alias("key"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), "text")
+    return dedup.spread(docs).select("rec_id", dedup.key_of().alias("key"))
 
 
 @query("jaccard_pairs", f"""WITH k AS (SELECT rec_id, {_key('instruction')} AS a, {_key('output')} AS b FROM {_PAIR}),
@@ -334,8 +321,7 @@ def exact_dedup(spark, sf_dir):
 
 @query("near_dup_pairs", _NEAR + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def near_dup_pairs(spark, sf_dir):
-    sets = dedup.save(dedup.shingle_sets(keyed_texts(spark, sf_dir).where("key <> ''")), "shingles")
-    return dedup.similar_pairs(sets).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return dedup.similar_pairs(keyed_texts(spark, sf_dir).where("key <> ''")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("near_dedup", _NEAR + """, v AS (SELECT DISTINCT b AS id FROM pairs), o AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM v),
@@ -418,17 +404,27 @@ def padding_waste(spark, sf_dir):
 
 # Supervised arrays: characters stand for token ids
 
-_IDS = "list_transform(range(1, least(length({0}), {1}) + 1), lambda i: CAST(unicode(substring({0}, i, 1)) AS INTEGER))"
-_SFT = f"(SELECT rec_id, {_IDS.format('instruction', 200)} AS p, {_IDS.format('output', 200)} AS r FROM {_PAIR})"
+_IDS = "list_transform(string_split({0}, ''), lambda c: CAST(unicode(c) AS INTEGER))"
+_SFT = f"(SELECT rec_id, {_IDS.format('instruction')} AS p, {_IDS.format('output')} AS r FROM {_PAIR})"
 
 
-def code_points(column: str, n: int):
-    chars = F.filter(F.split(F.substring(column, 1, n), ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.ascii(c))
+def code_points(column: str):
+    """All characters of a text as numbers."""
+    return F.transform(F.filter(F.split(column, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def token_rows(spark, sf_dir):
-    return pairs(spark, sf_dir).select("rec_id", code_points("instruction", 200).alias("p"), code_points("output", 200).alias("r"))
+    return pairs(spark, sf_dir).select("rec_id", code_points("instruction").alias("p"), code_points("output").alias("r"))
+
+
+@query("tokenize_records", f"""SELECT rec_id, array_to_string(list_slice(list_concat(p, r, [2]), 1, 1024), ' ') AS input_ids,
+  array_to_string(list_slice(list_concat(list_transform(p, lambda x: -100), r, [2]), 1, 1024), ' ') AS labels, CAST(least(len(p) + len(r) + 1, 1024) AS INTEGER) AS attended
+FROM (SELECT rec_id, {_IDS.format('prompt')} AS p, {_IDS.format('output')} AS r FROM (SELECT rec_id, output, {_ALPACA} AS prompt FROM {_PAIR}))""")
+def tokenize_records(spark, sf_dir):
+    """Whole prompts and outputs; characters stand for the user's tokenizer."""
+    rows = supervised.tokenize_records(pairs(spark, sf_dir), lambda: lambda texts: [[ord(c) for c in t] for t in texts], 2, 1024)
+    joined = {c: F.array_join(c, " ") for c in ("input_ids", "labels")}
+    return rows.select("rec_id", *(x.alias(c) for c, x in joined.items()), F.size("attention_mask").alias("attended"))
 
 
 @query("supervised_labels", f"""SELECT rec_id, array_to_string(list_slice(list_concat(p, r, [2]), 1, 256), ' ') AS input_ids,

@@ -24,6 +24,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
-
-
-from tributary.plans import queries_models, queries_records  # noqa: E402, F401  they register their queries here

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -28,23 +31,51 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where everything runs in one process, in a
+    local session, may it be unset; a temporary folder is used then, which goes with the process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_dir()
     return folder.rstrip("/")
 
 
 @cache
 def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tributary-")
+    folder = tempfile.mkdtemp(prefix="tributary-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
+
+
+#: Tables written by ``save``, in order.
+_written: list[str] = []
 
 
 def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and returns it as read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save_last(df: DataFrame, name: str, codec: str = "snappy", since: int = 0) -> DataFrame:
+    """``save``, after which the tables that ``save`` wrote from number ``since`` on go: nothing but ``df`` reads them."""
+    before = _written[since:]
+    out = save(df, name, codec)
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    for path in before:
+        where = hadoop.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+    return out
+
+
+def n_saved() -> int:
+    return len(_written)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

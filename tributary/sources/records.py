@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +55,15 @@ def parse_generation_log(lines: DataFrame) -> DataFrame:
 
 
 def read_generation_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log file; lines are numbered in file order."""
-    return parse_generation_log(spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value"))
+    """A log of one or several files, of which the lines of later ones win; a log that is not there yet is empty."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "rec_id long, output string")
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", F.monotonically_increasing_id().alias("n"))
+    return parse_generation_log(lines.select(place.alias("line_no"), "value"))
 
 
 def append_generations(rows: DataFrame, path: str) -> None:

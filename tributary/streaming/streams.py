@@ -29,12 +29,7 @@ def generate_stream(records: DataFrame, make_client: Callable, log_path: str, ch
     """Generates for what arrives and is not in the log yet, and appends to the log."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
-        try:
-            rows = pending(rows, read_generation_log(spark, log_path))
-        except Exception as e:  # the log does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        append_generations(generate(rows, make_client, settings).where("error is null"), log_path)
+        new = pending(rows, read_generation_log(rows.sparkSession, log_path))
+        append_generations(generate(new, make_client, settings).where("error is null"), log_path)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
