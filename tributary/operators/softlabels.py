@@ -1,7 +1,7 @@
 """Analytics over soft labels in long form: one row per (batch, example_id, pos) with label and logit arrays.
 
-Vector reductions happen row by row in Arrow batches with NumPy, so vocabulary-sized arrays never leave their row; what
-remains are scalars that Spark groups by example and batch."""
+Vector reductions happen in Arrow batches with NumPy, a matrix for all rows of one vocabulary size, so vocabulary-sized
+arrays never leave their row; what remains are scalars that Spark groups by example and batch."""
 
 from __future__ import annotations
 
@@ -17,14 +17,27 @@ IGNORE, EPS = -100, 1e-9
 
 
 def _log_softmax(rows: pd.Series, temperature: float) -> list[np.ndarray]:
-    out = []
-    for x in rows:
-        x = np.asarray(x, np.float64) / temperature
-        x = x - x.max()
-        out.append(x - np.log(np.exp(x).sum()))
+    arrays, out = list(rows), [np.zeros(0)] * len(rows)
+    for at in _by_length(arrays):
+        for i, x in zip(at, _log_softmax_rows(np.stack([arrays[i] for i in at]), temperature), strict=True):
+            out[i] = x
     return out
 
 
+def _by_length(arrays: list[np.ndarray]) -> list[list[int]]:
+    """Numbers of the rows of each vocabulary size."""
+    found: dict[int, list[int]] = {}
+    for i, x in enumerate(arrays):
+        found.setdefault(len(x), []).append(i)
+    return list(found.values())
+
+
+def _log_softmax_rows(m: np.ndarray, temperature: float) -> np.ndarray:
+    m = m.astype(np.float64) / temperature
+    m = m - m.max(axis=1, keepdims=True)
+    return m - np.log(np.exp(m).sum(axis=1, keepdims=True))
+
+
 def nll(temperature: float = 1.0):
     """(logits, label) -> negative log likelihood of the label; null where it is ignored."""
 
@@ -57,13 +70,29 @@ def kl(temperature: float, clamp_second: bool = False):
     return of
 
 
-def fused_kl(temperature: float):
-    """(rag logits, bare logits, weight, student logits) -> KL of the blended teachers to the student."""
-
-    @F.pandas_udf("double")
-    def of(rag: pd.Series, bare: pd.Series, weight: pd.Series, student: pd.Series) -> pd.Series:
-        rows = zip(_log_softmax(rag, temperature), _log_softmax(bare, temperature), weight, _log_softmax(student, temperature), strict=True)
-        return pd.Series([(f := w * np.exp(a) + (1 - w) * np.exp(b)) @ (np.log(np.maximum(f, EPS)) - s) for a, b, w, s in rows])
+def loss_terms(temperature: float):
+    """(rag, bare, student, contrast logits, label, fusion weight) -> what ``kd_loss`` adds up of a position: the negative
+    log likelihoods nr, nb and ce at temperature 1, and at ``temperature`` the divergences kr and kb of the teachers, kn
+    of the teacher from the contrast, and kf of the fused teachers."""
+
+    @F.pandas_udf("nr double, nb double, ce double, kr double, kb double, kn double, kf double")
+    def of(rag: pd.Series, bare: pd.Series, student: pd.Series, contrast: pd.Series, label: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out = np.full((len(rag), 7), np.nan)
+        columns, labels, weights = [list(x) for x in (rag, bare, student, contrast)], label.to_numpy(), w.to_numpy()
+        for at in _by_length(columns[0]):
+            r, b, s, c = (np.stack([x[i] for i in at]) for x in columns)
+            valid = np.flatnonzero(labels[at] != IGNORE)
+            gold = labels[at][valid].astype(np.int64)
+            for k, m in enumerate((r, b, s)):
+                out[np.array(at)[valid], k] = -_log_softmax_rows(m, 1.0)[valid, gold]
+            lr, lb, ls, lc = (_log_softmax_rows(m, temperature) for m in (r, b, s, c))
+            pr, pb = np.exp(lr), np.exp(lb)
+            out[at, 3] = (pr * (np.log(np.maximum(pr, EPS)) - ls)).sum(axis=1)
+            out[at, 4] = (pb * (np.log(np.maximum(pb, EPS)) - ls)).sum(axis=1)
+            out[at, 5] = (pr * (np.log(np.maximum(pr, EPS)) - np.log(np.maximum(np.exp(lc), EPS)))).sum(axis=1)
+            fused = weights[at, None] * pr + (1 - weights[at, None]) * pb
+            out[at, 6] = (fused * (np.log(np.maximum(fused, EPS)) - ls)).sum(axis=1)
+        return pd.DataFrame(out, columns=["nr", "nb", "ce", "kr", "kb", "kn", "kf"])
 
     return of
 
@@ -138,12 +167,8 @@ def kd_loss(rows: DataFrame, p: LossWeights = LossWeights()) -> DataFrame:
     t = p.temperature
     negative = F.col("neg") if p.contrast else F.col("bare")
     fused = fusion_weights(rows, t, p.kappa, p.center) if p.epsilon > 0 else rows.withColumn("w", F.lit(0.0))
-    scalars = fused.select(
-        "batch", "example_id", "label", "w",
-        nll()(F.col("rag"), F.col("label")).alias("nr"), nll()(F.col("bare"), F.col("label")).alias("nb"), nll()(F.col("student"), F.col("label")).alias("ce"),
-        kl(t)(F.col("rag"), F.col("student")).alias("kr"), kl(t)(F.col("bare"), F.col("student")).alias("kb"), kl(t, True)(F.col("rag"), negative).alias("kn"),
-        (fused_kl(t)(F.col("rag"), F.col("bare"), F.col("w"), F.col("student")) if p.epsilon > 0 else F.lit(0.0)).alias("kf"),
-    )
+    terms = loss_terms(t)(F.col("rag"), F.col("bare"), F.col("student"), negative, F.col("label"), F.col("w"))
+    scalars = fused.select("batch", "example_id", "label", "w", terms.alias("x")).select("batch", "example_id", "label", "w", *(F.nanvl(f"x.{c}", F.lit(None).cast("double")).alias(c) for c in ("nr", "nb", "ce", "kr", "kb", "kn")), (F.col("x.kf") if p.epsilon > 0 else F.lit(0.0)).alias("kf"))
     valid = F.col("label") != IGNORE
     each = scalars.groupBy("batch", "example_id").agg(
         *(valid_mean(F.col(c)).alias(c) for c in ("nr", "nb", "kr", "kb", "kn", "kf")),
