@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import decontam, ngram_join, packing, substring, toxicity
-from tributary.session import save
+from tributary.session import n_saved, save_last
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,13 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can't express the trained model and the packing; the tests compare with a brute-force version.
+#: SQL can't express the trained model and the packing; the tests hold each stage against planted documents.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage and those before it wrote goes once its result is written."""
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_saved()
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), f"stage-{name}", "zstd")
+        docs = save_last(stage(spark, docs, sf_dir), f"stage-{name}", "zstd", first)
     return STAGES[-1][1](spark, docs, sf_dir)
