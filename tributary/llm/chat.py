@@ -9,13 +9,13 @@ taken for marks: ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|``, which ``u
 The loss mask is the array of ``struct<start, length>`` (from 0, in code points) of every assistant content.
 
 Defined results: null or unknown text is empty, a null role is empty, a part of an unknown type is a placeholder of
-that type; a conversation's turns are ordered by turn, then role, then content; repeated rows are separate turns; an
+that type with ``part_`` before it, so that none is a turn's mark; a conversation's turns are ordered by turn, then role, then content; repeated rows are separate turns; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -45,7 +45,7 @@ def visit(parts: Column) -> Column:
     seen = F.transform(
         F.coalesce(parts, F.array().cast(PARTS)),
         lambda p: F.when(_kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-            F.concat(F.lit("<|"), F.regexp_replace(_kind(p), r"[^\w-]", "_"), F.lit("|>"))
+            F.concat(F.lit("<|"), F.when(_kind(p).isin(*PART_TOKENS), "").otherwise("part_"), F.regexp_replace(_kind(p), r"[^\w-]", "_"), F.lit("|>"))
         ),
     )
     return F.array_join(seen, "")
@@ -66,31 +66,26 @@ def attachments(parts: Column) -> Column:
 def format_chat(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, content: PARTS) to one row a conversation: conv_id, formatted, loss_mask, attachments
     (with the turn's number), n_placeholder_tokens."""
-    turn = F.struct(
+    head = lambda role: F.concat(F.lit(START), escape(role), F.lit("\n"))
+    tail = f"{END}\n"
+    turn = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         visit(F.col("content")).alias("content"),
         attachments(F.col("content")).alias("attached"),
     )
-    conv = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit("\n"))
-    tail = f"{END}\n"
-    conv = conv.withColumn(
-        "pieces", F.transform("turns", lambda t: F.struct(F.length(head(t)).alias("head"), F.length(t["content"]).alias("body"), (t["role"] == "assistant").alias("loss")))
-    )
-    masks = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["head"] + p["body"] + len(tail)).alias("at"),
-            F.when(p["loss"], F.concat(acc["mask"], F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length"))))).otherwise(acc["mask"]).alias("mask"),
-        ),
-        lambda acc: acc["mask"],
-    )
+    # Where a turn's content begins: after all turns before it and its own head.
+    size = F.length(head(F.col("role"))) + F.length("content") + len(tail)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turn.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length(head(F.col("role")))).cast("int"))
+    conv = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content", "start", "attached"))).alias("turns"))
+    spoken = F.filter("turns", lambda t: t["role"] == "assistant")
+    masks = F.transform(spoken, lambda t: F.struct(t["start"].alias("start"), F.length(t["content"]).alias("length")))
     attached = F.flatten(F.transform("turns", lambda t, i: F.transform(t["attached"], lambda a: F.struct(i.alias("turn_no"), a.alias("part")))))
     return conv.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(tail))), "").alias("formatted"),
+        F.array_join(F.transform("turns", lambda t: F.concat(head(t["role"]), t["content"], F.lit(tail))), "").alias("formatted"),
         masks.alias("loss_mask"),
         attached.alias("attachments"),
         F.aggregate(attached, F.lit(0).cast("long"), lambda acc, a: acc + a["part"]["tokens"]).alias("n_placeholder_tokens"),
