@@ -10,8 +10,10 @@ counts that decide are complete and a partition sends at most k bins a query and
 round rather than stored. Queries are taken in blocks of at most ``BLOCK`` (a bounded broadcast), each block against all
 rows; no row is compared with all others at once.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different
-lengths are compared as if padded with zeros; repeated ids are separate candidates, of which none with the query's own
+Defined results: vectors that are null or hold null or non-finite components take no part; an empty one
+has only zeros; vectors of different
+lengths are compared as if padded with zeros; scores beyond 2^61 count as that, so that very large components stop
+nothing; repeated ids are separate candidates, of which none with the query's own
 id counts; ties go to the smaller id; fewer than k candidates give fewer rows; empty tables give no rows.
 """
 
@@ -24,34 +26,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from tributary.session import save
+
+BLOCK = 8192
 BINS = 256
+#: Scores are kept within this bound: beyond it they are equal.
+FARTHEST = 1 << 61
 
 
 def quantise(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, as integers."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    """floor(scale * x) of each component, as integers; those beyond FARTHEST count as that."""
+    bound = float(FARTHEST)
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(bound)), F.lit(-bound))).cast("long"))
 
 
 def usable(vector: Column) -> Column:
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad)
+    return vector.isNotNull() & ~F.exists(vector, bad)
 
 
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims))
+    out = np.zeros((len(column), dims), np.int64)
     for i, x in enumerate(column):
         out[i, : len(x)] = x
     return out
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer rows: in floating point where that is exact, else in 64 bits, within FARTHEST."""
+    near = a.astype(float) @ b.astype(float).T
+    reach = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
+    if reach < 2**53:
+        return near.astype(np.int64)
+    exact = a @ b.T  # wraps around where ``near`` is beyond 2^63
+    return np.where(near >= FARTHEST, FARTHEST, np.where(near <= -FARTHEST, -FARTHEST, exact))
+
+
 def _scores(batches: Iterator[pd.DataFrame], shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate ids and int64 scores [query, candidate]; a query's own id scores the least."""
     ids, matrix = shared.value
     for batch in batches:
-        for lo in range(0, len(batch), 2048):
-            part = batch.iloc[lo : lo + 2048]
-            score = (matrix @ _matrix(part["vec"], matrix.shape[1]).T).astype(np.int64)
+        for lo in range(0, len(batch), 512):
+            part = batch.iloc[lo : lo + 512]
+            score = _products(matrix, _matrix(part["vec"], matrix.shape[1]))
             score[ids[:, None] == part["vec_id"].to_numpy()[None, :]] = np.iinfo(np.int64).min
             yield part["vec_id"].to_numpy(), score
 
@@ -118,7 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     n_queries = queries.count()
     n_blocks = max(1, -(-n_queries // block))
     queries = queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
-    dims, largest = vectors.agg(F.max(F.size("vec")), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x))))).first()
+    dims, largest = vectors.agg(F.max(F.size("vec")), F.coalesce(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))), F.lit(0))).first()
     results = None
     for number in range(n_blocks):
         rows = queries.where(F.col("_block") == number).orderBy("vec_id").collect()  # about ``block`` rows by the hash
@@ -126,10 +143,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
             continue
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         matrix = _matrix(pd.Series([r["vec"] for r in rows]), max([dims, *(len(r["vec"]) for r in rows)]))
-        if matrix.shape[1] * float(largest) * max(1.0, np.abs(matrix).max()) >= 2**53:
-            raise ValueError("scores don't fit into 53 bits")
         shared = spark.sparkContext.broadcast((ids, matrix))
-        reach = np.abs(matrix).sum(axis=1).astype(np.int64) * int(largest)
+        reach = np.array([min(FARTHEST, sum(map(abs, row)) * int(largest)) for row in matrix.tolist()], np.int64)
         low, width, above = -reach, 2 * reach // BINS + 1, np.zeros(len(ids), np.int64)
         while True:
             bounds = spark.sparkContext.broadcast((low, width))
@@ -143,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
                 break
             width = width // BINS + (width % BINS > 0)
         threshold = spark.sparkContext.broadcast(np.where(reached.any(axis=1), low, np.iinfo(np.int64).min + 1))
-        found = _select(vectors, shared, threshold, k)
+        found = save(_select(vectors, shared, threshold, k), "topk-found")
         results = found if results is None else results.unionByName(found)
     if results is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
