@@ -4,7 +4,8 @@ A softmax regression over hashed word one- to three-grams tells licence families
 paragraphs are the templates below, varied by dropping words and by surrounding them with words of the corpus; the
 ``unknown`` class is all segments of a bounded, hashed sample of documents. A temperature is fitted on held-back examples
 so that the probabilities are calibrated, and a threshold below which a segment is unknown. A prediction counts only
-if most word pairs of one of the family's templates are found close together in the paragraph.
+if most word pairs of one of the family's templates are found close together in the paragraph, and half of those that
+tell the template from other families.
 
 A paragraph is the lines up to one without words, so that wrapped notices are whole. Every paragraph of every text is
 scored in segments of at most ``SEGMENT`` words that overlap by the longest template, and every line also alone; the
@@ -62,6 +63,18 @@ TEMPLATES = [
     ("mpl", "licensed under the mozilla public license version 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "licensed under the isc license"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("mpl", "spdx license identifier mpl 2 0"),
+    ("isc", "spdx license identifier isc"),
+    ("cc0", "spdx license identifier cc0 1 0"),
+    ("cc-by", "spdx license identifier cc by 4 0"),
+    ("unlicense", "spdx license identifier unlicense"),
+    ("eupl", "licensed under the european union public licence version 1 2"),
+    ("eupl", "spdx license identifier eupl 1 2"),
+    ("epl", "licensed under the eclipse public license version 2 0"),
+    ("epl", "spdx license identifier epl 2 0"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("wtfpl", "spdx license identifier wtfpl"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without prior written permission"),
     ("proprietary", "copyright all rights reserved unauthorized copying of this file is strictly prohibited"),
@@ -197,6 +210,10 @@ for _, _k, _pairs in _SETS:
         _TEMPLATES_OF.setdefault(_pair, []).append(_k)
 
 
+#: Of each template the word pairs that no template of another family has; half of them must be found.
+_OWN = [{p for p in pairs if all(_SETS[k][0] == family for k in _TEMPLATES_OF[p])} for family, _, pairs in _SETS]
+
+
 def places(words: list[str]) -> list[tuple[int, float, list[int]]]:
     """Where templates stand in ``words``: template, share of its word pairs found within twice its length, and where
     the pairs found begin. A template found several times has several places."""
@@ -218,7 +235,8 @@ def places(words: list[str]) -> list[tuple[int, float, list[int]]]:
                     best = sorted(near.values())
             if len(best) < MIN_SIMILARITY * pairs:
                 break
-            out.append((k, len(best) / pairs, best))
+            if 2 * len(_OWN[k].intersection((words[j], words[j + 1]) for j in best)) >= max(1, len(_OWN[k])):
+                out.append((k, len(best) / pairs, best))
             at = [i for i in at if not best[0] <= i <= best[-1]]
     return out
 
