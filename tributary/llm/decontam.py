@@ -10,7 +10,7 @@ every block is an automaton of its own, and each pass adds its word ranges to th
 
 Defined results: a null or wordless text has no words and is clean; an empty benchmark leaves every document clean;
 repeated items are separate items that share windows; repeated document rows are judged row by row;
-``decontaminate`` keeps all columns, whatever their names (but for names that begin with ``_hit_``).
+``decontaminate`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,8 +102,15 @@ def word_offsets(text: str) -> np.ndarray:
 
 
 _PAIRS = pa.list_(pa.list_(pa.int64()))
-#: What a scan adds to a row, under names that no table is expected to have.
-_ADDED = {"_hit_words": pa.int64(), "_hit_spans": _PAIRS, "_hit_chars": _PAIRS, "_hit_items": pa.list_(pa.string())}
+#: What a scan adds to a row, after a prefix that no column of the table has.
+_ADDED = {"words": pa.int64(), "spans": _PAIRS, "chars": _PAIRS, "items": pa.list_(pa.string())}
+
+
+def _prefix(columns: list[str]) -> str:
+    prefix = "_hit_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 def _united(ranges: list) -> list[list[int]]:
@@ -117,12 +124,13 @@ def _united(ranges: list) -> list[list[int]]:
     return out
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, width: int, max_block_bytes: int) -> DataFrame:
-    """The rows of ``docs`` with the columns of _ADDED. One pass over the texts for each block of items."""
+def _with_hits(docs: DataFrame, benchmark: DataFrame, width: int, max_block_bytes: int) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of ``docs`` with the columns of _ADDED, and these columns' names. One pass over the texts for each block
+    of items."""
     spark, ranges = docs.sparkSession, F.array().cast("array<array<long>>")
-    found = docs.withColumn("text", F.col("text").cast("string")).withColumns(
-        {"_hit_words": F.lit(0).cast("long"), "_hit_spans": ranges, "_hit_chars": ranges, "_hit_items": F.array().cast("array<string>")}
-    )
+    names = {name: f"{_prefix(docs.columns)}{name}" for name in _ADDED}
+    first = {"words": F.lit(0).cast("long"), "spans": ranges, "chars": ranges, "items": F.array().cast("array<string>")}
+    found = docs.withColumn("text", F.col("text").cast("string")).withColumns({names[k]: v for k, v in first.items()})
     for block in item_blocks(benchmark, width, max_block_bytes):
         shared = spark.sparkContext.broadcast((width, block))
 
@@ -131,7 +139,7 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, width: int, max_block_byte
             for batch in batches:
                 rows: dict[str, list] = {name: [] for name in _ADDED}
                 columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-                before = zip(columns["_hit_spans"].to_pylist(), columns["_hit_items"].to_pylist(), strict=True)
+                before = zip(columns[names["spans"]].to_pylist(), columns[names["items"]].to_pylist(), strict=True)
                 for text, (old, had) in zip(columns["text"].to_pylist(), before, strict=True):
                     n, ranges, items = _matches(text, auto, patterns)
                     spans = _united([*(old or []), *ranges])
@@ -139,18 +147,18 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, width: int, max_block_byte
                     chars = [[int(at[lo, 0]), int(at[hi - 1, 1])] for lo, hi in spans]
                     for name, value in zip(_ADDED, (n, spans, chars, sorted({*(had or []), *items})), strict=True):
                         rows[name].append(value)
-                columns |= {name: pa.array(rows[name], kind) for name, kind in _ADDED.items()}
+                columns |= {names[name]: pa.array(rows[name], kind) for name, kind in _ADDED.items()}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         found = found.mapInArrow(find, found.schema)
-    return found
+    return found, names
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, spans (word ranges hit), chars (the same as character ranges of the original
     text), items (ids of items with windows that occur, sorted as strings)."""
-    hits = _with_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, width, max_block_bytes)
-    return hits.select("doc_id", *(F.col(f"_hit_{x}").alias("n_words" if x == "words" else x) for x in ("words", "spans", "chars", "items")))
+    hits, names = _with_hits(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, width, max_block_bytes)
+    return hits.select("doc_id", *(F.col(own).alias("n_words" if name == "words" else name) for name, own in names.items()))
 
 
 def n_hit(spans: str = "spans"):
@@ -176,5 +184,5 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The document rows that are not contaminated, with all their columns. No shuffle: rows pass through the scan."""
-    hits = _with_hits(docs, benchmark, width, max_block_bytes)
-    return hits.where(~is_contaminated("_hit_spans", "_hit_words")).select(*docs.columns)
+    hits, names = _with_hits(docs, benchmark, width, max_block_bytes)
+    return hits.where(~is_contaminated(names["spans"], names["words"])).select(*docs.columns)
