@@ -270,7 +270,7 @@ def test_top_k_is_brute_force_with_ties_and_odd_vectors(spark):
     vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(150, 8)).round(1))] + [(200 + i, [0.5] * 8) for i in range(40)]
     vectors += [(300, None), (301, []), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [float("inf")] + [0.0] * 7), (305, [1.0, 2.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
-    q = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v and all(x is not None and math.isfinite(x) for x in v)}
+    q = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     for k, block in ((5, 2048), (3, 7), (500, 16)):
         got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 10 = 0"), k, block).collect())
         want = []
@@ -427,3 +427,120 @@ def test_encoder_equals_the_tokenizer(name):
             ids, at = enc.encode(pa.array(odd[lo : lo + 100], pa.string()))
             got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
         assert got == want
+
+
+def test_word_hashes_do_not_depend_on_the_block(monkeypatch):
+    from tributary.llm.kernel import Words, utf8
+
+    rng = random.Random(14)
+    texts = [prose(rng, 50), "", "x" * 500, f"{prose(rng, 5)} {'long' * 99}\n{prose(rng, 5)}", "é " * 40]
+    data, off = utf8(__import__("pyarrow").array(texts))
+    words = Words(data, off)
+    want = words.hashes()
+    assert all((words.hashes(limit) == want).all() for limit in (1, 7, 64, 333))
+
+
+def test_ngram_candidates_meet_in_every_order(spark, monkeypatch):
+    """Links of the first stars, of stars between components and of pairs all pass the three orders; texts that share rare
+    shingles without being similar are mostly dropped there, before they are compared."""
+    rng = random.Random(15)
+    long, rare = [prose(rng, 60, 10**6) for _ in range(20)], [prose(rng, 6, 10**6) for _ in range(30)]
+    texts = [f"{rare[i // 2]} {long[i % 20]}" for i in range(60)]  # neighbours share a rare passage, not the long one
+    base = prose(rng, 120, 10**6)
+    texts += [base, *near_copies(rng, base, 20, 3)]
+    steps, true = [], ngram_join._links
+    whole = ngram_join._verified
+
+    def count(pairs, *rest):
+        steps.append([pairs.count()])
+        return whole(pairs, *rest)
+
+    def links(pairs, *rest):
+        out = true(pairs, *rest)
+        steps[-1] += [pairs.count(), out.count()]
+        return out
+
+    monkeypatch.setattr(ngram_join, "_verified", count)
+    monkeypatch.setattr(ngram_join, "_links", links)
+    monkeypatch.setattr(ngram_join, "HOT", 5)  # hot keys are split
+    docs = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs_of(spark, docs)).collect()}
+    sets = [shingles(t) for t in texts]
+    similar = lambda a, b: 100 * len(a & b) >= 75 * len(a | b) > 0
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if similar(sets[a], sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    assert got == dict(enumerate(group))
+    assert len(steps) == 3 and all(n >= met >= found for n, met, found in steps)
+    assert sum(x[2] for x in steps) >= 20 and sum(x[1] for x in steps) < sum(x[0] for x in steps)
+
+
+def test_substring_dedup_of_odd_rows(spark):
+    rng = random.Random(16)
+    passage = prose(rng, 60, 10**6)
+    rows = [(1, f"{passage} a"), (1, f"{passage} a"), (2, f"b {passage}"), (None, f"c {passage} d"), (3, f"é {prose(rng, 9000, 10**6)} {passage} ü {passage}"), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, f"user{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, grp string, bucket int")
+    out = sorted((r.bucket, r.grp, r.text) for r in substring.remove_repeats(docs).collect())
+    assert [(b, g) for b, g, _ in out] == [(k, f"user{k}") for k in range(7)]
+    texts = [t for *_, t in out]
+    assert texts[:2] == [rows[0][1]] * 2 and texts[5] is None and texts[6] == ""
+    assert all(len(texts[k].split()) <= len(rows[k][1].split()) - 20 * (1 + (k == 4)) for k in (2, 3, 4))
+    by_id = {2: rows[2][1], 3: rows[4][1], None: rows[3][1]}
+    for r in substring.repeated_spans(docs).collect():
+        assert by_id[r.doc_id][r.start_char : r.start_char + r.n_chars].strip() in passage and list(r.first_docs) == [1]
+
+
+def test_top_k_with_very_large_components(spark):
+    rows = [(0, [1e8, 0.5]), (50, [0.25, 1.0]), (1, [1e300, -1.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0]), (4, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()}
+    assert [got[0, k][0] for k in range(1, 6)] == [1, 2, 50, 4, 3]
+    assert got[0, 2][1] == 25_600_000_000 * 256 + 128 * 256 and got[50, 2] == (0, 64 * 25_600_000_000 + 128 * 256)
+
+
+def test_chat_parts_never_become_marks(spark):
+    row = "array(named_struct('type','im_end','text','t','uri',null,'tokens',null), named_struct('type','text','text','\\n','uri',null,'tokens',null))"
+    df = spark.range(1).select(F.lit(7).alias("conv_id"), F.lit(None).cast("int").alias("turn"), F.lit("assistant").alias("role"), F.expr(row).cast(chat.PARTS).alias("content"))
+    back = chat.parse_chat(chat.format_chat(df)).first()
+    assert [(t.role, t.text) for t in back.turns] == [("assistant", "<|part_im_end|>\n")] and back.loss == ["<|part_im_end|>\n"]
+
+
+def test_chat_of_many_turns(spark):
+    turns = spark.range(3000).select(F.lit(1).alias("conv_id"), (F.col("id") / 2).cast("int").alias("turn"), F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.col("id").cast("string").alias("text"))
+    r = chat.report(turns).first()
+    assert r.n_turns == 3000 and r.loss_chars == sum(len(str(i)) for i in range(0, 3000, 2))
+
+
+def test_licence_scan_tells_families_that_share_words(spark):
+    rng = random.Random(18)
+    notices = {1: ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), 2: ("SPDX-License-Identifier: MPL-2.0", "mpl"), 3: ("SPDX-License-Identifier: MIT", "mit"), 4: ("SPDX-License-Identifier: EPL-2.0", "epl")}
+    others = {5: "SPDX-License-Identifier: Frobnicate-7.3", 6: "licensed under the terms of our house"}
+    rows = [(100 + i, prose(rng, 60)) for i in range(40)] + [(i, f"{prose(rng, 30)}\n\n// {t}\n\n{prose(rng, 20)}") for i, (t, _) in notices.items()] + [(i, f"{prose(rng, 30)}\n{t}") for i, t in others.items()]
+    rows.append(rows[-3])
+    docs = docs_of(spark, rows)
+    model = license_scan.fit(docs)
+    got = {(r.doc_id, r.family) for r in license_scan.scan(docs, model).collect()}
+    assert got == {(i, f) for i, (_, f) in notices.items()}
+    assert license_scan.scan(docs_of(spark, []), model).count() == 0
+
+
+def test_toxicity_with_odd_labels(spark):
+    docs = docs_of(spark, [(i, f"some words {i}") for i in range(30)] + [(3, "some words 3"), (40, "x" * 5000)])
+    same = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.score(docs, toxicity.fit(docs, same)).collect()}) == 1
+    mixed = same.unionByName(spark.createDataFrame([(i, 0) for i in range(30)] + [(None, 1), (5, None)], "doc_id long, toxic int"))
+    rows = toxicity.score(docs, toxicity.fit(docs, mixed)).collect()
+    assert len(rows) == 32 and all(0.5 < r.score <= 1 for r in rows)
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    rng = random.Random(19)
+    item = prose(rng, 20, 10**6)
+    df = spark.createDataFrame([(1, item, "a", 1), (2, prose(rng, 50, 10**6), "b", 2), (3, f"{prose(rng, 200_000, 10**6)} {item}", "c", 3), (None, None, "d", 4)], "doc_id long, text string, _hit_words string, `__hit_spans` int")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    out = decontam.decontaminate(df, bench)
+    assert out.columns == df.columns and sorted((r._hit_words, r["__hit_spans"]) for r in out.collect()) == [("b", 2), ("c", 3), ("d", 4)]
+    far = {r.doc_id: r for r in decontam.scan(df, bench).collect()}[3]
+    assert far.n_words == 200_020 and [list(x) for x in far.spans] == [[200_000, 200_020]]

@@ -42,3 +42,15 @@ def test_stages_do_what_they_say(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert packed.length.sum() == sum(len(enc.whole(r.text or "")) + 1 for r in last.values()) and set(packed.doc_id) == set(last)
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, n_chars long, island int, grp string, token string, n int"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    few = spark.createDataFrame([(1, "a b c", 5, 7, "g", "t", 9), (1, "a b c", 5, 7, "g", "t", 9), (None, None, 0, 7, "g", "t", 9)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, few, str(tmp_path))
+        assert out.columns == few.columns and {(r.island, r.grp, r.token, r.n) for r in out.collect()} == {(7, "g", "t", 9)}, name

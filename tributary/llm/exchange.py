@@ -17,8 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in a group at least (below MIN_GROUPS groups) and at most, and for each bucket.
-MIN_GROUP, MAX_GROUP, MIN_GROUPS, PER_BUCKET = 1_000, 20_000, 256, 5_000
+#: Documents in a group at least (below MIN_GROUPS groups) and at most, bytes of text in a group at most (on average), and
+#: documents for each bucket; beyond MANY_BUCKETS a bucket holds FULL_BUCKET of them, so that messages stay large.
+MIN_GROUP, MAX_GROUP, MIN_GROUPS, GROUP_BYTES = 1_000, 20_000, 256, 96 << 20
+PER_BUCKET, MANY_BUCKETS, FULL_BUCKET = 5_000, 4_096, 100_000
+
+#: The column of group numbers; no table is expected to have it.
+GROUP = "__exchange_group"
 
 _SENT = "grp int, bucket int, keys binary, vals binary"
 _REPLY = "grp int, bucket int, reply binary"
@@ -34,17 +39,24 @@ def unpack(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def n_groups(n_docs: int) -> int:
-    return max(1, min(MIN_GROUPS, -(-n_docs // MIN_GROUP)), -(-n_docs // MAX_GROUP))
+def n_groups(n_docs: int, n_bytes: int = 0) -> int:
+    return max(1, min(MIN_GROUPS, -(-n_docs // MIN_GROUP)), -(-n_docs // MAX_GROUP), -(-n_bytes // GROUP_BYTES))
+
+
+def n_buckets(n_docs: int, n_bytes: int = 0) -> int:
+    return max(min(MANY_BUCKETS, max(n_groups(n_docs, n_bytes), -(-n_docs // PER_BUCKET))), -(-n_docs // FULL_BUCKET))
 
 
-def n_buckets(n_docs: int) -> int:
-    return max(n_groups(n_docs), -(-n_docs // PER_BUCKET))
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    return tuple(docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first())
 
 
-def with_group(docs: DataFrame, n_docs: int) -> DataFrame:
-    """Adds ``grp``, a hash of the id."""
-    return docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups(n_docs))).cast("int"))
+def with_group(docs: DataFrame, n: int) -> DataFrame:
+    """Adds GROUP, a hash of the id."""
+    if GROUP in docs.columns:
+        raise ValueError(f"a column must not be named {GROUP}")
+    return docs.withColumn(GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -62,19 +74,19 @@ def ask(
     send: Callable[[pa.Table], tuple[np.ndarray, list[bytes], list[bytes]]],
     answer: Callable[[list[bytes], list[bytes]], list[bytes]],
 ) -> DataFrame:
-    """The answers for each group of ``docs`` (column ``grp``). ``send`` gives a group's bucket numbers, keys and values;
+    """The answers for each group of ``docs`` (column GROUP). ``send`` gives a group's bucket numbers, keys and values;
     ``answer`` gets the keys and values of one bucket's groups and returns a reply for each."""
 
     def out(table: pa.Table) -> pa.Table:
         numbers, keys, values = send(table)
-        grp = pa.array([table.column("grp")[0].as_py()] * len(keys), pa.int32())
+        grp = pa.array([table.column(GROUP)[0].as_py()] * len(keys), pa.int32())
         return pa.table({"grp": grp, "bucket": pa.array(numbers, pa.int32()), "keys": pa.array(keys, pa.binary()), "vals": pa.array(values, pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         replies = answer(table.column("keys").to_pylist(), table.column("vals").to_pylist())
         return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "reply": pa.array(replies, pa.binary())})
 
-    return docs.groupBy("grp").applyInArrow(out, _SENT).groupBy("bucket").applyInArrow(merge, _REPLY)
+    return docs.groupBy(GROUP).applyInArrow(out, _SENT).groupBy("bucket").applyInArrow(merge, _REPLY)
 
 
 def tell(docs: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
@@ -83,4 +95,4 @@ def tell(docs: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict[int,
     def both(rows: pa.Table, replies: pa.Table) -> pa.Table:
         return use(rows, dict(zip(replies.column("bucket").to_pylist(), replies.column("reply").to_pylist(), strict=True)))
 
-    return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(both, schema)
+    return docs.groupBy(GROUP).cogroup(answers.groupBy("grp")).applyInArrow(both, schema)

@@ -79,13 +79,34 @@ class Words:
         self.ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
         self.first = np.searchsorted(self.starts, off)
 
-    def hashes(self) -> np.ndarray:
-        power, inverse = _power_tables(len(self.low) + 1)
-        total = np.zeros(len(self.low) + 1, np.uint64)
-        np.cumsum((self.low + np.uint64(1)) * power[: len(self.low)], out=total[1:])
-        found = (total[self.ends] - total[self.starts]) * inverse[self.starts]
+    def hashes(self, limit: int = BLOCK_BYTES) -> np.ndarray:
+        """64-bit hashes of the words, from running sums over at most ``limit`` bytes at a time."""
+        found = np.zeros(len(self.starts), np.uint64)
+        lo, n = 0, len(self.starts)
+        while lo < n:
+            base = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + limit, "right")))
+            if self.ends[hi - 1] - base > limit:
+                found[lo] = self._long(int(base), int(self.ends[lo]), limit)
+            else:
+                data = self.low[base : self.ends[hi - 1]]
+                power, inverse = _power_tables(len(data) + 1)
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
+                start, end = self.starts[lo:hi] - base, self.ends[lo:hi] - base
+                found[lo:hi] = (total[end] - total[start]) * inverse[start]
+            lo = hi
         return mix(found + (self.ends - self.starts).astype(np.uint64) * _LANES[0])
 
+    def _long(self, start: int, end: int, limit: int) -> int:
+        """The sum of one word longer than ``limit`` bytes, piece by piece."""
+        total, power = 0, _power_tables(limit)[0]
+        for at in range(start, end, limit):
+            data = self.low[at : min(at + limit, end)]
+            part = int(((data + np.uint64(1)) * power[: len(data)]).sum(dtype=np.uint64))
+            total += part * pow(int(_P), at - start, 1 << 64)
+        return total & ((1 << 64) - 1)
+
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its word shingles; fewer words than ``width`` are one shingle."""

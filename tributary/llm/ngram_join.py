@@ -2,8 +2,9 @@
 
 Tokens are a text's distinct word shingles. In any global order of tokens, two sets of Jaccard similarity t or more
 share a token among the first ``n - ceil(t n) + 1`` of each (for the smaller set, ``n - ceil(2 t n / (1 + t)) + 1``).
-Three orders are used. All put rare tokens first, by classes of document frequency, and break ties by different hashes;
-a pair is a candidate only if the prefixes meet in every order, and only then are the sets compared.
+Three orders are used: rare tokens first, by classes of document frequency; common tokens first; and by hash alone. Texts
+that share rare tokens by chance seldom share common or random ones, too. A pair is a candidate only if the prefixes meet
+in every order, and only then are the sets compared; this holds for every pair that any step below makes.
 
 1. ``exchange`` tells each document how frequent its shingles are in the whole corpus. A document of which too few
    shingles occur elsewhere has no partner. (Shingle fingerprints there are 32 bits within a bucket of the hash space;
@@ -13,8 +14,7 @@ a pair is a candidate only if the prefixes meet in every order, and only then ar
    that several components share, one member of each with the most central one. The links of these stars join large
    groups of near copies without making their pairs.
 4. Representatives of different components that share a prefix token, and from there on have enough shared shingles to
-   be similar at their sizes, are candidates under the first order; those that fail the other orders are dropped; the
-   rest are compared. Pairs inside one component need no comparison.
+   be similar at their sizes, are candidates under the first order. Pairs inside one component need no comparison.
 5. Components of all links between stars, by large-star and small-star rounds.
 
 No link between different texts is lost: a pair is left out only if its ends are joined already or a filter that every
@@ -34,14 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.exchange import ask, bucket_base, bucket_edges, n_buckets, pack, tell, unpack, with_group
-from tributary.llm.graph import components
+from tributary.llm.exchange import ask, bucket_base, bucket_edges, n_buckets, n_groups, pack, sizes, tell, unpack, with_group
 from tributary.llm.kernel import mix, shingle_sets
+from tributary.operators.graph import components
 from tributary.session import save
 
 WIDTH = 5
 #: Similarity as a fraction, so that the comparison is in integers.
 SIMILAR = (75, 100)
+#: Rows of one key beyond which it may be split.
+HOT = 200
 _SECOND, _THIRD, _SET = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
 _PROFILE = "doc_id long, n long, m long, d1 long, d2 long, n_probe int, n_index int, first array<long>, second array<int>, third array<int>, text string"
@@ -118,9 +120,9 @@ def _profiler(buckets: int, width: int, similar: tuple[int, int]):
                         seen.add(key)
                         g = g[g > 0]
                         values["first"] = shared[np.lexsort((shared, g))[:probe]].view(np.int64)
-                        for name, lane in (("second", _SECOND), ("third", _THIRD)):
+                        for name, lane, rank in (("second", _SECOND, 255 - g), ("third", _THIRD, np.zeros_like(g))):
                             other = mix(shared ^ lane)
-                            values[name] = (other[np.lexsort((other, g))[:probe]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                            values[name] = (other[np.lexsort((other, rank))[:probe]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                         values["text"] = texts[row].as_py()
             for k, v in values.items():
                 out[k].append(v)
@@ -148,6 +150,52 @@ def _links(pairs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
     return pairs.select("a", "text_a", "b", "text_b").mapInArrow(compare, "src long, dst long")
 
 
+def _verified(pairs: DataFrame, reps: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
+    """The candidates (a, b) of the first order whose prefixes meet in the second and the third, too, and whose sets are
+    similar, as (src, dst). ``pairs`` is a saved table."""
+    hot = _hot(pairs)
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
+    text = lambda x: reps.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
+    both = lambda rows, of: _fetch(_fetch(rows, "a", "b", of("a"), hot), "b", "a", of("b"), hot)
+    met = both(pairs, side).where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    return _links(both(save(met.select("a", "b"), "ngram-candidates"), text), width, similar)
+
+
+def _hot(pairs: DataFrame) -> DataFrame | None:
+    """(side, key, parts) of the ends of pairs with more than a thousandth of them (HOT at least): two thousand rows at
+    most; None if there are none."""
+    ends = pairs.select(F.explode(F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("key")) for x in "ab"))).alias("e"))
+    most = save(ends.groupBy("e.side", "e.key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "ngram-hot")
+    total = most.agg(F.sum("n")).first()[0]
+    if total is None:
+        return None
+    limit = max(HOT, total // 2000)
+    return most.where(F.col("n") > limit).select("side", "key", F.ceil(F.col("n") / limit).cast("long").alias("parts"))
+
+
+def _fetch(pairs: DataFrame, side: str, other: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``pairs`` joined with ``table`` (a row a key, in column ``side``). Pairs of a hot key are split by their other end,
+    and its row is repeated for each part, so that no task gets them all."""
+    if hot is None:
+        return pairs.join(table, side)
+    own = F.broadcast(hot.where(F.col("side") == side).select(F.col("key").alias(side), "parts"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    salted = pairs.join(own, side, "left").withColumn("_part", F.pmod(F.xxhash64(other), parts)).drop("parts")
+    spread = table.join(own, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return salted.join(spread, [side, "_part"]).drop("_part")
+
+
+def _with_token(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``rows`` joined with ``tokens`` (token, size and more, a row a token). Rows of tokens with more than a thousandth of
+    all rows (HOT at least), of which there are a thousand at most, meet a broadcast and are not shuffled."""
+    tokens = save(tokens, "ngram-tokens")
+    total = tokens.where(F.col("size") > HOT).agg(F.sum("size")).first()[0]
+    limit = max(HOT, (total or 0) // 1000)
+    hot, cold = F.broadcast(tokens.where(F.col("size") > limit)), tokens.where(F.col("size") <= limit)
+    rest = rows.join(hot.select("token"), "token", "left_anti")
+    return rows.join(hot, "token").unionByName(rest.join(cold, "token")).drop("size")
+
+
 def _sets_once(ids: pa.Array, texts: pa.Array, width: int) -> list[np.ndarray]:
     """The shingle set of each row; a document that comes again and again is cut once a batch."""
     number: dict[tuple, int] = {}
@@ -158,9 +206,10 @@ def _sets_once(ids: pa.Array, texts: pa.Array, width: int) -> list[np.ndarray]:
 
 def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    n_docs = docs.count()
-    buckets = n_buckets(n_docs)
-    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n_docs)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = sizes(docs)
+    buckets = n_buckets(*size)
+    keyed = with_group(docs, n_groups(*size))
     answers = ask(keyed, _sender(buckets, width), _answer)
     profiles = save(tell(keyed, answers, _profiler(buckets, width, similar), _PROFILE), "ngram-profiles", "zstd")
 
@@ -173,17 +222,17 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     # Sizes that allow the similarity, and enough shared shingles for the overlap that it takes: den o >= num (na + nb - o).
     sized = (F.col("na") <= F.col("nb")) & (F.col("na") * den >= F.col("nb") * num)
     enough = F.least("ma", "mb") * (num + den) >= (F.col("na") + F.col("nb")) * num
-    text = lambda x: reps.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"))
 
     # Stars: each representative against the hub of its first token. A hub has that first token itself, so it has no hub.
     # The hub is the most central text, with the smallest share of shingles that are found nowhere else: copies of one
     # original often resemble it, but not each other.
     central = (1 - F.col("m") / F.col("n")).alias("apart")
-    rays = reps.select("rep", F.get("first", F.lit(0)).alias("token"), "text", central)
-    hubs = rays.groupBy("token").agg(F.min(F.struct("apart", "rep")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("token", F.col("hub.rep").alias("a")).join(text("a"), "a")
-    stars = rays.join(hubs, "token").where("rep <> a").select("a", "text_a", F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    star_links = save(_links(stars, width, similar), "ngram-star-links")
+    rays = reps.select("rep", F.get("first", F.lit(0)).alias("token"), "n", "m", central)
+    hubs = rays.groupBy("token").agg(F.min(F.struct("apart", "rep", "n", "m")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    stars = _with_token(rays, hubs).where("rep <> hub.rep")
+    stars = stars.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.least("hub.n", "n").alias("na"), F.greatest("hub.n", "n").alias("nb"), F.col("hub.m").alias("ma"), F.col("m").alias("mb"))
+    stars = save(stars.where(sized & enough).select("a", "b").distinct(), "ngram-stars")
+    star_links = save(_verified(stars, reps, width, similar), "ngram-star-links")
     # An id with several texts can have several hubs; the others count as links.
     above = star_links.groupBy(F.col("dst").alias("rep")).agg(F.min("src").alias("hub"), F.collect_set("src").alias("all"))
     second = above.where(F.size("all") > 1).select(F.explode("all").alias("src"), F.col("rep").alias("dst"))
@@ -204,11 +253,11 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
 
     # The most central member of each of these components against the most central one of the token.
     best = F.min(F.struct("apart", "rep", "component", "n", "m"))
-    hubs = several.groupBy("token").agg(best.alias("hub"))
-    members = several.groupBy("token", "component").agg(best.alias("x")).join(hubs, "token").where("component <> hub.component")
+    hubs = several.groupBy("token").agg(best.alias("hub"), F.count("*").alias("size"))
+    members = _with_token(several.groupBy("token", "component").agg(best.alias("x")), hubs).where("component <> hub.component")
     spokes = members.select(F.col("hub.rep").alias("a"), F.col("x.rep").alias("b"), F.least("hub.n", "x.n").alias("na"), F.greatest("hub.n", "x.n").alias("nb"), F.col("hub.m").alias("ma"), F.col("x.m").alias("mb"))
-    spokes = spokes.where(sized & enough).select("a", "b").distinct()
-    spoke_links = save(second.unionByName(_links(spokes.join(text("a"), "a").join(text("b"), "b"), width, similar)), "ngram-spoke-links")
+    spokes = save(spokes.where(sized & enough).select("a", "b").distinct(), "ngram-spokes")
+    spoke_links = save(second.unionByName(_verified(spokes, reps, width, similar)), "ngram-spoke-links")
     star_of = save(named.select("rep", "component").distinct(), "ngram-stars", "zstd")
     merged = _bridged(spoke_links, star_of)
     several = several.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
@@ -227,11 +276,7 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
     large = several.select("token", F.col("component").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
     pairs = meet.join(small, ["token", "ca"]).where(possible).join(large, ["token", "cb"]).where(sized & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # The prefixes must meet in the other orders, too.
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("second").alias(f"second_{x}"), F.col("third").alias(f"third_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    met = met.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    links = save(_links(met.join(text("a"), "a").join(text("b"), "b"), width, similar), "ngram-links")
+    links = save(_verified(save(pairs, "ngram-pairs"), reps, width, similar), "ngram-links")
 
     final = _bridged(links.unionByName(spoke_links), star_of)
     rooted = star_of.join(final, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
@@ -244,8 +289,8 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
 
 def _shared(postings: DataFrame) -> DataFrame:
     """The postings of tokens that more than one component has."""
-    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return postings.join(mixed, "token", "left_semi")
+    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    return _with_token(postings, mixed.select("token", "size"))
 
 
 def _bridged(links: DataFrame, star_of: DataFrame) -> DataFrame:
