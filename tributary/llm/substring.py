@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.exchange import ask, bucket_edges, n_buckets, pack, tell, unpack, with_group
+from tributary.llm.exchange import ask, bucket_edges, n_buckets, n_groups, pack, sizes, tell, unpack, with_group
 from tributary.llm.kernel import Words, _power_tables, blocks, mix, utf8
 
 MIN_WORDS = 20
@@ -171,20 +171,23 @@ _SPANS = "doc_id long, span int, start_word long, n_words long, start_char long,
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each passage to remove: doc_id, span, start_word, n_words, start_char, n_chars, first_docs (the
     documents that keep its stretches)."""
-    n = docs.count()
-    buckets = n_buckets(n)
-    keyed = with_group(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), n)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    n = sizes(docs)
+    buckets = n_buckets(*n)
+    keyed = with_group(docs, n_groups(*n))
 
     def use(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         rows: list[list] = [[], [], [], [], [], [], []]
         last, number, texts, ids = -1, 0, table.column("text"), table.column("doc_id")
         for r, word, n, a, b, sources in _spans(table, replies, buckets, min_words):
-            number = number + 1 if r == last else 0
-            raw = texts[r].as_py().encode() if r != last else raw
-            last = r
-            place = len(raw[:a].decode())
-            for column, value in zip(rows, (ids[r].as_py(), number, word, n, place, len(raw[a:b].decode()), sources), strict=True):
+            if r != last:
+                raw, number, done, place = texts[r].as_py().encode(), -1, 0, 0
+            last, number = r, number + 1
+            place += len(raw[done:a].decode())  # spans of a text come in order
+            chars = len(raw[a:b].decode())
+            for column, value in zip(rows, (ids[r].as_py(), number, word, n, place, chars, sources), strict=True):
                 column.append(value)
+            done, place = b, place + chars
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64())]
         names = ["doc_id", "span", "start_word", "n_words", "start_char", "n_chars", "first_docs"]
         return pa.table([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
@@ -194,11 +197,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated passages taken out of ``text``; all other columns and rows are kept."""
-    n, columns = docs.count(), docs.columns
-    buckets = n_buckets(n)
+    columns = docs.columns
     if docs.schema["doc_id"].dataType != T.LongType() or docs.schema["text"].dataType != T.StringType():
         docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    keyed = with_group(docs, n)
+    n = sizes(docs)
+    buckets = n_buckets(*n)
+    keyed = with_group(docs, n_groups(*n))
 
     def use(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         cuts: dict[int, list[tuple[int, int]]] = {}
