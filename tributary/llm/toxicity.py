@@ -22,6 +22,8 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pandas as pd
@@ -34,15 +36,17 @@ from tributary.llm.encode import column_blocks
 from tributary.session import save
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 4_000
 THRESHOLD = 0.7
 STEM_LENGTHS = (4, 5, 6)
 MIN_ODDS = 2.7
 WINDOW_WORDS = 6
 QUOTED, DIRECT, MISSPELLED = 0.4, 1.2, 0.9
 #: Fixed word lists for the context window.
-REPORTING = {"said", "says", "wrote", "quote", "quoted", "quoting", "called", "term", "word", "words", "phrase", "insult", "slur", "reported"}
-ADDRESS = {"you", "your", "you're", "youre", "ur", "u"}
+REPORTING = set(
+    "said says wrote quote quoted quoting called term word words phrase insult slur reported "
+    "sagte schrieb zitat zitierte nannte begriff wort worte cité citation écrit appelé terme mot mots dijo escribió cita citó llamó palabra palabras término".split()
+)
+ADDRESS = set("you your you're youre ur u dich dir dein deine euch toi vous votre usted ustedes vosotros eres".split())
 QUOTES = "\"“”„«»‘’"
 #: Characters that commonly stand for letters.
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -120,6 +124,7 @@ class Lexicon:
             n = self.edits(word) + 1
             cuts = [len(word) * i // n for i in range(n + 1)]
             self.parts |= {word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
+        self.longest = max(map(len, self.strong), default=0)
         self.part_sizes = sorted({len(p) for p in self.parts})
 
     def parts_of(self) -> tuple:
@@ -147,7 +152,7 @@ class Lexicon:
         plain = word if word.isalpha() else word.translate(LEET).replace("'", "")
         if plain != word and plain in self.strong:
             return plain, MISSPELLED * self.strong[plain], 1
-        if not 4 <= len(plain) <= 24 or not any(plain[i : i + n] in self.parts for n in self.part_sizes for i in range(len(plain) - n + 1)):
+        if not 4 <= len(plain) <= self.longest + 2 or not any(plain[i : i + n] in self.parts for n in self.part_sizes for i in range(len(plain) - n + 1)):
             return None
         if word in self.harmless:
             return None
@@ -252,7 +257,19 @@ def _lexicon(stats: list, stems: list, parts: tuple[int, ...], totals: dict[int,
     return Lexicon(words, begins, strong)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Model:
+#: Whose counts a lexicon is learned from: all groups, or one half of them.
+HALVES = ((0, 1), (1,), (0,))
+
+
+def _telling(parts: tuple[int, ...], totals: dict[int, tuple[int, int]], least: int, off: int) -> Column:
+    """Whether a term is frequent enough for ``_lexicon``, which decides the same way."""
+    toxic, clean_n = (max(1, sum(totals.get(p, (0, 0))[k] for p in parts)) for k in (0, 1))
+    t, c = (reduce(add, (F.col(f"{n}{p}") for p in parts)) for n in "tc")
+    odds = F.log((t - off - 0.7) / (toxic + 1)) - F.log((c + 0.8) / (clean_n + 1))
+    return F.when(t >= least, odds > MIN_ODDS - 1e-9).otherwise(False)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Learns from labelled documents that are not held out; at most ``max_train`` of them, by hash."""
     chosen = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -272,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 words = {clean(x) for x in text.split()} - {""}
                 group = min((zlib.crc32(w.encode()) for w in words), default=0)  # near copies mostly agree
-                rows |= {(w, int(toxic), group) for w in words if len(w) <= 40}
+                rows |= {(w, int(toxic), group) for w in words}
             yield pd.DataFrame(sorted(rows), columns=["term", "toxic", "grp"])
 
     half = F.pmod(F.col("grp"), F.lit(2))
@@ -281,15 +298,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
     seen = train.mapInPandas(terms, "term string, toxic int, grp long")
     stats = save(seen.groupBy("term").agg(*(c.alias(n) for n, c in names.items())), "toxicity-terms")
     toxic_n, clean_n = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    gain = toxic_n / (toxic_n + clean_n + 1) * F.log1p(toxic_n)
-    words = stats.where(toxic_n >= 2).orderBy(F.desc(gain), "term").limit(max_terms).collect()
-    begins = stats.select(F.explode(F.array(*(F.when(F.length("term") > n, F.substring("term", 1, n)) for n in STEM_LENGTHS))).alias("stem"), *names)
-    begins = begins.where(F.col("stem").isNotNull()).groupBy(F.col("stem").alias("term")).agg(*(F.sum(n).alias(n) for n in names), F.sum(F.when(toxic_n > clean_n, 1).otherwise(0)).alias("n"))
-    stems = begins.where((F.col("n") >= 3) & (toxic_n >= 4) & (toxic_n > 2 * clean_n)).orderBy(F.desc(gain), "term").limit(max_terms).collect()
     groups = seen.groupBy("grp").agg(F.max("toxic").alias("toxic"))
     totals = {r["half"]: (r["t"], r["c"]) for r in groups.groupBy(half.alias("half")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()}
-    drafts = [_lexicon(words, stems, parts, totals) for parts in ((0, 1), (1,), (0,))]
-    terms_of = docs.sparkSession.sparkContext.broadcast([x.parts_of() for x in drafts])  # at most 2 * max_terms terms each
+    telling = lambda least, off: reduce(or_, (_telling(parts, totals, least, off) for parts in HALVES))
+    words = stats.where(telling(2, 0)).collect()  # of at most max_train documents, and far more frequent in toxic ones
+    begins = stats.select(F.explode(F.array(*(F.when(F.length("term") > n, F.substring("term", 1, n)) for n in STEM_LENGTHS))).alias("stem"), *names)
+    begins = begins.where(F.col("stem").isNotNull()).groupBy(F.col("stem").alias("term")).agg(*(F.sum(n).alias(n) for n in names), F.sum(F.when(toxic_n > clean_n, 1).otherwise(0)).alias("n"))
+    stems = begins.where((F.col("n") >= 3) & telling(4, 1)).collect()
+    drafts = [_lexicon(words, stems, parts, totals) for parts in HALVES]
+    terms_of = docs.sparkSession.sparkContext.broadcast([x.parts_of() for x in drafts])
 
     def lookalikes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicons = [Lexicon(*x) for x in terms_of.value]
@@ -297,8 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
             hit = [any((m := x.match(w)) and m[2] == 1 for x in lexicons) for w in batch["term"]]
             yield batch[hit]
 
-    seen_clean = stats.where((clean_n > 0) & (toxic_n < clean_n)).orderBy(F.desc(clean_n), "term").limit(50 * max_terms)
-    alike = seen_clean.select("term").mapInPandas(lookalikes, "term string").limit(5 * max_terms).collect()
+    seen_clean = stats.where((clean_n > 0) & (toxic_n < clean_n)).select("term")
+    alike = seen_clean.mapInPandas(lookalikes, "term string").collect()  # words of the training documents near a strong term
     harmless = frozenset(r["term"] for r in alike)
     lexicon = Lexicon(*drafts[0].parts_of()[:3], harmless)
     shared = docs.sparkSession.sparkContext.broadcast([(*x.parts_of()[:3], harmless) for x in drafts[1:]])
@@ -326,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per document row: doc_id, held_out, score, predicted."""
     m = model.lexicon.parts_of(), model.weights, model.mean, model.scale
-    shared = docs.sparkSession.sparkContext.broadcast(m)  # at most 2 * max_terms terms
+    shared = docs.sparkSession.sparkContext.broadcast(m)  # terms of at most max_train documents
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, *rest = shared.value
