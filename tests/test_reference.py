@@ -322,3 +322,37 @@ def test_approximate_neighbours_reach_the_exact_ones(spark):
     far = spark.createDataFrame([(i, [1.0 if i == k else 0.0 for k in range(8)]) for i in range(8)], "doc_id long, embedding array<float>")
     few = retrieval.lsh_top_k(far.select(F.col("doc_id").alias("query_id"), "embedding"), far, 3).groupBy("query_id").count().collect()
     assert len(few) == 8 and all(r["count"] == 3 for r in few)
+
+
+def test_generation_stream_goes_on_from_its_log(spark, tmp_path):
+    from tributary.streaming.streams import generate_stream
+
+    schema = "rec_id long, instruction string, input string, output string"
+    settings = inference.JobSettings(base_delay=0.0, requests_per_second=0, partitions=2)
+    for ids in (range(5), range(3, 9)):
+        spark.createDataFrame([(i, f"question {i}", "", "") for i in ids], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        generate_stream(rows, inference.EchoTeacher, f"file://{tmp_path}/log", f"{tmp_path}/state", settings).trigger(availableNow=True).start().awaitTermination(120)
+    log = src.read_generation_log(spark, f"file://{tmp_path}/log").collect()
+    assert sorted(r.rec_id for r in log) == list(range(9)) and {r.output for r in log} == {"echo 10"}
+    assert spark.read.text(f"file://{tmp_path}/log").count() == 9  # nothing was asked twice
+
+
+def test_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5), ("b", None)], "name string, value double")
+    for kind in ("json", "parquet"):
+        src.write_report(rows, f"{tmp_path}/{kind}", kind)
+        src.write_report(rows, f"{tmp_path}/{kind}", kind)
+        assert sorted(map(tuple, src.read_table(spark, f"{tmp_path}/{kind}", kind, rows.schema).collect())) == [("a", 1.5), ("b", None)]
+    labels = spark.createDataFrame([(0, "e", 0), (1, "f", 0)], "batch int, example_id string, pos int")
+    src.write_soft_labels(labels, f"{tmp_path}/labels")
+    assert src.pending_soft_labels(labels.union(spark.createDataFrame([(1, "g", 0)], labels.schema)), spark.read.parquet(f"{tmp_path}/labels")).first().example_id == "g"
+
+
+def test_tokenized_records_are_cut_and_masked(spark):
+    from tributary.operators.supervised import tokenize_records
+
+    df = spark.createDataFrame([(1, "q", "", "ab"), (2, "q" * 400, "", "ab"), (3, None, None, None)], "rec_id long, instruction string, input string, output string")
+    rows = {r.rec_id: r for r in tokenize_records(df, lambda: lambda texts: [[ord(c) for c in t] for t in texts], 2, 300).collect()}
+    assert rows[1].labels[-3:] == [97, 98, 2] and set(rows[1].labels[:-3]) == {-100} and rows[1].attention_mask == [1] * len(rows[1].input_ids)
+    assert len(rows[2].input_ids) == 300 and set(rows[2].labels) == {-100} and rows[3].labels[-1] == 2
