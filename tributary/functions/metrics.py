@@ -1,44 +1,66 @@
-"""Answer metrics as columns: exact match, token F1, smoothed BLEU-4."""
+"""Answer metrics as columns: exact match, token F1, smoothed BLEU-4.
+
+Answers are normalised by column functions; the multiset counts come from one Arrow pass over the normal forms.
+"""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tributary.functions.text import let, ngrams, qa_normalize, words
+from tributary.functions.text import qa_normalize
+
+EPSILON = 0.1
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
     return (qa_normalize(prediction) == qa_normalize(reference)).cast("double")
 
 
-def _count(items: Column, item: Column) -> Column:
-    return F.size(F.filter(items, lambda x: x == item))
+def _common(a: list, b: list) -> int:
+    """Size of the multiset intersection."""
+    return sum((Counter(a) & Counter(b)).values())
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    least = lambda p: lambda acc, x: acc + F.least(_count(p["a"], x), _count(p["b"], x))
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), least(p)))
+def _f1(hyp: list[str], ref: list[str], common: int) -> float:
+    # 2 p r / (p + r) with p = common / |hyp| and r = common / |ref|
+    return 2.0 * common / (len(hyp) + len(ref)) if hyp and ref else float(hyp == ref)
 
 
-def token_f1(prediction: Column, reference: Column) -> Column:
-    a, b = words(qa_normalize(prediction)), words(qa_normalize(reference))
-    common = overlap(a, b)
-    either_empty = (F.size(a) == 0) | (F.size(b) == 0)
-    both_empty = ((F.size(a) == 0) & (F.size(b) == 0)).cast("double")
-    # 2 p r / (p + r) with p = common / |a| and r = common / |b|
-    return F.when(either_empty, both_empty).otherwise(2.0 * common / (F.size(a) + F.size(b)))
-
-
-def bleu4(prediction: Column, reference: Column, epsilon: float = 0.1) -> Column:
-    """Sentence BLEU with uniform weights to four-grams; a count of zero becomes epsilon, no shared word gives 0."""
-    hyp, ref = words(qa_normalize(prediction)), words(qa_normalize(reference))
-    logs = F.lit(0.0)
+def _bleu4(hyp: list[str], ref: list[str], common: int, epsilon: float) -> float:
+    """Uniform weights to four-grams; a count of zero becomes epsilon, no shared word gives 0."""
+    if not common:
+        return 0.0
+    logs = 0.0
     for n in range(1, 5):
-        a, b = ngrams(hyp, n), ngrams(ref, n)
-        hits = overlap(a, b)
-        logs = logs + 0.25 * F.log(F.when(hits == 0, F.lit(epsilon)).otherwise(hits.cast("double")) / F.greatest(F.size(a), F.lit(1)))
-    c, r = F.size(hyp), F.size(ref)
-    brevity = F.when(c > r, 1.0).otherwise(F.exp(1 - r / F.greatest(c, F.lit(1))))
-    return F.when((c == 0) | (overlap(hyp, ref) == 0), 0.0).otherwise(brevity * F.exp(logs))
+        a, b = (list(zip(*(x[i:] for i in range(n)), strict=False)) for x in (hyp, ref))
+        logs += 0.25 * math.log((_common(a, b) or epsilon) / max(len(a), 1))
+    brevity = 1.0 if len(hyp) > len(ref) else math.exp(1 - len(ref) / len(hyp))
+    return brevity * math.exp(logs)
+
+
+def answer_metrics(prediction: Column, reference: Column, epsilon: float = EPSILON) -> Column:
+    """exact_match, f1 and bleu4 of an answer; a null answer is an empty one."""
+
+    @F.pandas_udf("exact_match double, f1 double, bleu4 double")
+    def of(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, r in zip(prediction, reference, strict=True):
+            hyp, ref = p.split(), r.split()
+            common = _common(hyp, ref)
+            rows.append((float(p == r), _f1(hyp, ref, common), _bleu4(hyp, ref, common, epsilon)))
+        return pd.DataFrame(rows, columns=["exact_match", "f1", "bleu4"], dtype="float64")
+
+    return of(qa_normalize(prediction), qa_normalize(reference))
+
+
+def token_f1(prediction: Column, reference: Column) -> Column:
+    return answer_metrics(prediction, reference)["f1"]
+
+
+def bleu4(prediction: Column, reference: Column, epsilon: float = EPSILON) -> Column:
+    return answer_metrics(prediction, reference, epsilon)["bleu4"]

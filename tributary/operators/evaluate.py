@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.metrics import bleu4, exact_match, token_f1
+from tributary.functions.metrics import answer_metrics, exact_match, token_f1
 from tributary.session import save
 
 STRATA = ("parametric", "retrieval_dependent", "hard")
@@ -17,8 +17,8 @@ METRICS = ("exact_match", "f1", "bleu4")
 def scored(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Long predictions (example_id, model, prediction) with their metrics."""
     rows = predictions.join(references, "example_id")
-    p, r = F.col("prediction"), F.col("reference")
-    return rows.select("example_id", "model", exact_match(p, r).alias("exact_match"), token_f1(p, r).alias("f1"), bleu4(p, r).alias("bleu4"))
+    measured = rows.select("example_id", "model", answer_metrics(F.col("prediction"), F.col("reference")).alias("_m"))
+    return measured.select("example_id", "model", "_m.exact_match", "_m.f1", "_m.bleu4")
 
 
 def evaluate_models(scores: DataFrame) -> DataFrame:
