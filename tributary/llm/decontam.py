@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-MAX_BLOCK_BYTES = 32 << 20
+#: Bytes of patterns in one automaton: it takes about 48 bytes of memory for each, in every Python worker.
+MAX_BLOCK_BYTES = 8 << 20
 
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
