@@ -278,7 +278,12 @@ def join(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR
 
     links = save(_verified(save(pairs, "ngram-pairs"), reps, width, similar), "ngram-links")
 
-    final = _bridged(links.unionByName(spoke_links), star_of)
+    # A document with several texts joins their classes.
+    again = profiles.where("n_probe is not null").select("doc_id", *sets).distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    owned = profiles.join(save(again, "ngram-repeated"), "doc_id", "left_semi").join(classes, sets).select("doc_id", "rep")
+    owned = owned.join(owned.groupBy("doc_id").agg(F.min("rep").alias("dst")), "doc_id").select(F.col("rep").alias("src"), "dst").where("src <> dst").distinct()
+
+    final = _bridged(links.unionByName(spoke_links).unionByName(owned), star_of)
     rooted = star_of.join(final, "component", "left").select("rep", F.coalesce("root", "component").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("least"))
     rooted = rooted.join(smallest, "root").select("rep", F.col("least").alias("root"))
