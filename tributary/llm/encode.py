@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_CACHED = 800_000
-BLOCK = 12 << 20
+MAX_CACHED = 400_000
+BLOCK = 8 << 20
 _SIMPLE = re.compile(r"([^\W\d_]+)([.,|%$*#&:;!?]*)")
 #: The byte alphabet of byte-level models (fixed values): printable bytes stand for themselves, others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -138,12 +138,13 @@ class Lexicon:
         """(term, weight, kind) of a piece; kind 0: word, 1: misspelled, 2: beginning."""
         if piece in self.known:
             return self.known[piece]
-        found = self._match(clean(piece))
-        if len(self.known) < 300_000:
+        found = self.look_up(clean(piece))
+        if len(self.known) < 200_000:
             self.known[piece] = found
         return found
 
-    def _match(self, word: str) -> tuple[str, float, int] | None:
+    def look_up(self, word: str) -> tuple[str, float, int] | None:
+        """``match`` of a clean word, which is not remembered."""
         if word in self.words:
             return word, self.words[word], 0
         for size in reversed(STEM_LENGTHS):
@@ -284,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     train = save(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-train", "zstd")
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[lo : lo + 500] for b in batches for lo in range(0, len(b), 500)):
             rows = set()
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 words = {clean(x) for x in text.split()} - {""}
@@ -311,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     def lookalikes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicons = [Lexicon(*x) for x in terms_of.value]
         for batch in batches:
-            hit = [any((m := x.match(w)) and m[2] == 1 for x in lexicons) for w in batch["term"]]
+            hit = [any((m := x.look_up(w)) and m[2] == 1 for x in lexicons) for w in batch["term"]]
             yield batch[hit]
 
     seen_clean = stats.where((clean_n > 0) & (toxic_n < clean_n)).select("term")
