@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity
+from tributary.llm import chat, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(docs, license_scan.fit(docs))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
+    "op11_warc": op11_warc,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,9 +159,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+_OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, html, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM g
+"""
+
 ORACLES = {
     "op1_ngram_join": _OP1,
     "op2_benchmark_decontamination": _OP2,
     "op7_exact_topk": _OP7,
     "op9_chat_formatting": _OP9,
+    "op11_warc": _OP11,
 }
