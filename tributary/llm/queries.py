@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity, warc
+from tributary.llm import chat, collocations, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -80,6 +84,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
     "op11_warc": op11_warc,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,10 +173,44 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
 FROM g
 """
 
+_OP13 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k)
+),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, w FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS lp, array_to_string(list_slice(w, j + 1, k), ' ') AS rp
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+),
+s AS (
+  SELECT u.lang, u.phrase, u.a, u.j, x.f AS l, y.f AS r,
+         CAST(1000000 AS HUGEINT) * CAST(u.a AS HUGEINT) * CAST(u.a AS HUGEINT) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+  FROM cut u JOIN f x ON x.lang = u.lang AND x.phrase = u.lp JOIN f y ON y.lang = u.lang AND y.phrase = u.rp
+),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS b
+  FROM (SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS phrase FROM c WHERE k = 3)
+  GROUP BY lang, phrase
+),
+kept AS (SELECT t.* FROM least t LEFT JOIN longer b USING (lang, phrase) WHERE b.b IS NULL OR 100 * b.b < 50 * t.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op1_ngram_join": _OP1,
     "op2_benchmark_decontamination": _OP2,
     "op7_exact_topk": _OP7,
     "op9_chat_formatting": _OP9,
     "op11_warc": _OP11,
+    "op13_phrase_collocations": _OP13,
 }
