@@ -26,7 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +63,18 @@ class Box(Counter):
     seen = 0
 
 
+def _box(keys: np.ndarray, counts: np.ndarray) -> Box:
+    out = Box()
+    dict.update(out, zip(keys.tolist(), counts.tolist(), strict=True))
+    return out
+
+
 class Node:
     """Children by the number of one word of the key; a child from ``starts[i]`` on is a box, or the node of one word."""
 
-    def __init__(self, level: int, keys: dict[int, int] | None = None, seen: int = 0):
-        self.shift = _BITS * (2 - level)
-        self.starts, self.children = [0], [Box(keys or {})]
-        self.children[0].seen = seen
-        self.level = level
+    def __init__(self, level: int, box: Box | None = None):
+        self.level, self.shift = level, _BITS * (2 - level)
+        self.starts, self.children = [0], [Box() if box is None else box]
 
     def add(self, keys: np.ndarray, burst: int) -> None:
         """``keys`` are sorted and belong to this node."""
@@ -96,7 +100,7 @@ class Node:
         if low == high:
             if self.level == 1:
                 return  # the last word's level: a box of one prefix may grow
-            child = Node(self.level + 1, box, box.seen)
+            child = Node(self.level + 1, box)
             begin, end = low, low + 1
             # Other words of the box's range keep an empty box on each side.
             stop = self.starts[i + 1] if i + 1 < len(self.starts) else None
@@ -106,9 +110,8 @@ class Node:
             self.starts[i : i + 1], self.children[i : i + 1] = starts, children
             return
         middle = max(low + 1, int(np.median(words)))
-        left, right = Box(), Box()
-        for key, at_right in zip(keys.tolist(), (words >= middle).tolist(), strict=True):
-            (right if at_right else left)[key] = box[key]
+        counts, at_left = np.fromiter(box.values(), np.int64, len(box)), words < middle
+        left, right = (_box(keys[x], counts[x]) for x in (at_left, ~at_left))
         left.seen, right.seen = box.seen * len(left) // len(box), box.seen * len(right) // len(box)
         self.starts[i : i + 1], self.children[i : i + 1] = [self.starts[i], middle], [left, right]
 
@@ -162,14 +165,29 @@ class Counts:
     def __init__(self, partitions: int, max_words: int = 3, burst: int = BURST, max_entries: int = MAX_ENTRIES, max_vocabulary: int = MAX_WORDS):
         self.partitions, self.max_words, self.burst, self.max_entries = partitions, max_words, burst, max_entries
         self.max_vocabulary = min(max_vocabulary, (1 << _BITS) - 2)
+        self._clear()
+
+    def _clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
+        self.names: list[bytes] = []
         self.tries: dict[str, Node] = {}
         self.held = 0  # entries at most
 
+    def _number(self, word: bytes) -> int:
+        found = self.numbers.setdefault(word, len(self.names))
+        if found == len(self.names):
+            self.names.append(word)
+        return found
+
     def _numbers(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         words = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        known = self.numbers
-        table = np.fromiter((known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        distinct = words.dictionary.to_pylist()
+        table = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(table < 0)
+        table[new] = np.arange(len(self.names), len(self.names) + len(new))
+        fresh = [distinct[k] for k in new.tolist()]
+        self.numbers.update(zip(fresh, table[new].tolist(), strict=True))
+        self.names += fresh
         return table[words.indices.to_numpy()]
 
     def add(self, lang: str, data: np.ndarray, off: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -179,7 +197,7 @@ class Counts:
             if len(self.numbers) + len(begins) > (1 << _BITS) - 4:  # the segment might bring as many new words
                 yield from self.flush()
             ids = self._numbers(words, ends)
-            ahead = [self.numbers.setdefault(w, len(self.numbers)) for w in carry]
+            ahead = [self._number(w) for w in carry]
             begins = np.concatenate((np.zeros(len(ahead), bool), begins))
             ids = np.concatenate((np.array(ahead, np.int64), ids))
             self._phrases(lang, ids, begins, len(ahead))
@@ -187,14 +205,11 @@ class Counts:
             if is_open and self.max_words > 1:
                 last = np.flatnonzero(begins)
                 tail = ids[last[-1] if len(last) else 0 :][1 - self.max_words :]
-                carry = [self._name(k) for k in tail.tolist()]
+                carry = [self.names[k] for k in tail.tolist()]
             yield from self._spill()
         if len(self.numbers) > self.max_vocabulary:
             yield from self.flush()
 
-    def _name(self, number: int) -> bytes:
-        return next(islice(self.numbers, number, None))
-
     def _phrases(self, lang: str, ids: np.ndarray, begins: np.ndarray, carried: int) -> None:
         """Adds the phrases whose last word is not carried."""
         trie = self.tries.setdefault(lang, Node(0))
@@ -225,60 +240,62 @@ class Counts:
             self.held -= n
             if 2 * self.held <= self.max_entries:
                 break
-        names = list(self.numbers)
         for lang, boxes in gone.items():
-            yield from self._run(lang, names, boxes)
+            yield from self._run(lang, boxes)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """Everything leaves, and numbering begins anew."""
-        names = list(self.numbers)
         for lang, trie in self.tries.items():
-            yield from self._run(lang, names, list(trie.boxes()))
-        self.numbers, self.tries, self.held = {}, {}, 0
+            yield from self._run(lang, list(trie.boxes()))
+        self._clear()
 
-    def _run(self, lang: str, names: list[bytes], boxes: list[Box]) -> Iterator[pa.RecordBatch]:
+    def _run(self, lang: str, boxes: list[Box]) -> Iterator[pa.RecordBatch]:
         """A sorted run, cut by prefix partitions; a row each."""
-        n = sum(map(len, boxes))
-        keys = np.fromiter((k for b in boxes for k in b), np.int64, n)
-        counts = np.fromiter((c for b in boxes for c in b.values()), np.int64, n)
-        if not n:
+        boxes = [b for b in boxes if b]
+        if not boxes:
             return
+        keys = np.concatenate([np.fromiter(b, np.int64, len(b)) for b in boxes])
+        counts = np.concatenate([np.fromiter(b.values(), np.int64, len(b)) for b in boxes])
         w = [(keys >> 2 * _BITS) + 1, keys >> _BITS & _MASK, keys & _MASK]
-        used = np.zeros(len(names) + 1, bool)
+        used = np.zeros(len(self.names) + 1, bool)
         for x in w:
             used[x] = True
-        used[0] = False
-        numbers = np.flatnonzero(used)
-        words = pa.array([names[k - 1] for k in numbers.tolist()], pa.binary())
-        order = pc.sort_indices(words).to_numpy()
-        words = words.take(pa.array(order))
-        rank = np.zeros(len(names) + 1, np.int64)
-        rank[numbers[order]] = np.arange(1, len(order) + 1)
+        numbers = np.flatnonzero(used[1:])
+        own = [self.names[k] for k in numbers.tolist()]
+        words = pa.array(own, pa.binary())
+        order = pc.sort_indices(words)
+        words, order = words.take(order), order.to_numpy()
         crc = np.zeros(len(order) + 1, np.uint64)
-        crc[1:] = np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(order))
+        crc[1:] = np.fromiter(map(zlib.crc32, own), np.uint64, len(own))[order]
+        rank = np.zeros(len(used), np.int64)
+        rank[numbers[order] + 1] = np.arange(1, len(order) + 1)
         w = [rank[x] for x in w]
-        order = np.argsort((w[0] << 2 * _BITS) | (w[1] << _BITS) | w[2])
-        w, counts = [x[order] for x in w], counts[order]
         home = mix(crc[w[0]] + np.uint64(zlib.crc32(lang.encode()) << 32)) + crc[w[1]] * np.uint64(0x9E3779B97F4A7C15)
         part = ((mix(home) >> np.uint64(8)) + crc[w[2]] % np.uint64(SPREAD)) % np.uint64(self.partitions)
-        order = np.argsort(part.astype(np.uint16) if self.partitions <= 1 << 16 else part, kind="stable")
-        w, counts, part = [x[order] for x in w], counts[order], part[order]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        order = np.argsort((w[0] << 2 * _BITS) | (w[1] << _BITS) | w[2])
+        part = part[order]
+        order = order[np.argsort(part.astype(np.uint16) if self.partitions <= 1 << 16 else part, kind="stable")]
+        part = np.sort(part)
+        w, counts = [x[order].astype(np.uint32) for x in w], counts[order]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])).tolist()
         local = np.zeros(len(words) + 1, np.uint32)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for a, b in pairwise(edges):
             cut = [x[a:b] for x in w]
-            own = np.zeros(len(words) + 1, bool)
+            there = np.zeros(len(words) + 1, bool)
             for x in cut:
-                own[x] = True
-            own[0] = False
-            own = np.flatnonzero(own)
-            local[own] = np.arange(1, len(own) + 1)
-            triple = [local[x] for x in cut]
-            raw = b"".join((pack(np.diff(triple[0], prepend=np.uint32(0))), pack(triple[1]), pack(triple[2])))
-            row = ([int(part[a])], [lang], [b" ".join(words.take(pa.array(own - 1)).to_pylist())], [raw], [pack(counts[a:b])])
+                there[x] = True
+            there = np.flatnonzero(there[1:])
+            local[there + 1] = np.arange(1, len(there) + 1)
+            first, *rest = (local[x] for x in cut)
+            raw = b"".join((pack(np.diff(first, prepend=np.uint32(0))), *map(pack, rest)))
+            row = ([int(part[a])], [lang], [_joined(words.take(pa.array(there)))], [raw], [pack(counts[a:b])])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _RUN_KINDS, strict=True)], _RUN_NAMES)
 
 
+def _joined(words: pa.Array) -> bytes:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py()
+
+
 _RUN = "part long, lang string, words binary, phrases binary, counts binary"
 _RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 _RUN_KINDS = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
@@ -293,7 +310,7 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 def _merge_runs(words: list[bytes], phrases: list[bytes], counts: list[bytes], min_count: int) -> tuple[list[tuple[pa.Array, np.ndarray]], int]:
     """Phrases of each width that occur ``min_count`` times, with their counts, and the number of all words."""
-    lists = [pa.array(x.split(b" "), pa.binary()) for x in words]
+    lists = [pc.split_pattern(pa.array([x], pa.binary()), b" ").flatten() for x in words]
     coded = pa.concat_arrays(lists).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     names = coded.dictionary.take(pa.array(order))
