@@ -56,7 +56,9 @@ def _is_open(piece: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, max_cached: int = MAX_CACHED):
+    """``plain``: strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str, max_cached: int = MAX_CACHED, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,7 +66,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.layout = layout(spec)
-        self.special = [x["content"] for x in spec.get("added_tokens", ())]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [x["content"] for x in spec.get("added_tokens", ())]
         self.model, self.max_cached = self.tokenizer.model, max_cached
         #: Letters to ids; when the young ones are many, the old ones go.
         self.young: dict[str, bytes] = {}
@@ -104,6 +107,9 @@ class Encoder:
         found = self._core(" " + core if space else core)
         return found + self._core_of_marks(simple[2]) if simple[2] else found
 
+    def line_end(self) -> bytes:
+        return self._core_of_marks("\n")
+
     def _core_of_marks(self, marks: str) -> bytes:
         found = self.young.get(marks)
         if found is None:
@@ -191,14 +197,14 @@ class Encoder:
         return out, at
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The Python worker's encoder of this file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain=plain)
+    return _encoders[path, plain]
 
 
 def column_blocks(column: pa.Array, limit: int = BLOCK) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm import chat, collocations, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity, warc
+from tributary.llm import align, chat, collocations, decontam, html_extract, license_scan, ngram_join, packing, substring, token_output, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_table(spark, sf_dir, "pages"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
     "op11_warc": op11_warc,
+    "op12_token_alignment": op12_token_alignment,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 
