@@ -335,7 +335,7 @@ def test_generation_stream_goes_on_from_its_log(spark, tmp_path):
         generate_stream(rows, inference.EchoTeacher, f"file://{tmp_path}/log", f"{tmp_path}/state", settings).trigger(availableNow=True).start().awaitTermination(120)
     log = src.read_generation_log(spark, f"file://{tmp_path}/log").collect()
     assert sorted(r.rec_id for r in log) == list(range(9)) and {r.output for r in log} == {"echo 10"}
-    assert spark.read.text(f"file://{tmp_path}/log").count() == 9  # nothing was asked twice
+    assert spark.read.option("recursiveFileLookup", "true").text(f"file://{tmp_path}/log").count() == 9  # nothing was asked twice
 
 
 def test_reports_are_written(spark, tmp_path):

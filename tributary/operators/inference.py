@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import bare_prompt, build_prompt, filled, rag_prompt, strip, student_input
-from tributary.session import save
-from tributary.sources.records import append_generations, read_generation_log
+from tributary.operators.coordination import Coordinator
+from tributary.session import save, shared_dir
+from tributary.sources.answers import PartLog
+from tributary.sources.records import read_generation_log
 
 #: Statuses after which another attempt may succeed; so does a call that got no status at all.
 RETRIED = {408, 409, 425, 429}
@@ -36,10 +40,11 @@ class JobSettings:
     requests_per_second: float = 4.0  # of all partitions together; 0: no limit
     partitions: int = 8
     batch_size: int = 8  # prompts in a call of a client that takes several
+    log_every: int = 1  # answers in a file of the log
 
     def __post_init__(self):
-        if self.requests_per_second < 0 or self.attempts < 1 or self.batch_size < 1 or self.partitions < 1:
-            raise ValueError("requests_per_second must not be negative; attempts, batch_size and partitions are at least 1")
+        if self.requests_per_second < 0 or min(self.attempts, self.batch_size, self.partitions, self.log_every) < 1:
+            raise ValueError("requests_per_second must not be negative; attempts, batch_size, partitions and log_every are at least 1")
 
 
 class Pace:
@@ -83,7 +88,7 @@ def call(client: Callable, request, s: JobSettings, sleep: Callable[[float], Non
     raise AssertionError("attempts is at least 1")
 
 
-def _answers(prompts: list[str], client, pace: Pace, s: JobSettings) -> Iterator[tuple[str | None, str | None]]:
+def _answers(prompts: list[str], client, pace, s: JobSettings) -> Iterator[tuple[str | None, str | None]]:
     """(output, error) of each prompt; a client with a ``batch`` method gets ``batch_size`` prompts at once."""
     if not hasattr(client, "batch"):
         for prompt in prompts:
@@ -124,6 +129,40 @@ def predict(examples: DataFrame, make_client: Callable[[], Callable], settings:
     return examples.select("example_id", "reference").join(said, "example_id").select("example_id", F.col("output").alias("prediction"), "reference", "error")
 
 
+def generate_into(log: str, records: DataFrame, make_client: Callable[[], Callable], settings: JobSettings = JobSettings()) -> DataFrame:
+    """Asks for every record and puts each answer into the log as it lands; returns the failures (saved): rec_id, error.
+    A task that is run again, or a speculative copy, goes on from what its partition has in the log, after the attempt
+    before it has ended; only a call that was under way then is made twice. All tasks share the request rate."""
+    spark, run = records.sparkSession, uuid.uuid4().hex
+
+    with Coordinator.of(spark, settings.requests_per_second) as coordinator:
+        address = coordinator.address
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, client = TaskContext.get().partitionId(), None
+            with address.connect() as lease:
+                lease.claim(part)
+                own = PartLog(log, run, part, settings.log_every)
+                done = own.landed()
+                try:
+                    for batch in batches:
+                        rows = batch[[x not in done for x in batch["rec_id"]]]
+                        client = client or (make_client() if len(rows) else None)
+                        failed: list[tuple[int, str]] = []
+                        for rec_id, (output, error) in zip(rows["rec_id"].tolist(), _answers(rows["prompt"].tolist(), client, lease, settings), strict=True):
+                            if error is None:
+                                own.add(rec_id, output or "")
+                            else:
+                                failed.append((rec_id, error))
+                        yield pd.DataFrame(failed, columns=["rec_id", "error"])
+                finally:
+                    own.flush()
+
+        prompts = records.select("rec_id", build_prompt(F.col("instruction"), F.col("input")).alias("prompt"))
+        asked = prompts.repartition(settings.partitions, "rec_id").mapInPandas(work, "rec_id long, error string")
+        return save(asked, "failed-calls")
+
+
 PASSTHROUGH = "passthrough"
 
 
@@ -154,21 +193,17 @@ def provider(name: str | None) -> str:
 
 
 def generation_job(records: DataFrame, teacher: str | Callable[[], Callable], settings: JobSettings = JobSettings(), log_path: str | None = None) -> DataFrame:
-    """rec_id, output, error of all records: what the log has is kept, the rest is generated and appended to the log, so
-    that a job that broke off goes on where it was. A failed call has an empty output and its error, and is tried again
-    by the next run. ``teacher`` is a registered name or a client factory."""
+    """rec_id, output, error of all records: what the log has is kept, the rest is generated, and every answer is in the log
+    as soon as it is there, so that a job that broke off goes on where it was. A failed call has an empty output and its
+    error, and is tried again by the next run. ``teacher`` is a registered name or a client factory."""
     make_client = PROVIDERS[provider(teacher)] if isinstance(teacher, str) else teacher
     if make_client is None:
         return records.select("rec_id", F.coalesce("output", F.lit("")).alias("output"), F.lit(None).cast("string").alias("error"))
     spark = records.sparkSession
-    empty = spark.createDataFrame([], "rec_id long, output string")
-    done = save(read_generation_log(spark, log_path), "generation-log") if log_path else empty
-    made = save(generate(pending(records, done), make_client, settings), "generated")
-    good = made.where("error is null").select("rec_id", strip(filled(F.col("output"))).alias("output"))
-    if log_path:
-        append_generations(good, log_path)
-    failed = made.where("error is not null").select("rec_id", "error")
-    return merge(records, done.unionByName(good)).join(failed, "rec_id", "left")
+    log = log_path or f"{shared_dir(spark)}/generations-{uuid.uuid4().hex}"
+    failed = generate_into(log, pending(records, save(read_generation_log(spark, log), "generation-log")), make_client, settings)
+    done = read_generation_log(spark, log).select("rec_id", strip(filled(F.col("output"))).alias("output"))
+    return merge(records, save(done, "generations")).join(failed, "rec_id", "left")
 
 
 def pending(records: DataFrame, done: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def parse_generation_log(lines: DataFrame) -> DataFrame:
 
 
 def read_generation_log(spark: SparkSession, path: str) -> DataFrame:
-    """A log of one or several files, of which the lines of later ones win; a log that is not there yet is empty."""
+    """A log of one file or a folder of them, of which the lines of later ones win; one that is not there yet is empty."""
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

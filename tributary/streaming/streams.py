@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tributary.functions.curation import Thresholds
 from tributary.functions.text import record_key
 from tributary.operators import curate
-from tributary.operators.inference import JobSettings, generate, pending
-from tributary.sources.records import append_generations, read_generation_log
+from tributary.operators.inference import JobSettings, generate_into, pending
+from tributary.sources.records import read_generation_log
 
 
 def curate_stream(records: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -26,10 +26,10 @@ def dedup_stream(records: DataFrame, event_time: str = "ts", delay: str = "1 hou
 
 
 def generate_stream(records: DataFrame, make_client: Callable, log_path: str, checkpoint: str, settings: JobSettings = JobSettings()):
-    """Generates for what arrives and is not in the log yet, and appends to the log."""
+    """Generates for what arrives and is not in the log yet; answers are in the log as they land, so that a batch that is run
+    again asks for the rest only."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        new = pending(rows, read_generation_log(rows.sparkSession, log_path))
-        append_generations(generate(new, make_client, settings).where("error is null"), log_path)
+        generate_into(log_path, pending(rows, read_generation_log(rows.sparkSession, log_path)), make_client, settings)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
