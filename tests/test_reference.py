@@ -312,18 +312,6 @@ def test_three_way_scores_are_split_back(spark):
     assert len(rows) == 10 and all((r.rag[0], r.bare[0], r.neg[0], r.bare[1]) == (rag, bare, rag, r.pos) for r in rows)
 
 
-def test_approximate_neighbours_reach_the_exact_ones(spark):
-    from tributary.plans.queries_models import vectors
-
-    q, corpus = vectors(spark, "/root/testdata/sf0.01")
-    exact = {(r.query_id, r.doc_id) for r in retrieval.cosine_top_k(q, corpus, 3).collect()}
-    near = {(r.query_id, r.doc_id) for r in retrieval.lsh_top_k(q, corpus, 3).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    far = spark.createDataFrame([(i, [1.0 if i == k else 0.0 for k in range(8)]) for i in range(8)], "doc_id long, embedding array<float>")
-    few = retrieval.lsh_top_k(far.select(F.col("doc_id").alias("query_id"), "embedding"), far, 3).groupBy("query_id").count().collect()
-    assert len(few) == 8 and all(r["count"] == 3 for r in few)
-
-
 def test_generation_stream_goes_on_from_its_log(spark, tmp_path):
     from tributary.streaming.streams import generate_stream
 

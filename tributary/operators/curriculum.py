@@ -33,14 +33,46 @@ def schedule(n: int, batch_size: int = 8, accumulation: int = 4, epochs: int = 3
     return [(e, e * per_epoch, ramp_steps) for e in range(epochs)]
 
 
+#: The permutation's prime and factors (fixed values).
+_PRIME, _FACTORS = 2_147_483_647, (1_103_515_245, 1_299_709, 16_807, 48_271)
+#: Steps of a walk out of the surplus places at most; each is needed with a probability below 1 / sqrt(n).
+WALK = 24
+
+
+def _mix(x: Column, number: int, key: Column) -> Column:
+    return x * ((x * _FACTORS[number] + key) % _PRIME) % _PRIME
+
+
+def permuted(place: Column, n: Column, key: Column) -> Column:
+    """A keyed permutation of 0 .. n - 1, without a sort: four rounds of a Feistel network over a grid of a x b >= n places,
+    where a is the root of n rounded up; who lands on one of the fewer than a surplus places goes on from there. ``key``:
+    a number from 0 to 2^31 - 2."""
+    a = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("long"))
+
+    def step(v: Column, a: Column, b: Column) -> Column:
+        left = F.call_function("div", v, b)
+        right = v % b
+        for number in (0, 2):
+            left = (left + _mix(right, number, (key + number) % _PRIME)) % a
+            right = (right + _mix(left, number + 1, (key + number + 1) % _PRIME)) % b
+        return left * b + right
+
+    def walk(grid: Column) -> Column:
+        a, b = grid["a"], grid["b"]
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(place, a, b), lambda v, _: F.when(v < n, v).otherwise(step(v, a, b)))
+        return F.when(found < n, found).otherwise(F.raise_error(F.lit("a walk of the permutation is too long; take another seed")))
+
+    grid = F.struct(a.alias("a"), F.greatest(F.lit(1), F.ceil(n / a)).cast("long").alias("b"))
+    return F.element_at(F.transform(F.array(grid), walk), 1)
+
+
 def epoch_pools(utilities: DataFrame, initial: float = 0.25, batch_size: int = 8, accumulation: int = 4, epochs: int = 3, ramp: float = 0.5, seed: int = 42) -> DataFrame:
-    """(epoch, place, example_id): each epoch's visible pool in a seeded order. The epoch table has a row an epoch."""
+    """(epoch, place, example_id): each epoch's visible pool in a seeded order, in which rank r of the pool has the place that
+    a permutation keyed by seed and epoch gives it. The epoch table has a row an epoch."""
     ranks = ranked(utilities)
     n = ranks.count()
     plan = utilities.sparkSession.createDataFrame(schedule(n, batch_size, accumulation, epochs, ramp), "epoch int, step long, ramp long")
     sized = plan.withColumn("size", F.greatest(F.lit(1), F.bround(competence(F.col("step"), F.col("ramp"), initial) * n, 0).cast("long")))
     pools = ranks.join(F.broadcast(sized.select("epoch", "size")), F.col("rank") <= F.col("size"))
-    shuffled = pools.withColumn("_h", F.xxhash64("example_id", F.lit(seed), "epoch"))
-    placed = with_rank(shuffled.select("epoch", "_h", "example_id"), "epoch", "_h", "example_id", name="place")
-    begin = placed.groupBy("epoch").agg(F.min("place").alias("_b"))
-    return placed.join(F.broadcast(begin), "epoch").select("epoch", (F.col("place") - F.col("_b") + 1).alias("place"), "example_id")
+    key = (F.lit(seed).cast("long") * 7919 + F.col("epoch") * 104_729) % _PRIME
+    return pools.select("epoch", (permuted(F.col("rank") - 1, F.col("size"), key) + 1).alias("place"), "example_id")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tributary.functions.text import bare_prompt, build_prompt, filled, rag_prompt, strip, student_input
 from tributary.operators.coordination import Coordinator
 from tributary.session import save, shared_dir
-from tributary.sources.answers import PartLog
+from tributary.sources.answers import SOFT_LABELS, LabelLog, PartLog, read_soft_labels
 from tributary.sources.records import read_generation_log
 
 #: Statuses after which another attempt may succeed; so does a call that got no status at all.
@@ -239,24 +240,55 @@ def three_way_scores(examples: DataFrame, make_scorer: Callable[[], Callable], b
     ``make_scorer()`` is called once a partition; its scorer takes prompts and the label ids of each and returns for each
     an array of logits [position, vocabulary]. The three prompts of ``batch_size`` examples are scored in one call and
     split back, so that no logits are shuffled."""
-    q = F.col("question")
-    prompts = (rag_prompt(q, F.col("contexts")), bare_prompt(q), rag_prompt(q, F.col("negative")))
-    asked = examples.select("batch", "example_id", F.col("labels").cast("array<int>").alias("labels"), F.array(*prompts).alias("prompts"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()
         for rows in batches:
             for lo in range(0, len(rows), batch_size):
-                part = rows.iloc[lo : lo + batch_size]
-                labels = [[int(y) for y in x] for x in part["labels"]]
-                logits = score([p[k] for k in range(3) for p in part["prompts"]], labels * 3)
-                n = len(part)
-                out = [
-                    (b, e, pos, y, *(np.asarray(logits[k * n + i][pos], np.float32) for k in range(3)))
-                    for i, (b, e) in enumerate(zip(part["batch"], part["example_id"], strict=True))
-                    for pos, y in enumerate(labels[i])
-                ]
-                yield pd.DataFrame(out, columns=["batch", "example_id", "pos", "label", "rag", "bare", "neg"])
-
-    kinds = "batch int, example_id string, pos int, label int, rag array<float>, bare array<float>, neg array<float>"
-    return asked.withColumns({"batch": F.col("batch").cast("int"), "example_id": F.col("example_id").cast("string")}).mapInPandas(run, kinds)
+                yield _scored(score, rows.iloc[lo : lo + batch_size])
+
+    return _asked(examples).mapInPandas(run, SOFT_LABELS)
+
+
+def _asked(examples: DataFrame) -> DataFrame:
+    q = F.col("question")
+    prompts = (rag_prompt(q, F.col("contexts")), bare_prompt(q), rag_prompt(q, F.col("negative")))
+    return examples.select(F.col("batch").cast("int").alias("batch"), F.col("example_id").cast("string").alias("example_id"), F.col("labels").cast("array<int>").alias("labels"), F.array(*prompts).alias("prompts"))
+
+
+def _scored(score: Callable, part: pd.DataFrame) -> pd.DataFrame:
+    """Soft labels of a few examples (batch, example_id, labels, prompts), whose prompts go into one call."""
+    labels = [[int(y) for y in x] for x in part["labels"]]
+    logits = score([p[k] for k in range(3) for p in part["prompts"]], labels * 3)
+    n = len(part)
+    out = [
+        (b, e, pos, y, *(np.asarray(logits[k * n + i][pos], np.float32) for k in range(3)))
+        for i, (b, e) in enumerate(zip(part["batch"], part["example_id"], strict=True))
+        for pos, y in enumerate(labels[i])
+    ]
+    return pd.DataFrame(out, columns=["batch", "example_id", "pos", "label", "rag", "bare", "neg"])
+
+
+def score_into(log: str, examples: DataFrame, make_scorer: Callable[[], Callable], batch_size: int = 8, partitions: int = 8) -> None:
+    """``three_way_scores`` of the examples that the log has not, into the log: the scores of ``batch_size`` examples are
+    committed together as they land. A task that is run again, or a speculative copy, scores what is left."""
+    spark, run_id = examples.sparkSession, uuid.uuid4().hex
+    stored = save(read_soft_labels(spark, log).select("example_id").distinct(), "stored-examples")
+    rows = _asked(examples).join(stored, "example_id", "left_anti").repartition(partitions, "example_id")
+    schema = pa.schema([("batch", pa.int32()), ("example_id", pa.string()), ("pos", pa.int32()), ("label", pa.int32()), *((k, pa.list_(pa.float32())) for k in ("rag", "bare", "neg"))])
+    with Coordinator.of(spark, 0.0) as coordinator:
+        address = coordinator.address
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            score, part = None, TaskContext.get().partitionId()
+            with address.connect() as lease:
+                lease.claim(part)
+                own = LabelLog(log, run_id, part)
+                done = own.landed()
+                for batch in batches:
+                    left = batch[[x not in done for x in batch["example_id"]]]
+                    score = score or (make_scorer() if len(left) else None)
+                    for lo in range(0, len(left), batch_size):
+                        own.add(pa.Table.from_pandas(_scored(score, left.iloc[lo : lo + batch_size]), schema, preserve_index=False))
+                    yield pd.DataFrame({"n": [len(left)]})
+
+        rows.mapInPandas(work, "n long").agg(F.sum("n")).collect()

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.text import let, passage_id, words
-from tributary.session import save
 
 CHUNK, OVERLAP, TOP_K = 256, 32, 3
 #: Queries scored at once; a bounded broadcast. More queries are taken in blocks.
@@ -125,23 +124,6 @@ def retrieve_negative(retrieved: DataFrame) -> DataFrame:
     return ahead.join(retrieved.select("batch", "pos", F.col("contexts").alias("negative")), ["batch", "pos"]).select("batch", "query_id", "negative")
 
 
-def lsh_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, bucket_length: float = 1.0, tables: int = 8, radius: float = 1.2) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors; cosine order equals Euclidean order there."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    vec = lambda df, key: df.select(F.col(key), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    a, b = vec(queries, "query_id"), vec(corpus, "doc_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(b)
-    near = model.approxSimilarityJoin(a, b, radius, "l2").select("datasetA.query_id", "datasetB.doc_id", (F.col("l2") ** 2 / 2).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-    found = save(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance"), "lsh-hits")
-    # Queries with fewer than k neighbours inside the radius are answered exactly.
-    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
-    rest = save(queries.join(enough, "query_id", "left_anti"), "lsh-rest")
-    return found.join(enough, "query_id", "left_semi").unionByName(cosine_top_k(rest, corpus, k))
-
-
 def upsert(store: DataFrame | None, passages: DataFrame) -> DataFrame:
     """The store (id, document, embedding, metadata) with passages (document, embedding, metadata, ordinal) added. An id
     is the hash of the document; what comes later replaces what was there. Empty metadata becomes {"_": "1"}."""

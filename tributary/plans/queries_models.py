@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import text
-from tributary.operators import curriculum, evaluate, inference, retrieval
+from tributary.operators import ann, curriculum, evaluate, inference, retrieval
 from tributary.operators import softlabels as soft
 from tributary.plans.pipelines import build_passage_index as build_index
 from tributary.plans.pipelines import soft_label_job as run_soft_labels
 from tributary.plans.queries_records import _PAIR, _QA, pairs
 from tributary.plans.registry import query, table
-from tributary.session import save
+from tributary.session import save, shared_dir
 from tributary.sources import records as src
+from tributary.sources import vector_store
 
 # Passages and retrieval
 
@@ -58,6 +60,21 @@ def vector_upsert(spark, sf_dir):
     return store.select("id", F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"))
 
 
+@query("vector_store_upsert", """WITH p AS (SELECT text AS document, doc_id AS o, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 100 = 1 THEN 1 ELSE 2 END AS batch FROM documents),
+n AS (SELECT left(sha256(document), 32) AS id, 'idx=' || o AS m, row_number() OVER (PARTITION BY left(sha256(document), 32) ORDER BY batch DESC, o DESC) AS r FROM p)
+SELECT id, m AS metadata FROM n WHERE r = 1""")
+def vector_store_upsert(spark, sf_dir):
+    """A store on disk after three upserts: half of the documents, one in a hundred, the rest."""
+    store = vector_store.VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid4().hex}", buckets=64)
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("text").alias("document"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"), F.lit(None).cast("map<string,string>").alias("metadata"), F.col("doc_id").alias("ordinal")
+    )
+    few = F.col("ordinal") % 100 == 1
+    for part in (F.col("ordinal") % 2 == 0, few, (F.col("ordinal") % 2 == 1) & ~few):
+        store.upsert(rows.where(part))
+    return store.read().select("id", F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"))
+
+
 @query("collection_size", f"SELECT count(DISTINCT chunk) AS n FROM {_CHUNKS}")
 def collection_size(spark, sf_dir):
     chunks = retrieval.chunk_passages(passages(spark, sf_dir))
@@ -101,10 +118,25 @@ def retrieve_negative(spark, sf_dir):
     return retrieval.retrieve_negative(numbered)
 
 
+def _cells(spark, corpus):
+    return ann.build(corpus, f"{shared_dir(spark)}/cells-{uuid4().hex}")
+
+
 @query("topk_lsh")
 def topk_lsh(spark, sf_dir):
+    """Approximate neighbours by an inverted file; the name is that of the index before it."""
     q, corpus = vectors(spark, sf_dir)
-    return retrieval.lsh_top_k(q, corpus, 3).withColumn("distance", F.round("distance", 4))
+    return ann.search(_cells(spark, corpus), q, 3).withColumn("distance", F.round("distance", 4)).drop("compared")
+
+
+@query("index_recall")
+def index_recall(spark, sf_dir):
+    """Per query how many of the exact three neighbours the inverted file finds, and the share of all rows compared."""
+    q, corpus = vectors(spark, sf_dir)
+    found = ann.search(_cells(spark, corpus), q, 3)
+    exact = retrieval.cosine_top_k(q, corpus, 3).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    joined = found.join(exact, ["query_id", "doc_id"], "left")
+    return joined.groupBy("query_id").agg(F.count("hit").alias("found"), F.round(F.max("compared") / F.lit(corpus.count()), 4).alias("compared_share"))
 
 
 @query("rag_prompt", """SELECT rec_id, 'Context 1: ' || instruction || chr(10) || 'Context 2: ' || output || chr(10) || 'Context 3: ' || chr(10) || 'Question: ' || instruction || chr(10) || 'Answer:' AS rag,
@@ -295,12 +327,25 @@ def curriculum_pool(spark, sf_dir):
     return curriculum.visible_pool(curriculum.ranked(utilities(spark, sf_dir)), 0.4).select("example_id", "rank")
 
 
-@query("curriculum_epoch", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank, count(*) OVER () AS n FROM events),
-e AS (SELECT unnest(range(3)) AS epoch), s AS (SELECT r.*, epoch, epoch * (greatest(1, n // 8) // 4) AS step, greatest(1, CAST(floor((greatest(1, n // 8) // 4) * 3 * 0.5) AS BIGINT)) AS ramp FROM r, e)
-SELECT CAST(epoch AS INTEGER) AS epoch, event_id AS example_id FROM s WHERE rank <= greatest(1, round_even(CAST(least(1.0, sqrt(least(step / CAST(ramp AS DOUBLE), 1.0) * 0.9375 + 0.0625)) * n AS DOUBLE), 0))""")
+def _permutation_sql(source: str) -> str:
+    """Columns v (from 0), a, b, key of ``source`` with v one step of the permutation further."""
+    mix = lambda x, k: f"({x} * (({x} * {curriculum._FACTORS[k]} + (key + {k}) % 2147483647) % 2147483647) % 2147483647)"
+    out = f"(SELECT *, v // b AS l0, v % b AS r0 FROM {source})"
+    for k in (0, 2):
+        out = f"(SELECT *, (l{k} + {mix(f'r{k}', k)}) % a AS l{k + 2} FROM {out})"
+        out = f"(SELECT *, (r{k} + {mix(f'l{k + 2}', k + 1)}) % b AS r{k + 2} FROM {out})"
+    return f"SELECT epoch, event_id, size, a, b, key, l4 * b + r4 AS v FROM {out}"
+
+
+@query("curriculum_epoch", f"""WITH RECURSIVE r AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS rank, count(*) OVER () AS n FROM events),
+e AS (SELECT unnest(range(3)) AS epoch), s AS (SELECT r.*, epoch, epoch * (greatest(1, n // 8) // 4) AS step, greatest(1, CAST(floor((greatest(1, n // 8) // 4) * 3 * 0.5) AS BIGINT)) AS ramp FROM r, e),
+z AS (SELECT *, greatest(1, CAST(round_even(CAST(least(1.0, sqrt(least(step / CAST(ramp AS DOUBLE), 1.0) * 0.9375 + 0.0625)) * n AS DOUBLE), 0) AS BIGINT)) AS size FROM s),
+g AS (SELECT epoch, event_id, size, rank - 1 AS v, CAST(ceil(sqrt(CAST(size AS DOUBLE))) AS BIGINT) AS a, (42 * 7919 + epoch * 104729) % 2147483647 AS key FROM z WHERE rank <= size),
+h AS (SELECT *, (size + a - 1) // a AS b FROM g),
+w AS ({_permutation_sql("h")} UNION ALL {_permutation_sql("(SELECT * FROM w WHERE v >= size)")})
+SELECT CAST(epoch AS INTEGER) AS epoch, v + 1 AS place, event_id AS example_id FROM w WHERE v < size""")
 def curriculum_epoch(spark, sf_dir):
-    """The pools as sets; the seeded order inside a pool has no SQL."""
-    return curriculum.epoch_pools(utilities(spark, sf_dir)).select("epoch", "example_id")
+    return curriculum.epoch_pools(utilities(spark, sf_dir))
 
 
 # Evaluation: part names as references, perturbed for each model
@@ -473,16 +518,32 @@ class StubScorer:
 _NLL = "ln(list_sum(list_transform(range(8), lambda v: exp(((3 * {0} + 7 * pos + 5 * v) % 13) / 4.0)))) - ((3 * {0} + 7 * pos + 5 * ((query_id + pos) % 8)) % 13) / 4.0"
 
 
-@query("soft_label_job", f"""WITH c AS (SELECT query_id, string_agg('Context ' || rank || ': passage ' || doc_id || chr(10), '' ORDER BY rank) AS ctx FROM {_TOP} GROUP BY query_id),
+_UTILITY = f"""WITH c AS (SELECT query_id, string_agg('Context ' || rank || ': passage ' || doc_id || chr(10), '' ORDER BY rank) AS ctx FROM {_TOP} GROUP BY query_id),
 l AS (SELECT query_id, length('Question: q' || query_id || chr(10) || 'Answer:') AS lb, length(ctx) AS lc FROM c), p AS (SELECT query_id, lb, lb + lc AS lr, unnest(range(3)) AS pos FROM l)
-SELECT CAST(query_id AS VARCHAR) AS example_id, CAST((query_id // 20) // 8 AS INTEGER) AS batch, round(avg(({_NLL.format('lb')}) - ({_NLL.format('lr')})), 5) AS utility FROM p GROUP BY query_id""")
-def soft_label_job(spark, sf_dir):
+SELECT CAST(query_id AS VARCHAR) AS example_id, CAST((query_id // 20) // 8 AS INTEGER) AS batch, round(avg(({_NLL.format('lb')}) - ({_NLL.format('lr')})), 5) AS utility FROM p GROUP BY query_id"""
+
+
+def _examples(spark, sf_dir):
     q, corpus = vectors(spark, sf_dir)
     i = F.col("query_id")
     examples = q.select(
         "query_id", F.floor(i / 160).cast("int").alias("batch"), (F.floor(i / 20) % 8).alias("pos"), i.cast("string").alias("example_id"),
         F.concat(F.lit("q"), i.cast("string")).alias("question"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda x: ((i + x) % 8).cast("int")).alias("labels"),
     )
-    store = corpus.withColumn("document", F.concat(F.lit("passage "), F.col("doc_id").cast("string")))
-    _, utility = run_soft_labels(examples, q, store, StubScorer, exclude_self=True)
+    return examples, q, corpus.withColumn("document", F.concat(F.lit("passage "), F.col("doc_id").cast("string")))
+
+
+@query("soft_label_job", _UTILITY)
+def soft_label_job(spark, sf_dir):
+    _, utility = run_soft_labels(*_examples(spark, sf_dir), StubScorer, exclude_self=True)
     return utility.select("example_id", "batch", F.round("utility", 5).alias("utility"))
+
+
+@query("soft_label_resume", _UTILITY)
+def soft_label_resume(spark, sf_dir):
+    """The same from a log in which a run over the examples of even batches has left theirs."""
+    (examples, q, store), log = _examples(spark, sf_dir), f"{shared_dir(spark)}/soft-labels-{uuid4().hex}"
+    run_soft_labels(examples.where("batch % 2 = 0"), q, store, StubScorer, log, exclude_self=True)
+    _, utility = run_soft_labels(examples, q, store, StubScorer, log, exclude_self=True)
+    return utility.select("example_id", "batch", F.round("utility", 5).alias("utility"))
+
