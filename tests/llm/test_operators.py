@@ -324,10 +324,37 @@ def test_html_names_label_boilerplate_only_as_a_whole():
     text = "A paragraph with enough words to be the content of this page, and a few more of them."
     for kept in ("legal-analysis", "share-price", "search-results-explained", "no-sidebar", "comment-free"):
         assert html_extract.extract(f'<article><p>{text}</p><div class="{kept}"><p>{text}</p></div></article>') == f"{text} {text}", kept
+    for kept in ("legal", "related", "notice"):
+        assert html_extract.extract(f'<article><p>{text}</p><p class="{kept}">{text}</p></article>') == f"{text} {text}", kept
     for lost in ("legal", "share-buttons", "comments-area", "ad_box_2", "newsletter-signup", "x related"):
         assert html_extract.extract(f'<article><p>{text}</p><div class="{lost}"><p>{text}</p></div></article>') == text, lost
 
 
+def test_html_extraction_keeps_linked_sentences_and_sources():
+    text = "A paragraph with enough words to be the content of this page, and a few more of them."
+    see, sources = "See the whole report of the committee on agriculture.", [f"Source {k} of what is said in this article" for k in range(6)]
+    page = f"<article><p>{text}</p><p>See <a href=/r>the whole report of the committee on agriculture</a>.</p><p>{text}</p><ul>" + "".join(f"<li><a href=/{k}>{x}</a>" for k, x in enumerate(sources)) + "</ul></article>"
+    assert html_extract.extract(page) == " ".join([text, see, text, *sources])
+
+
+@pytest.mark.parametrize("unit", ['<a href="x', "<a href='x ", "<a b='>'", "<!--", "<!x", "<?", "</a", "<", "<a ", "&#", "&amp", "<![", '<p class="', "</", "<script></", "<script><", "<a/", "<p =", "<b a=\"1\" "])
+def test_html_extraction_of_malformed_pages_takes_linear_time(unit):
+    import time
+
+    text = "A paragraph with enough words to be the content of this page, and a few more of them."
+    for head in ("", f"<article><p>{text}</p>"):
+        began = time.process_time()
+        found = html_extract.extract(head + unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 6 and (not head or found.startswith(text)), unit
+
+
+def test_html_extraction_goes_on_after_a_missing_quote():
+    text = "A paragraph with enough words to be the content of this page, and a few more of them."
+    page = f"<article><p>{text}</p><p class='x>{text}</p><nav><a href=/>Home</a></nav><p>{text}</p><script>var x = 1;</script><p>{text}</p></article>"
+    assert html_extract.extract(page) == " ".join([text] * 4)
+    assert html_extract.extract(f"<article><p>{text}</p><p>{text} <a href=\"http://cut") == f"{text} {text}"
+
+
 def test_html_extraction_is_brute_force_on_planted_pages():
     """Pages dealt from blocks that are content or boilerplate; the content blocks in order are the text."""
     rng = random.Random(9)

@@ -9,15 +9,17 @@ of the smoothed ratios separates content lines from the rest.
 Regions are elements in which content lines have a large share of the text: of article and main elements that name
 themselves content a twentieth is asked, of any other element half. If the article and main elements so found hold at
 least half of all content text, they are the regions; else the largest other elements join them. The text is all lines
-of the regions but those that are mostly links; of these, content lines stay that are headings or stand between two
-other content lines. So a menu without a name goes, and a linked heading, which its neighbours lift, stays. A page
-without regions gives its lines that are not mostly links.
+of the regions but those that are mostly links and have fewer than ``SENTENCE`` words; of these, content lines stay that
+are headings or stand between two other content lines. So a menu without a name goes, and linked sentences, lists of
+linked sources, and a linked heading, which its neighbours lift, stay. A page without regions gives its lines that are
+not such links.
 
 White space inside a block becomes one space, blocks are joined in page order by one space; short blocks of a region are
 kept. Character references are decoded. Time and memory grow linearly with the page, however deep it nests.
 
-Defined results: null or empty html, or a page without content, gives an empty text; broken or cut markup is read as
-far as it goes, and an element left open reaches to the end of its parent; repeated rows give a row each; other columns
+Defined results: null or empty html, or a page without content, gives an empty text; an element left open reaches to the
+end of its parent; a tag that the page's end cuts, or that a missing quote lets run to there, is dropped up to the next
+angle bracket, and so are the tags after it; comments and declarations that don't end take all of the rest; repeated rows give a row each; other columns
 are ignored.
 """
 
@@ -37,6 +39,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Least share of content lines in the text of a region: of elements that name themselves content, and of others.
 NAMED_SHARE, SHARE = 0.05, 0.5
+#: Words from which on a line of links is not taken for an entry of a menu.
+SENTENCE = 5
 
 # Fixed values of HTML: elements without content, elements that break a line, and those whose text is never content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +62,9 @@ BOILERPLATE = set(
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets "
     "complementary dialog alert announcement paywall".split()
 )
+#: Elements of running text, and names that don't make those boilerplate inside an article.
+PROSE = set("p li dd dt blockquote pre figcaption td th h1 h2 h3 h4 h5 h6 b i em strong span".split())
+WEAK = set("legal related notice notices announcement alert message search reply replies respond login social promo recommended widget popup overlay pager".split())
 OUTSIDE = {"header", "head", "site", "top", "bottom", "tags"}
 BESIDE = set(
     "area articles bar block body bottom box button buttons card cards center column container content dark desktop fixed "
@@ -71,6 +78,9 @@ _NAMES = re.compile(r"[a-z]+")
 ENDS_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "li", "dd", "dt", "option", "figcaption", "summary"}
 SELF_ENDING = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 KEEPS_P = ("td", "th", "button", "object")
+_EDGE = re.compile("[<>]")
+_SHORT_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^<>]*)")
+_SHORT_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*["']?([^"'\s<>]*)""")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -81,7 +91,10 @@ def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) ->
         return True
     if tag in ("html", "body", "main"):
         return False
-    naming = {"comment", "comments", "ad", "advert", "advertisement", "sponsored", "promo", "related"} if tag == "article" else BOILERPLATE if in_article else BOILERPLATE | OUTSIDE
+    if in_article and tag in PROSE:
+        naming = BOILERPLATE - WEAK
+    else:
+        naming = {"comment", "comments", "ad", "advert", "advertisement", "sponsored", "promo", "related"} if tag == "article" else BOILERPLATE if in_article else BOILERPLATE | OUTSIDE
     for said in (x for key in ("class", "id", "role") for x in (attrs.get(key) or "").lower().split()):
         words = set(_NAMES.findall(said))
         if words & naming and words <= BOILERPLATE | OUTSIDE | BESIDE and not re.match(r"(has|with|no|without)[-_]", said):
@@ -99,7 +112,8 @@ class Line:
 
     @property
     def is_links(self) -> bool:
-        return 2 * self.linked > len(self.text)
+        """Mostly links, and too short for a sentence or a title."""
+        return 2 * self.linked > len(self.text) and self.text.count(" ") < SENTENCE - 1
 
 
 class Lines(HTMLParser):
@@ -113,6 +127,8 @@ class Lines(HTMLParser):
         #: Open elements (tag, inside boilerplate, inside an article, number), and where each tag is among them.
         self.stack: list[tuple[str, bool, bool, int]] = []
         self.places: dict[str, list[int]] = defaultdict(list)
+        #: Whether the page has been read to its end, and a tag did not end before.
+        self.final = self.broken = False
         #: Of each element, 0 being the page: its parent, and whether it names itself content.
         self.parent, self.named = [0], [False]
 
@@ -174,9 +190,59 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
     def close(self) -> None:
+        self.final = True
         super().close()
         self._end_line()
 
+    # Markup that the page's end cuts. The parser would try each further tag up to the end of the page again.
+
+    def parse_starttag(self, i: int) -> int:
+        k = -1 if self.broken else super().parse_starttag(i)
+        if k < 0 and self.final:
+            self.broken = True
+            return self._short_tag(i)
+        return k
+
+    def parse_endtag(self, i: int) -> int:
+        if self.broken and not self.cdata_elem:
+            return self._short_tag(i)
+        return self._or_end(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._or_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._or_end(super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Comments, CDATA sections, and declarations of any kind, which give nothing."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        at = self.rawdata.find(end, i + 2)
+        return self._or_end(at + len(end) if at >= 0 else -1)
+
+    def _or_end(self, k: int) -> int:
+        """What does not end until the page does takes all of its rest."""
+        return len(self.rawdata) if k < 0 and self.final else k
+
+    def _short_tag(self, i: int) -> int:
+        """Once a tag has not ended, tags end at the next angle bracket, whatever their quotes; one that meets another
+        tag's beginning, or the page's end, is dropped."""
+        edge = _EDGE.search(self.rawdata, i + 1)
+        if edge is None or edge[0] == "<":
+            return edge.start() if edge else len(self.rawdata)
+        tag = _SHORT_TAG.match(self.rawdata, i, edge.start())
+        if tag:
+            name = tag[2].lower()
+            if tag[1]:
+                self.handle_endtag(name)
+            else:
+                self.handle_starttag(name, [(k.lower(), v) for k, v in _SHORT_ATTRIBUTE.findall(tag[3])])
+                if name in self.CDATA_CONTENT_ELEMENTS:
+                    self.set_cdata_mode(name)
+        return edge.end()
+
 
 def ratios(lines: list[Line]) -> np.ndarray:
     """Characters outside links per tag, of each line."""
