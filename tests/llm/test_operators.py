@@ -519,6 +519,24 @@ def test_substring_dedup_of_odd_rows(spark):
         assert by_id[r.doc_id][r.start_char : r.start_char + r.n_chars].strip() in passage and r.first_docs[0] == 1
 
 
+def test_top_k_is_exact_for_large_components_of_both_signs(spark):
+    """Scores up to the ends of a long, sums whose parts cancel, and scores beyond it."""
+    rng = random.Random(4)
+    vectors = [(0, [2.0**23]), (1, [2.0**23]), (2, [2.0**23 + 64]), (3, [2.0**22]), (4, [-(2.0**23)]), (5, [2.0**23 - 2**-4])]
+    vectors += [(10 + i, [rng.choice([1, -1]) * 2.0 ** rng.randrange(0, 24) + rng.randrange(4) / 256 for _ in range(4)]) for i in range(60)]
+    vectors += [(100 + i, [2.0**40 * x, -(2.0**40) * x + i, 1.0]) for i, x in enumerate((1, 1, 3, 5, 1))] + [(200, [2.0**54]), (201, [-(2.0**54)]), (202, [1e300, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    most = 2**63 - 1
+    q = {i: [max(-(2**63 - 1024), min(2**63 - 1024, math.floor(256 * x))) for x in v] for i, v in vectors}
+    for k in (3, 200):
+        got = sorted(tuple(r) for r in topk.top_k(df, df, k).collect())
+        want = []
+        for i in q:
+            best = sorted((-min(most, max(-most, sum(a * b for a, b in zip(q[i], v, strict=False)))), j) for j, v in q.items() if j != i)[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+        assert got == sorted(want)
+
+
 def test_top_k_with_very_large_components(spark):
     rows = [(0, [1e8, 0.5]), (50, [0.25, 1.0]), (1, [1e300, -1.0]), (2, [1.0, 1.0]), (3, [-1e200, 0.0]), (4, [])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

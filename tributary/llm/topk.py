@@ -12,13 +12,14 @@ rows; no row is compared with all others at once.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; an empty one
 has only zeros; vectors of different
-lengths are compared as if padded with zeros; scores beyond 2^61 count as that, so that very large components stop
-nothing; repeated ids are separate candidates, of which none with the query's own
+lengths are compared as if padded with zeros; scores are exact, and only those that a long can't hold count as the
+largest or smallest one; components are taken up to 2^63; repeated ids are separate candidates, of which none with the query's own
 id counts; ties go to the smaller id; fewer than k candidates give fewer rows; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,14 @@ from tributary.session import save
 
 BLOCK = 8192
 BINS = 256
-#: Scores are kept within this bound: beyond it they are equal.
-FARTHEST = 1 << 61
+#: The largest double below 2^63: components beyond it count as that.
+FARTHEST = float((1 << 63) - 1024)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantise(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component, as integers; those beyond FARTHEST count as that."""
-    bound = float(FARTHEST)
-    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(bound)), F.lit(-bound))).cast("long"))
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(FARTHEST)), F.lit(-FARTHEST))).cast("long"))
 
 
 def usable(vector: Column) -> Column:
@@ -53,13 +54,25 @@ def _matrix(column: pd.Series, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows: in floating point where that is exact, else in 64 bits, within FARTHEST."""
+    """Exact inner products of integer rows, those beyond a long as its ends (but for the smallest long, see _scores).
+    Floating point is exact below 2^53; beyond, 64-bit products wrap around to the right sum wherever it fits, and floating
+    point tells where it does; the few that it can't tell are summed in whole numbers."""
     near = a.astype(float) @ b.astype(float).T
     reach = a.shape[1] * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0))
     if reach < 2**53:
         return near.astype(np.int64)
-    exact = a @ b.T  # wraps around where ``near`` is beyond 2^63
-    return np.where(near >= FARTHEST, FARTHEST, np.where(near <= -FARTHEST, -FARTHEST, exact))
+    out = a @ b.T
+    slack = reach * (a.shape[1] + 4) * 2.0**-52
+    out[near > _MOST + slack] = _MOST
+    out[near < _LEAST - slack] = _LEAST + 1
+    for i, j in zip(*np.nonzero(np.abs(np.abs(near) - 2.0**63) <= slack), strict=True):
+        out[i, j] = min(max(sum(map(operator.mul, a[i].tolist(), b[j].tolist())), _LEAST), _MOST)
+    return np.maximum(out, _LEAST + 1)
+
+
+def _places(score: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers in the same order, so that differences don't overflow."""
+    return score.view(np.uint64) ^ np.uint64(1 << 63)
 
 
 def _scores(batches: Iterator[pd.DataFrame], shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,7 +87,7 @@ def _scores(batches: Iterator[pd.DataFrame], shared) -> Iterator[tuple[np.ndarra
 
 
 def _top(values: np.ndarray, k: int) -> np.ndarray:
-    return -np.partition(-values, k - 1, axis=1)[:, :k] if values.shape[1] > k else values
+    return np.partition(values, values.shape[1] - k, axis=1)[:, -k:] if values.shape[1] > k else values
 
 
 def _histogram(vectors: DataFrame, shared, bounds, k: int) -> DataFrame:
@@ -82,17 +95,20 @@ def _histogram(vectors: DataFrame, shared, bounds, k: int) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low, width = bounds.value
-        least, best, counts = np.iinfo(np.int64).min, None, np.zeros((len(low), BINS + 1), np.int64)
+        best, counts = None, np.zeros((len(low), BINS + 1), np.int64)
+
+        def bins(score: np.ndarray) -> np.ndarray:
+            place = _places(np.ascontiguousarray(score))
+            at = np.minimum((place - low[:, None]) // width[:, None], np.uint64(BINS)).astype(np.int64)
+            return np.where((place < low[:, None]) | (score == _LEAST), -1, at)
+
         for _, score in _scores(batches, shared):
             best = _top(score if best is None else np.concatenate((best, score), axis=1), k)
-            at = np.clip((score - low[:, None]) // width[:, None], -1, BINS)
-            at[score == least] = -1
+            at = bins(score)
             rows, _ = np.nonzero(at >= 0)
             np.add.at(counts, (rows, at[at >= 0]), 1)
         if best is not None:
-            kth = best.min(axis=1) if best.shape[1] >= k else np.full(len(low), least)
-            floor = np.clip((kth - low) // width, 0, BINS)
-            floor[kth == least] = 0
+            floor = np.maximum(bins(best.min(axis=1, keepdims=True))[:, 0], 0) if best.shape[1] >= k else np.zeros(len(low), np.int64)
             counts[np.arange(BINS + 1)[None, :] < floor[:, None]] = 0
             q, b = np.nonzero(counts)
             yield pd.DataFrame({"query": q, "bin": b, "n": counts[q, b]})
@@ -144,20 +160,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
         ids = np.array([r["vec_id"] for r in rows], np.int64)
         matrix = _matrix(pd.Series([r["vec"] for r in rows]), max([dims, *(len(r["vec"]) for r in rows)]))
         shared = spark.sparkContext.broadcast((ids, matrix))
-        reach = np.array([min(FARTHEST, sum(map(abs, row)) * int(largest)) for row in matrix.tolist()], np.int64)
-        low, width, above = -reach, 2 * reach // BINS + 1, np.zeros(len(ids), np.int64)
+        reach = [min(_MOST, sum(map(abs, row)) * int(largest)) for row in matrix.tolist()]
+        low = _places(np.array([-x for x in reach], np.int64))
+        width = np.array([2 * x // BINS + 1 for x in reach], np.uint64)
         while True:
             bounds = spark.sparkContext.broadcast((low, width))
             counts = np.zeros((len(ids), BINS + 1), np.int64)
-            for q, b, n in _histogram(vectors, shared, bounds, k).collect():  # at most BINS + 1 counts a query
-                counts[q, b] = n
+            found = _histogram(vectors, shared, bounds, k).toArrow()  # at most BINS + 1 counts a query
+            counts[found.column("query").to_numpy(), found.column("bin").to_numpy()] = found.column("n").to_numpy()
             reached = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] >= k
             at = np.where(reached.any(axis=1), BINS - np.argmax(reached[:, ::-1], axis=1), 0)
-            low = low + at * width
+            low = low + at.astype(np.uint64) * width
             if (width == 1).all():
                 break
-            width = width // BINS + (width % BINS > 0)
-        threshold = spark.sparkContext.broadcast(np.where(reached.any(axis=1), low, np.iinfo(np.int64).min + 1))
+            width = width // np.uint64(BINS) + (width % np.uint64(BINS) > 0).astype(np.uint64)
+        threshold = spark.sparkContext.broadcast(np.where(reached.any(axis=1), _places(low.view(np.int64)).view(np.int64), _LEAST + 1))
         found = save(_select(vectors, shared, threshold, k), "topk-found")
         results = found if results is None else results.unionByName(found)
     if results is None:
