@@ -116,6 +116,16 @@ def test_tables_without_candidates(spark):
     assert collocations.collocations(table(spark, [])).count() == 0
 
 
+def test_partitions_of_millions_of_words():
+    words = [b"%d" % k for k in range(2_200_000)]
+    counts = collocations.Counts(1, max_vocabulary=10**7, max_entries=10**8)
+    data = b" ".join(words + words[:3])
+    runs = [*counts.add("en", np.frombuffer(data, np.uint8), np.array([0, len(data)])), *counts.flush()]
+    raw = [[r.column(c)[0].as_py() for c in (2, 3, 4)] for r in runs]
+    merged, total = collocations._merge_runs(*map(list, zip(*raw, strict=True)), 2)
+    assert total == len(words) + 3 and [(p.to_pylist(), n.tolist()) for p, n in merged] == [([b"0", b"1", b"2"], [2] * 3), ([b"0 1", b"1 2"], [2] * 2), ([b"0 1 2"], [2])]
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     from pyspark.sql import functions as F
 

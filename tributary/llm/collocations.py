@@ -31,6 +31,7 @@ from itertools import pairwise, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,10 +42,10 @@ from tributary.llm.kernel import LOWER, mix, utf8
 from tributary.session import save
 
 MIN_COUNT, TOP, COVER = 10, 2000, 50
-BURST, MAX_ENTRIES, MAX_WORDS = 1 << 16, 1_000_000, 400_000
+BURST, MAX_ENTRIES, MAX_WORDS = 1 << 16, 800_000, 400_000
 SPREAD = 64
-#: Bytes of text for each partition of prefixes, and of a block.
-PER_PARTITION, BLOCK = 8 << 20, 4 << 20
+#: Bytes of text for each partition of prefixes, and of a segment: its phrases may come on top of MAX_ENTRIES.
+PER_PARTITION, BLOCK = 16 << 20, 2 << 20
 
 #: A key holds three words of 21 bits: the first word's number, and the numbers + 1 of the others or 0.
 _BITS = 21
@@ -278,7 +279,7 @@ class Counts:
         part = np.sort(part)
         w, counts = [x[order].astype(np.uint32) for x in w], counts[order]
         edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])).tolist()
-        local = np.zeros(len(words) + 1, np.uint32)
+        local, press = np.zeros(len(words) + 1, np.uint32), zstandard.ZstdCompressor(1).compress
         for a, b in pairwise(edges):
             cut = [x[a:b] for x in w]
             there = np.zeros(len(words) + 1, bool)
@@ -288,7 +289,7 @@ class Counts:
             local[there + 1] = np.arange(1, len(there) + 1)
             first, *rest = (local[x] for x in cut)
             raw = b"".join((pack(np.diff(first, prepend=np.uint32(0))), *map(pack, rest)))
-            row = ([int(part[a])], [lang], [_joined(words.take(pa.array(there)))], [raw], [pack(counts[a:b])])
+            row = ([int(part[a])], [lang], *([press(x)] for x in (_joined(words.take(pa.array(there))), raw, pack(counts[a:b]))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, _RUN_KINDS, strict=True)], _RUN_NAMES)
 
 
@@ -310,35 +311,40 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
 
 def _merge_runs(words: list[bytes], phrases: list[bytes], counts: list[bytes], min_count: int) -> tuple[list[tuple[pa.Array, np.ndarray]], int]:
     """Phrases of each width that occur ``min_count`` times, with their counts, and the number of all words."""
-    lists = [pc.split_pattern(pa.array([x], pa.binary()), b" ").flatten() for x in words]
+    expand = zstandard.ZstdDecompressor().decompress
+    lists = [pc.split_pattern(pa.array([expand(x)], pa.binary()), b" ").flatten() for x in words]
     coded = pa.concat_arrays(lists).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     names = coded.dictionary.take(pa.array(order))
     rank = np.zeros(len(order), np.int64)
     rank[order] = np.arange(1, len(order) + 1)
     codes, at = rank[coded.indices.to_numpy()], 0
-    columns: list[list[np.ndarray]] = [[], [], []]
-    for own, raw in zip(lists, phrases, strict=True):
+    base = len(names) + 1
+    fits = base**3 < 1 << 63  # else prefixes count by their rank
+    keys, thirds, sums, total = [], [], [], 0
+    for own, raw, n in zip(lists, phrases, counts, strict=True):
         table = np.concatenate(([0], codes[at : at + len(own)]))
         at += len(own)
-        for column, x in zip(columns, _unpacked(raw), strict=True):
-            column.append(table[x])
-    w = [np.concatenate(x) for x in columns]
-    n = np.concatenate([unpack(x, np.int64) for x in counts])
-    base = len(names) + 1
-    prefix = w[0] * base + w[1]
-    if base**3 < 1 << 62:
-        key = prefix * base + w[2]
-    else:  # prefixes by their rank, so that the key fits
-        key = np.unique(prefix, return_inverse=True)[1] * base + w[2]
+        w, n = _unpacked(expand(raw)), unpack(expand(n), np.int64)
+        prefix, third = table[w[0]] * base + table[w[1]], table[w[2]]
+        keys.append(prefix * base + third if fits else prefix)
+        if not fits:
+            thirds.append(third)
+        sums.append(n)
+        total += int(n[w[1] == 0].sum())
+    key, n = np.concatenate(keys), np.concatenate(sums)
+    del keys, sums, coded, lists, codes
+    if not fits:
+        prefixes, key = np.unique(key, return_inverse=True)
+        key = key * base + np.concatenate(thirds)
     order = np.argsort(key, kind="stable")  # a merge of the sorted runs
-    key = key[order]
+    key, n = key[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sums = np.add.reduceat(n[order], first)
-    total = int(n[w[1] == 0].sum())
+    sums = np.add.reduceat(n, first)
     keep = sums >= min_count
-    at, sums = order[first[keep]], sums[keep]
-    w = [x[at] for x in w]
+    key, sums = key[first[keep]], sums[keep]
+    prefix = key // base if fits else prefixes[key // base]
+    w = [prefix // base, prefix % base, key % base]
     out = []
     for width in (1, 2, 3):
         of = ((w[1] > 0).astype(int) + (w[2] > 0) + 1) == width
@@ -359,7 +365,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(partitions, max_words, burst, max_entries, max_vocabulary)
         for batch in batches:
-            for lo, hi in column_blocks(batch.column(1)):
+            for lo, hi in column_blocks(batch.column(1), BLOCK):
                 langs = batch.column(0).slice(lo, hi - lo).dictionary_encode()
                 texts = batch.column(1).slice(lo, hi - lo)
                 for k, lang in enumerate(langs.dictionary.to_pylist()):
@@ -418,6 +424,9 @@ def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, co
     triples = triples.withColumns({f"s{k}": _score(F.col("a"), F.col(f"l{k}"), F.col(f"r{k}")) for k in (1, 2)})
     early = F.col("s1") <= F.col("s2")
     three = triples.select("lang", "phrase", "a", *(F.when(early, F.col(f"{x}1")).otherwise(F.col(f"{x}2")).alias(y) for x, y in (("l", "l"), ("r", "r"), ("s", "score"))))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # The best of each of SPREAD shares of a language first, so that no task sees all phrases of a hot one.
+    shares = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD))).orderBy(*order)
+    best = two.unionByName(three).withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= top)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
