@@ -109,6 +109,44 @@ def example_nll(rows: DataFrame, *columns: str) -> DataFrame:
     return with_nll.groupBy("batch", "example_id").agg(*(valid_mean(F.col(c)).alias(f"nll_{c}") for c in columns))
 
 
+def block_sums():
+    """(logits, first, label) -> of each block the largest logit, the sum of exp(logit - largest), and the label's logit where
+    the block has it."""
+
+    @F.pandas_udf("most double, total double, gold double")
+    def of(logits: pd.Series, first: pd.Series, label: pd.Series) -> pd.DataFrame:
+        out = np.full((len(logits), 3), np.nan)
+        for i, (x, at, y) in enumerate(zip(logits, first, label, strict=True)):
+            if len(x):
+                x = x.astype(np.float64)
+                out[i, 0] = x.max()
+                out[i, 1] = np.exp(x - out[i, 0]).sum()
+                if 0 <= y - at < len(x):
+                    out[i, 2] = x[int(y - at)]
+        return pd.DataFrame(out, columns=["most", "total", "gold"])
+
+    return of
+
+
+def example_nll_of_blocks(blocks: DataFrame, *columns: str) -> DataFrame:
+    """``example_nll`` of large vocabularies in blocks: a row has the logits of the ids from ``first`` on (batch, example_id,
+    pos, label, first, columns). The logarithm of the sum of exponents is put together from the blocks' largest logits and
+    sums, so that no row, task or group holds a whole vocabulary; blocks may have any size, and no order."""
+    stats = blocks.select("batch", "example_id", "pos", "label", *(block_sums()(F.col(c), F.col("first"), F.col("label")).alias(c) for c in columns))
+    parts = lambda c: F.filter(F.collect_list(F.struct(f"{c}.most", f"{c}.total")), lambda x: ~F.isnan(x["most"]))
+    gathered = stats.groupBy("batch", "example_id", "pos", "label").agg(
+        *(parts(c).alias(c) for c in columns), *(F.max(F.nanvl(f"{c}.gold", F.lit(None).cast("double"))).alias(f"{c}_gold") for c in columns)
+    )
+
+    def loss(c: str) -> Column:
+        most = F.array_max(F.transform(c, lambda x: x["most"]))
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x["total"] * F.exp(x["most"] - most))
+        return F.when(F.col("label") != IGNORE, most + F.log(total) - F.col(f"{c}_gold"))
+
+    losses = gathered.select("batch", "example_id", "label", *(loss(c).alias(c) for c in columns))
+    return losses.groupBy("batch", "example_id").agg(*(valid_mean(F.col(c)).alias(f"nll_{c}") for c in columns))
+
+
 def retrieval_utility(rows: DataFrame) -> DataFrame:
     """How much the retrieved context lowers the likelihood loss of each example."""
     return example_nll(rows, "rag", "bare").select("batch", "example_id", (F.col("nll_bare") - F.col("nll_rag")).alias("utility"))

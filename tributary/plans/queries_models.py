@@ -232,6 +232,14 @@ def per_example_nll(spark, sf_dir):
     return _rounded(soft.example_nll(soft_rows(spark, sf_dir), "rag", "bare"), "batch", "example_id")
 
 
+@query("nll_of_blocks", f"WITH {_ROWS} SELECT batch, example_id, round(nr, 5) AS nll_rag, round(nb, 5) AS nll_bare FROM x")
+def nll_of_blocks(spark, sf_dir):
+    """The same from rows that hold 24 of the 64 ids each."""
+    rows = soft_rows(spark, sf_dir).select("*", F.explode(F.array(*(F.lit(k) for k in range(0, 64, 24)))).alias("first"))
+    blocks = rows.select("batch", "example_id", "pos", "label", "first", *(F.slice(c, F.col("first") + 1, 24).alias(c) for c in ("rag", "bare")))
+    return _rounded(soft.example_nll_of_blocks(blocks, "rag", "bare"), "batch", "example_id")
+
+
 @query("retrieval_utility", f"WITH {_ROWS} SELECT batch, example_id, round(u, 5) AS utility FROM g")
 def retrieval_utility(spark, sf_dir):
     return _rounded(soft.retrieval_utility(soft_rows(spark, sf_dir)), "batch", "example_id")
@@ -243,12 +251,18 @@ def utility_gate(spark, sf_dir):
     return u.select("batch", "example_id", F.round(soft.utility_gate(F.col("utility")), 5).alias("gate"))
 
 
-@query("token_fusion", f"WITH {_ROWS}, o AS (SELECT batch, example_id, label, round(w, 5) AS w, round(list_sum(list_transform(range(1, 33), lambda i: w * exp(rag4[i]) + (1 - w) * exp(bare4[i]))), 5) AS half FROM w) SELECT * FROM o")
+@query("token_fusion", f"""WITH {_ROWS}, o AS (SELECT batch, example_id, label, round(w, 5) AS w, round(list_sum(list_transform(range(1, 65), lambda i: w * exp(rag4[i]) + (1 - w) * exp(bare4[i]))), 5) AS total,
+round(list_sum(list_transform(range(1, 65), lambda i: i * (w * exp(rag4[i]) + (1 - w) * exp(bare4[i])))), 4) AS centre, round(list_sum(list_transform(range(1, 65), lambda i: i * i * (w * exp(rag4[i]) + (1 - w) * exp(bare4[i])))), 3) AS spread FROM w) SELECT * FROM o""")
 def token_fusion(spark, sf_dir):
     rows = soft.fusion_weights(soft_rows(spark, sf_dir))
     fused = soft.fuse(soft.softmax(4.0)(F.col("rag")), soft.softmax(4.0)(F.col("bare")), F.col("w"))
-    half = F.aggregate(F.slice("fused", 1, 32), F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("fused", fused).select("batch", "example_id", "label", F.round("w", 5).alias("w"), F.round(half, 5).alias("half"))
+    numbered = F.arrays_zip("fused", F.sequence(F.lit(1), F.size("fused")).alias("i"))
+
+    def moment(power: int) -> F.Column:
+        return F.aggregate(numbered, F.lit(0.0), lambda a, x: a + x["fused"] * F.pow(x["i"], F.lit(power)))
+
+    shown = (F.round(moment(p), d).alias(n) for p, d, n in ((0, 5, "total"), (1, 4, "centre"), (2, 3, "spread")))
+    return rows.withColumn("fused", fused).select("batch", "example_id", "label", F.round("w", 5).alias("w"), *shown)
 
 
 @query("kl_per_example", f"WITH {_ROWS} SELECT batch, example_id, round(16 * kr, 5) AS kl_rag, round(16 * kb, 5) AS kl_bare FROM x")
