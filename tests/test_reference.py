@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions import curation as C
 from tributary.functions import metrics, sft, text
-from tributary.operators import budget, curate, curriculum, dedup, evaluate, inference, retrieval
+from tributary.operators import ann, budget, curate, curriculum, dedup, evaluate, inference, retrieval
 from tributary.operators import softlabels as soft
 from tributary.operators.ranks import with_rank
 from tributary.plans.pipelines import prepare_training_set
@@ -129,14 +129,14 @@ def test_chunks_cover_all_words(spark):
         retrieval.chunk_windows(F.col("text"), 8, 8)
 
 
-def test_store_and_retrieval(spark):
+def test_store_and_retrieval(spark, tmp_path):
     df = spark.createDataFrame([(f"passage {i}", [float(i == j) for j in range(8)], None, i) for i in range(8)], "document string, embedding array<float>, metadata map<string,string>, ordinal long")
     store = retrieval.upsert(None, df)
     assert retrieval.upsert(store, df).count() == 8 and store.first().metadata["idx"] is not None
     corpus = df.select(F.col("ordinal").alias("doc_id"), "embedding")
     hits = retrieval.cosine_top_k(corpus.withColumnRenamed("doc_id", "query_id"), corpus, 20).collect()
     assert len(hits) == 64 and all(r.query_id == r.doc_id for r in hits if r.rank == 1)
-    near = retrieval.lsh_top_k(corpus.withColumnRenamed("doc_id", "query_id"), corpus, 1)
+    near = ann.search(ann.build(corpus, f"file://{tmp_path}/index"), corpus.withColumnRenamed("doc_id", "query_id"), 1)
     assert all(r.query_id == r.doc_id for r in near.collect())
     got = spark.createDataFrame([(0, p, p, [str(p)]) for p in range(5)], "batch long, pos long, query_id long, contexts array<string>")
     assert {r.query_id: r.negative for r in retrieval.retrieve_negative(got).collect()} == {p: [str((p + 2) % 5)] for p in range(5)}
