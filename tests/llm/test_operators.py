@@ -53,6 +53,19 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
+def test_of_rows_with_one_id_the_smallest_text_stays(spark):
+    rows = [(1, "b text of five words more", "en"), (1, "a text of five other words", "de"), (1, "a text of five other words", "en"), (2, None, "x"), (2, "some", "x"), (None, "n", "x"), (None, "n", "x"), (3, "alone here", "x")]
+    found = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(*r, {"k": r[2]}) for r in rows], "doc_id long, text string, lang string, extra map<string,string>").repartition(3)
+        kept = ngram_join.keep_one(df)
+        assert kept.columns == df.columns
+        found.add(tuple(sorted(((r.doc_id, r.text, r.lang, r.extra["k"]) for r in kept.collect()), key=str)))
+    (only,) = found
+    assert [(x[0], x[1]) for x in only] == [(1, "a text of five other words"), (2, None), (3, "alone here"), (None, "n"), (None, "n")]
+
+
 def test_ngram_join_is_the_brute_force_join(spark, corpus):
     sets = [(i, shingles(t)) for i, t in corpus]
     parent = {i: i for i, _ in corpus}

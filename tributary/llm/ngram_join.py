@@ -307,12 +307,15 @@ def _bridged(links: DataFrame, star_of: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The documents without near copies: of each component the one with the smallest doc_id stays, with all columns;
-    of rows with that doc_id one stays. Rows with a null doc_id stay."""
+    of rows with that doc_id the one with the smallest text stays (no text before any; of equal texts that with the smallest
+    hash of its columns). Rows with a null doc_id stay."""
     found = save(join(docs, width, similar), "ngram-components")
     lost = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(lost["doc_id"]), "left_anti")
     rows, distinct, nulls = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if rows - nulls == distinct:
         return kept
-    again = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    first = F.min_by(F.struct(*docs.columns), F.struct("text", F.xxhash64(*hashed)))
+    again = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(first.alias("__row")).select("__row.*")
     return again.unionByName(kept.where(F.col("doc_id").isNull()))
