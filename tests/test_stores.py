@@ -8,8 +8,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from tributary.functions.text import character_shingles
 from tributary.operators import ann, curriculum, inference, retrieval
 from tributary.sources import answers
+from tributary.sources.record_index import RecordIndex
 from tributary.sources.vector_store import Conflict, VectorStore
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,3 +181,73 @@ def test_places_are_a_permutation_and_depend_on_the_key(spark, n):
         one, two = ([r[k] for r in rows] for k in ("p5", "p6"))
         assert sum(a == b for a, b in zip(one, two, strict=True)) < n / 4
         assert abs(np.corrcoef(one, range(n))[0, 1]) < 0.35 and sum(abs(a - b) == 1 for a, b in zip(one, one[1:], strict=False)) < n / 5
+
+
+# Record index
+
+
+def near_copies(seed, n):
+    """Texts of which many are near copies of earlier ones, chains among them, some equal and some without text."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for _ in range(n):
+        if texts and rng.random() < 0.6:
+            t = list(texts[rng.integers(len(texts))])
+            for _ in range(rng.integers(0, 4)):
+                t[rng.integers(len(t))] = "xyz"[rng.integers(3)]
+            texts.append("".join(t))
+        else:
+            texts.append("".join("abcdefgh "[i] for i in rng.integers(0, 9, 120)).strip() or "a")
+    return texts
+
+
+def sequential(texts):
+    kept = []
+    for i, t in enumerate(texts):
+        own = set(character_shingles(t).tolist())
+        if not t or all(len(own & s) < 0.85 * len(own | s) for _, s in kept):
+            kept.append((i, own))
+    return [i for i, _ in kept]
+
+
+def test_batches_one_after_the_other_are_one_run(spark, tmp_path):
+    texts = near_copies(3, 150)
+    texts[20] = texts[90] = ""
+    index = RecordIndex(spark, f"file://{tmp_path}/records", parts=4)
+    found, layers = [], []
+    for number, (low, high) in enumerate([(0, 5), (5, 80), (80, 81), (81, 81), (81, 120), (120, 150)]):
+        rows = spark.createDataFrame([(i, texts[i], "x") for i in range(low, high)], "rec_id long, key string, part string")
+        found += sorted(r.rec_id for r in index.add(rows, f"b{number}").collect())
+        layers.append(len(index.manifest()["layers"]))
+    want = sequential(texts)
+    assert 20 in want and 90 in want and len(want) < 120
+    assert found == want and sorted(r.rec_id for r in index.kept().collect()) == want and max(layers) > 1
+    # a batch that comes again, into an index that was opened again, changes nothing
+    again = RecordIndex(spark, f"file://{tmp_path}/records", 0.5, 9, 7)
+    version = again.version()
+    rows = spark.createDataFrame([(i, texts[i]) for i in range(5, 80)], "rec_id long, key string")
+    assert sorted(r.rec_id for r in again.add(rows, "b1").collect()) == [i for i in want if 5 <= i < 80]
+    assert (again.version(), again.threshold, again.k, again.parts) == (version, 0.85, 5, 4)
+    assert again.vacuum() > 0 and sorted(r.rec_id for r in again.kept().collect()) == want
+    with pytest.raises(Conflict):
+        again._commit(version, again.manifest())
+    with pytest.raises(ValueError):
+        RecordIndex(spark, f"file://{tmp_path}/other", 1.0)
+
+
+def test_a_batch_that_breaks_off_leaves_the_index(spark, tmp_path, monkeypatch):
+    texts = near_copies(4, 40)
+    index = RecordIndex(spark, f"file://{tmp_path}/records", parts=2)
+    batch = lambda low, high: spark.createDataFrame([(i, texts[i]) for i in range(low, high)], "rec_id long, key string")
+    index.add(batch(0, 20), "a")
+    before = sorted(r.rec_id for r in index.kept().collect())
+
+    def broken(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(RecordIndex, "_commit", broken)
+        index.add(batch(20, 40), "b")
+    assert sorted(r.rec_id for r in index.kept().collect()) == before
+    index.add(batch(20, 40), "b")
+    assert sorted(r.rec_id for r in index.kept().collect()) == sequential(texts)

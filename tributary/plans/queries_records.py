@@ -15,6 +15,7 @@ from tributary.plans.pipelines import prepare_training_set as prepare
 from tributary.plans.registry import query, table
 from tributary.session import shared_dir
 from tributary.sources import records as src
+from tributary.sources.record_index import RecordIndex
 
 _PAIR = """(
   SELECT conv_id * 100 + turn AS rec_id, text AS instruction, coalesce(sys, '') AS input, nxt AS output FROM (
@@ -324,15 +325,32 @@ def near_dup_pairs(spark, sf_dir):
     return dedup.similar_pairs(keyed_texts(spark, sf_dir).where("key <> ''")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("near_dedup", _NEAR + """, v AS (SELECT DISTINCT b AS id FROM pairs), o AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM v),
+_NEAR_DEDUP = _NEAR + """, v AS (SELECT DISTINCT b AS id FROM pairs), o AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM v),
 nb AS (SELECT o.r, o.id, list(a) AS smaller FROM o JOIN pairs ON b = o.id GROUP BY ALL),
 walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone
   UNION ALL SELECT nb.r, CASE WHEN len(list_filter(nb.smaller, lambda x: NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, nb.id) ELSE walk.gone END FROM walk JOIN nb ON nb.r = walk.r + 1)
-SELECT rec_id FROM k WHERE NOT list_contains((SELECT gone FROM walk ORDER BY r DESC LIMIT 1), rec_id)""")
+SELECT rec_id FROM k WHERE NOT list_contains((SELECT gone FROM walk ORDER BY r DESC LIMIT 1), rec_id)"""
+
+
+@query("near_dedup", _NEAR_DEDUP)
 def near_dedup(spark, sf_dir):
     return dedup.near_dedup(keyed_texts(spark, sf_dir)).select("rec_id")
 
 
+@query("near_dedup_batches", _NEAR_DEDUP)
+def near_dedup_batches(spark, sf_dir):
+    """Three batches by ranges of ids, one after the other, into an index: what one run over all keeps."""
+    texts = keyed_texts(spark, sf_dir)
+    index = RecordIndex(spark, f"{shared_dir(spark)}/record-index-{uuid4().hex}")
+    low, high = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return texts.select("rec_id")
+    at = [low, low + (high - low) // 2, low + 9 * (high - low) // 10, high + 1]
+    for number in range(3):
+        index.add(texts.where((F.col("rec_id") >= at[number]) & (F.col("rec_id") < at[number + 1])), str(number))
+    return index.kept().select("rec_id")
+
+
 @query("decontaminate", f"""WITH k AS (SELECT rec_id, {_key('t')} AS key FROM (SELECT doc_id AS rec_id, text AS t FROM documents UNION ALL SELECT 1000000000 + item_id, text || ' again' FROM benchmark)),
 e AS (SELECT {_key('text')} AS key FROM benchmark), s AS (SELECT rec_id, key, {_SHINGLES.format('key')} AS s FROM k WHERE key <> ''), es AS (SELECT {_SHINGLES.format('key')} AS s FROM e WHERE key <> ''),
 near AS (SELECT DISTINCT rec_id FROM s JOIN es ON least(len(s.s), len(es.s)) >= 0.85 * greatest(len(s.s), len(es.s))

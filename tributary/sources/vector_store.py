@@ -6,14 +6,11 @@ reader takes the newest row of an id. Once a bucket's newer layers hold more tha
 does, the upsert writes that bucket anew and its older layers no longer count, so that reading stays within a constant
 factor of the store, and writing on average, too.
 
-A manifest is a new file ``manifest/<version>.json``, created exclusively: an upsert counts when it is there, a writer that
-breaks off leaves the store as it was, and of two writers of the same version one gets an error. ``vacuum`` removes what
-no manifest in use names.
+An upsert counts once its manifest is there (``versions``); ``vacuum`` removes what no manifest in use names.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,60 +18,22 @@ from pyspark.sql import functions as F
 
 from tributary.operators.retrieval import upsert as latest
 from tributary.session import save
+from tributary.sources.versions import Conflict, Versions
 
 BUCKETS, MERGE_SHARE = 256, 0.5
 _ROW = "id string, document string, embedding array<float>, metadata map<string,string>"
 
 
-class Conflict(RuntimeError):
-    """Another writer made this version."""
-
-
-class VectorStore:
+class VectorStore(Versions):
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, merge_share: float = MERGE_SHARE):
-        self.spark, self.path, self.merge_share = spark, path.rstrip("/"), merge_share
-        self.hadoop = spark._jvm.org.apache.hadoop.fs
-        self.fs = self.hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        super().__init__(spark, path)
+        self.merge_share = merge_share
         self.buckets = self.manifest()["n_buckets"] if self.version() else buckets
 
-    def _names(self, folder: str) -> list[str]:
-        where = self.hadoop.Path(f"{self.path}/{folder}")
-        return sorted(x.getPath().getName() for x in self.fs.listStatus(where)) if self.fs.exists(where) else []
-
-    def _read(self, name: str) -> dict | None:
-        stream = self.fs.open(self.hadoop.Path(f"{self.path}/manifest/{name}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError:  # its writer broke off
-            return None
-        finally:
-            stream.close()
-
-    def _latest(self) -> tuple[int, dict | None]:
-        for name in reversed([x for x in self._names("manifest") if x.endswith(".json") and not x.startswith(".")]):
-            found = self._read(name)
-            if found is not None:
-                return int(name.removesuffix(".json")), found
-        return 0, None
-
-    def version(self) -> int:
-        return self._latest()[0]
-
     def manifest(self) -> dict:
         """n_buckets, and by bucket (as text) its layers from old to new: [name, rows]."""
         return self._latest()[1] or {"n_buckets": self.buckets, "layers": {}}
 
-    def _commit(self, version: int, manifest: dict) -> None:
-        path = self.hadoop.Path(f"{self.path}/manifest/{version:012d}.json")
-        if self.fs.exists(path) and self._read(path.getName()) is None:  # of a writer that broke off
-            self.fs.delete(path, False)
-        try:
-            out = self.fs.create(path, False)
-        except Exception as e:
-            raise Conflict(f"version {version} of {self.path} is there already") from e
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-
     def _bucket(self) -> F.Column:
         return F.pmod(F.conv(F.substring("id", 1, 4), 16, 10).cast("int"), F.lit(self.buckets)).cast("int")
 
@@ -142,12 +101,7 @@ class VectorStore:
     def vacuum(self, keep: int = 1) -> int:
         """Removes layers that the newest ``keep`` manifests don't name, and older manifests; not while others write or read
         older versions. Returns the number of layers removed."""
-        names = self._names("manifest")
-        found = [x for x in (self._read(n) for n in names[-keep:]) if x is not None]
-        used = {name for m in found for cells in m["layers"].values() for name, _ in cells}
-        gone = [x for x in self._names("layers") if x not in used]
-        for x in gone:
-            self.fs.delete(self.hadoop.Path(f"{self.path}/layers/{x}"), True)
-        for x in names[:-keep]:
-            self.fs.delete(self.hadoop.Path(f"{self.path}/manifest/{x}"), False)
-        return len(gone)
+        return self._vacuum("layers", lambda m: [name for cells in m["layers"].values() for name, _ in cells], keep)
+
+
+__all__ = ["Conflict", "VectorStore"]
