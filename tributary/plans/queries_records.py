@@ -470,7 +470,28 @@ def shift_right(spark, sf_dir):
 # The pipeline
 
 
-@query("prepare_training_set")
+_TRAIN = "(SELECT doc_id AS rec_id, text AS instruction, '' AS input, 'Answer: ' || text AS output FROM documents)"
+_PREPARED = (
+    _gate(_TRAIN, f", cur AS (SELECT rec_id, instruction, t, {_key("coalesce(instruction, '')")} AS key FROM f WHERE {_REASON} IS NULL), ").replace("WITH", "WITH RECURSIVE", 1)
+    + _NEAR_DEDUP.replace(f"WITH RECURSIVE {_KEYS}", "k AS (SELECT rec_id, key FROM cur)", 1).replace("SELECT rec_id FROM k WHERE", ", nd AS (SELECT * FROM cur WHERE", 1)
+    + f"""), e AS (SELECT {_key('text')} AS key FROM benchmark), es AS (SELECT {_SHINGLES.format('key')} AS s FROM e WHERE key <> ''),
+leaked AS (SELECT DISTINCT rec_id FROM s JOIN es ON least(len(s.s), len(es.s)) >= 0.85 * greatest(len(s.s), len(es.s))
+  AND CAST(len(list_intersect(s.s, es.s)) AS DOUBLE) / (len(s.s) + len(es.s) - len(list_intersect(s.s, es.s))) >= 0.85),
+dc AS (SELECT * FROM nd WHERE key NOT IN (SELECT key FROM e) AND rec_id NOT IN (SELECT rec_id FROM leaked)),
+l AS (
+  SELECT 0 AS stage_no, {_tokens("coalesce(instruction, '')")} + {_tokens("coalesce(output, '')")} AS n_tokens FROM {_TRAIN}
+  UNION ALL SELECT 1, {_tokens('instruction')} + {_tokens('t')} FROM cur UNION ALL SELECT 2, {_tokens('instruction')} + {_tokens('t')} FROM nd
+  UNION ALL SELECT 3, {_tokens('instruction')} + {_tokens('t')} FROM dc),
+i AS (SELECT stage_no, n_tokens, row_number() OVER (PARTITION BY stage_no ORDER BY n_tokens) - 1 AS i, count(*) OVER (PARTITION BY stage_no) AS c FROM l),
+st AS (SELECT stage_no, count(*) AS n, max(n_tokens) AS max,
+  min(n_tokens) FILTER (i = CAST(round_even(CAST(0.5 * (c - 1) AS DOUBLE), 0) AS BIGINT)) AS p50, min(n_tokens) FILTER (i = CAST(round_even(CAST(0.95 * (c - 1) AS DOUBLE), 0) AS BIGINT)) AS p95
+  FROM i GROUP BY stage_no)
+SELECT CAST(stage_no AS INTEGER) AS stage_no, ['input', 'curated', 'deduplicated', 'decontaminated'][stage_no + 1] AS stage, n, coalesce(lag(n) OVER (ORDER BY stage_no) - n, 0) AS removed,
+  CAST(p50 AS BIGINT) AS p50, CAST(p95 AS BIGINT) AS p95, CAST(max AS BIGINT) AS max FROM st"""
+)
+
+
+@query("prepare_training_set", _PREPARED)
 def prepare_training_set(spark, sf_dir):
     """Stage report over all documents as teacher outputs, each its own instruction, against the benchmark."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rec_id"), F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"))
