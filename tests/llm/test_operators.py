@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -584,6 +585,14 @@ def test_licence_scan_tells_families_that_share_words(spark):
     assert license_scan.scan(docs_of(spark, []), model).count() == 0
 
 
+def test_toxicity_words_beside_any_space_or_mark():
+    lexicon = toxicity.Lexicon({"scumbag": 3.0, "moron": 3.0}, {}, {"scumbag": 3.0, "moron": 3.0})
+    hits = ["you scumbag", "you\u00a0scumbag", "you\x0bscumbag", "you\u3000scumbag\u2028ok", "you,scumbag,yes", "you-scumbag/moron", "no.Scumbag.", "(moron)", "s.c.u.m.b.a.g", "it is…moron"]
+    assert (toxicity.features(pa.array(hits), [lexicon])[:, 0] > 0).all()
+    assert not toxicity.features(pa.array(["", None, "a,b", "more on", "well-being/e.g. don't"]), [lexicon])[:, 0].any()
+    assert toxicity.pieces_of(pa.array(["ab-cd-ef/gh, i.j  k"])).to_pylist() == [["ab-", "cd-", "ef/", "gh,", "i.j", "k"]]
+
+
 def test_toxicity_with_odd_labels(spark):
     docs = docs_of(spark, [(i, f"some words {i}") for i in range(30)] + [(3, "some words 3"), (40, "x" * 5000)])
     same = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, toxic int")

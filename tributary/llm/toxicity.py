@@ -54,6 +54,20 @@ _EDGES = re.compile(r"^[^\w@$!]+|[^\w@$]+$")
 _INNER = re.compile(r"[^\w@$!']+")
 
 
+#: White space of any script, and marks that join two words of two letters or more. Single letters with marks between
+#: them stay together, as ``clean`` takes the marks out of a word that is spelled out.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\pZ]+"
+_JOINED = r"(\pL{2}['’]?)([,;:./\\|?()\[\]…–—-]+)(\pL{2})"
+
+
+def pieces_of(texts: pa.Array) -> pa.Array:
+    """The pieces of each text, for training and scoring alike."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    for _ in range(2):  # a word of two letters between two marks ends one match and begins the next
+        texts = pc.replace_substring_regex(texts, _JOINED, r"\1\2 \3")
+    return pc.split_pattern(pc.replace_substring_regex(texts, _SPACE, " "), " ")
+
+
 def clean(piece: str) -> str:
     """Lower case, without punctuation."""
     if piece.isalpha():
@@ -178,14 +192,11 @@ def context_factor(before: list[str], piece: str, after: list[str]) -> tuple[flo
 def features(column: pa.Array, lexicons: list[Lexicon], which: np.ndarray | None = None) -> np.ndarray:
     """A row of FEATURES for each text, zeros for a text without hits, whatever its length; ``which`` names the lexicon
     of each row."""
-    texts = pc.fill_null(column, "").cast(pa.large_string())
-    for c in "\n\t\r":
-        texts = pc.replace_substring(texts, c, " ")
-    cut = pc.split_pattern(texts, " ")
+    cut = pieces_of(column)
     offsets = cut.offsets.to_numpy()
     flat = cut.flatten().dictionary_encode()
     codes, pieces = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-    out = np.zeros((len(texts), FEATURES))
+    out = np.zeros((len(column), FEATURES))
     for k, lexicon in enumerate(lexicons):
         matches = [lexicon.match(p) for p in pieces]
         hit = np.fromiter((m is not None for m in matches), bool, len(matches))
@@ -287,8 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[lo : lo + 500] for b in batches for lo in range(0, len(b), 500)):
             rows = set()
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = {clean(x) for x in text.split()} - {""}
+            for cut, toxic in zip(pieces_of(pa.array(batch["text"], pa.large_string())), batch["toxic"], strict=True):
+                words = {clean(x) for x in cut.as_py()} - {""}
                 group = min((zlib.crc32(w.encode()) for w in words), default=0)  # near copies mostly agree
                 rows |= {(w, int(toxic), group) for w in words}
             yield pd.DataFrame(sorted(rows), columns=["term", "toxic", "grp"])
@@ -326,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         for batch in batches:
             for lo, hi in column_blocks(batch.column(0)):
                 part = batch.slice(lo, hi - lo)
-                side = [min((zlib.crc32(w.encode()) for w in {clean(x) for x in t.split()} - {""}), default=0) % 2 for t in part.column(0).to_pylist()]
+                side = [min((zlib.crc32(w.encode()) for w in {clean(x) for x in cut.as_py()} - {""}), default=0) % 2 for cut in pieces_of(part.column(0))]
                 x = features(part.column(0), lexicons, np.array(side))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
