@@ -56,7 +56,8 @@ _INNER = re.compile(r"[^\w@$!']+")
 
 #: White space of any script, and marks that join two words of two letters or more. Single letters with marks between
 #: them stay together, as ``clean`` takes the marks out of a word that is spelled out.
-_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\pZ]+"
+_OTHER = r"\t-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE = rf" *[{_OTHER}][ {_OTHER}]*|  +"  # a single space, which stays one, is not matched: each match costs time
 _JOINED = r"(\pL{2}['’]?)([,;:./\\|?()\[\]…–—-]+)(\pL{2})"
 
 
