@@ -16,6 +16,7 @@ from tributary.plans.registry import query, table
 from tributary.session import shared_dir
 from tributary.sources import records as src
 from tributary.sources.record_index import RecordIndex
+from tributary.streaming import firsts, streams
 
 _PAIR = """(
   SELECT conv_id * 100 + turn AS rec_id, text AS instruction, coalesce(sys, '') AS input, nxt AS output FROM (
@@ -65,6 +66,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("rec_id"), F.lit("").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"))
 
 
+def _arriving(records: DataFrame, folder: str) -> DataFrame:
+    """The records as a stream: dealt into files by a hash of the id, a quarter of the files a batch."""
+    spark = records.sparkSession
+    records.withColumn("arrival", F.pmod(F.xxhash64("rec_id"), F.lit(4))).write.partitionBy("arrival").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return spark.readStream.schema(records.schema).option("maxFilesPerTrigger", max(1, -(-files // 4))).option("recursiveFileLookup", True).parquet(folder)
+
+
 # Sources and mapping
 
 
@@ -277,6 +286,15 @@ def curation_report(spark, sf_dir):
     return curate.report(curate.classify(variants(spark, sf_dir)))
 
 
+@query("stream_curation_report", _gate(_VARIANTS, _REPORT.format(_REASON)))
+def stream_curation_report(spark, sf_dir):
+    """The same report, kept up to date while the records arrive."""
+    folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    stream = _arriving(variants(spark, sf_dir), f"{folder}/in")
+    streams.report_stream(stream, f"{folder}/report", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return streams.read_report(spark, f"{folder}/report")
+
+
 _RELAXED = """CASE WHEN output IS NULL THEN 'non_text' WHEN t = '' THEN 'empty' WHEN length(t) < 4 THEN 'too_short' WHEN run >= 9 OR ratio > 0.8 THEN 'degenerate_repetition' WHEN leak THEN 'prompt_leak' END"""
 
 
@@ -320,6 +338,19 @@ def exact_dedup(spark, sf_dir):
     return dedup.exact_dedup(keyed_texts(spark, sf_dir)).select("rec_id")
 
 
+@query("stream_exact_dedup", f"SELECT min(rec_id) AS rec_id FROM (SELECT doc_id AS rec_id, {_key('text')} AS key FROM documents) GROUP BY key")
+def stream_exact_dedup(spark, sf_dir):
+    """The same from a stream in which the records arrive in four batches and in no order."""
+    spark.conf.set(*firsts.STATE_STORE)
+    folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
+    stream = _arriving(texts(spark, sf_dir), f"{folder}/in")
+    keyed = stream.select("rec_id", F.md5(text.canonical(F.col("output"))).alias("key"))  # texts stay behind
+    changes = firsts.first_changes(keyed, F.col("key")).select("rec_id", "fingerprint", "replaces")
+    sink = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return firsts.current_firsts(spark.read.schema(changes.schema).parquet(f"{folder}/out"))
+
+
 @query("near_dup_pairs", _NEAR + "SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def near_dup_pairs(spark, sf_dir):
     return dedup.similar_pairs(keyed_texts(spark, sf_dir).where("key <> ''")).select("a", "b", F.round("similarity", 6).alias("similarity"))

@@ -1,10 +1,10 @@
-"""Streaming forms: the curation gate, exact dedup within a watermark, and resumable generation."""
+"""Streaming forms: the curation gate and its running report, exact dedup within a watermark, and resumable generation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.curation import Thresholds
@@ -33,3 +33,23 @@ def generate_stream(records: DataFrame, make_client: Callable, log_path: str, ch
         generate_into(log_path, pending(rows, read_generation_log(rows.sparkSession, log_path)), make_client, settings)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def report_stream(records: DataFrame, path: str, checkpoint: str, thresholds: Thresholds = Thresholds()):
+    """The gate's report of all records so far, after every batch. Only counts by reason are state. A batch writes its report
+    under its own number, over what an attempt before it left."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts = curate.classify(records, thresholds).groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+    return counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The newest report that ``report_stream`` wrote, as ``curate.report`` gives it."""
+    counts = spark.read.schema("outcome string, n long, batch long").option("basePath", path).parquet(path)
+    newest = counts.agg(F.max("batch").alias("batch"))
+    now = counts.join(F.broadcast(newest), "batch").rollup("outcome").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("outcome") == "kept", F.col("n"))), F.lit(0)).alias("kept"))
+    share = F.when(F.col("outcome").isNull(), F.round(F.col("kept") / F.col("n"), 4))
+    return now.select(F.coalesce("outcome", F.lit("total")).alias("outcome"), "n", share.alias("keep_rate"))
