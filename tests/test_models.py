@@ -46,6 +46,32 @@ def test_losses_of_blocks_are_those_of_whole_rows(spark, vocabulary, sizes):
     assert len(got) == len(want) and all((r.nll_rag, r.nll_bare) == pytest.approx(want[r.batch, r.example_id], rel=1e-6) for r in got)
 
 
+@pytest.mark.parametrize("sizes, settings", [((1, 3), {}), ((24, 24), {"contrast": False}), ((90, 90), {"epsilon": 0.0, "gated": False}), ((7, 40), {"center": False, "temperature": 1.0})])
+def test_all_losses_of_blocks_are_those_of_whole_rows(spark, sizes, settings):
+    rng, columns = np.random.default_rng(sizes[0]), ("rag", "bare", "student", "neg")
+    rows, blocks = [], []
+    for e in range(6):
+        for pos in range(3):
+            keys = e % 3, f"e{e}", pos, -100 if pos == 1 or e % 3 == 2 else int(rng.integers(90))
+            logits = [[float(x) for x in rng.normal(0, scale, 90).astype(np.float32)] for scale in (3, 1, 2, 40)]
+            rows.append((*keys, *logits))
+            at = 0
+            while at < 90:
+                n = int(rng.integers(sizes[0], sizes[1] + 1))
+                blocks.append((*keys, at, *(x[at : at + n] for x in logits)))
+                at += n
+            blocks.append((*keys, 90, [], [], [], []))
+    blocks = [blocks[i] for i in rng.permutation(len(blocks))]
+    keys, arrays = "batch int, example_id string, pos int, label int", ", ".join(f"{c} array<float>" for c in columns)
+    p = soft.LossWeights(**settings)
+    want = {r.batch: r for r in soft.kd_loss(spark.createDataFrame(rows, f"{keys}, {arrays}"), p).collect()}
+    got = soft.kd_loss_of_blocks(spark.createDataFrame(blocks, f"{keys}, first int, {arrays}").repartition(5), p).collect()
+    assert len(got) == len(want) == 3
+    for r in got:
+        for name, value in r.asDict().items():
+            assert value == (None if want[r.batch][name] is None else pytest.approx(want[r.batch][name], rel=1e-6, abs=1e-9)), name
+
+
 def test_hashed_vectors_are_those_of_the_words(spark):
     texts = ["One two TWO", "", None, "é x " * 40, "same same", "\t one\n"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tributary.session import save
+
 IGNORE, EPS = -100, 1e-9
 
 
@@ -109,41 +111,44 @@ def example_nll(rows: DataFrame, *columns: str) -> DataFrame:
     return with_nll.groupBy("batch", "example_id").agg(*(valid_mean(F.col(c)).alias(f"nll_{c}") for c in columns))
 
 
-def block_sums():
-    """(logits, first, label) -> of each block the largest logit, the sum of exp(logit - largest), and the label's logit where
-    the block has it."""
+_TERMS = ("nr", "nb", "ce", "kr", "kb", "kn", "kf")
+_POSITION = ("batch", "example_id", "pos")
+_TEACHERS = ("rag", "bare", "student", "neg")
+
 
-    @F.pandas_udf("most double, total double, gold double")
-    def of(logits: pd.Series, first: pd.Series, label: pd.Series) -> pd.DataFrame:
-        out = np.full((len(logits), 3), np.nan)
+def _log_sums(blocks: DataFrame, temperature: float, columns: tuple[str, ...]) -> DataFrame:
+    """A row of each position: for every column its log-sum-exp at temperature 1 (``<column>_1``) and at ``temperature``
+    (``<column>_t``), and the label's logit (``<column>_gold``), put together from the blocks."""
+
+    @F.pandas_udf("most double, one double, tempered double, gold double")
+    def sums(logits: pd.Series, first: pd.Series, label: pd.Series) -> pd.DataFrame:
+        out = np.full((len(logits), 4), np.nan)
         for i, (x, at, y) in enumerate(zip(logits, first, label, strict=True)):
             if len(x):
                 x = x.astype(np.float64)
-                out[i, 0] = x.max()
-                out[i, 1] = np.exp(x - out[i, 0]).sum()
+                most = x.max()
+                out[i, :3] = most, np.exp(x - most).sum(), np.exp((x - most) / temperature).sum()
                 if 0 <= y - at < len(x):
-                    out[i, 2] = x[int(y - at)]
-        return pd.DataFrame(out, columns=["most", "total", "gold"])
+                    out[i, 3] = x[int(y - at)]
+        return pd.DataFrame(out, columns=["most", "one", "tempered", "gold"])
 
-    return of
+    stats = blocks.select(*_POSITION, "label", *(sums(c, "first", "label").alias(c) for c in columns))
+    known = lambda c: F.filter(F.collect_list(F.struct(f"{c}.most", f"{c}.one", f"{c}.tempered")), lambda x: x["most"].isNotNull() & ~F.isnan(x["most"]))
+    parts = stats.groupBy(*_POSITION, "label").agg(*(known(c).alias(c) for c in columns), *(F.max(F.nanvl(f"{c}.gold", F.lit(None).cast("double"))).alias(f"{c}_gold") for c in columns))
+
+    def log_sum(c: str, part: str, t: float) -> Column:
+        most = F.array_max(F.transform(c, lambda x: x["most"]))
+        return most / t + F.log(F.aggregate(c, F.lit(0.0), lambda a, x: a + x[part] * F.exp((x["most"] - most) / t)))
+
+    both = (log_sum(c, part, t).alias(f"{c}_{n}") for c in columns for part, t, n in (("one", 1.0, "1"), ("tempered", temperature, "t")))
+    return parts.select(*_POSITION, "label", *both, *(f"{c}_gold" for c in columns))
 
 
 def example_nll_of_blocks(blocks: DataFrame, *columns: str) -> DataFrame:
     """``example_nll`` of large vocabularies in blocks: a row has the logits of the ids from ``first`` on (batch, example_id,
-    pos, label, first, columns). The logarithm of the sum of exponents is put together from the blocks' largest logits and
-    sums, so that no row, task or group holds a whole vocabulary; blocks may have any size, and no order."""
-    stats = blocks.select("batch", "example_id", "pos", "label", *(block_sums()(F.col(c), F.col("first"), F.col("label")).alias(c) for c in columns))
-    parts = lambda c: F.filter(F.collect_list(F.struct(f"{c}.most", f"{c}.total")), lambda x: ~F.isnan(x["most"]))
-    gathered = stats.groupBy("batch", "example_id", "pos", "label").agg(
-        *(parts(c).alias(c) for c in columns), *(F.max(F.nanvl(f"{c}.gold", F.lit(None).cast("double"))).alias(f"{c}_gold") for c in columns)
-    )
-
-    def loss(c: str) -> Column:
-        most = F.array_max(F.transform(c, lambda x: x["most"]))
-        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + x["total"] * F.exp(x["most"] - most))
-        return F.when(F.col("label") != IGNORE, most + F.log(total) - F.col(f"{c}_gold"))
-
-    losses = gathered.select("batch", "example_id", "label", *(loss(c).alias(c) for c in columns))
+    pos, label, first, columns). No row, task or group holds a whole vocabulary; blocks may have any size, and no order."""
+    sums = _log_sums(blocks, 1.0, columns)
+    losses = sums.select("batch", "example_id", "label", *(F.when(F.col("label") != IGNORE, F.col(f"{c}_1") - F.col(f"{c}_gold")).alias(c) for c in columns))
     return losses.groupBy("batch", "example_id").agg(*(valid_mean(F.col(c)).alias(f"nll_{c}") for c in columns))
 
 
@@ -161,10 +166,15 @@ def utility_gate(utility: Column, tau: float = 1.0, floor: float = 0.05, ceiling
 def fusion_weights(rows: DataFrame, temperature: float = 4.0, kappa: float = 1.0, center: bool = True) -> DataFrame:
     """Adds ``w``: how far each position trusts the teacher with context, from the entropy gap around its batch mean."""
     gap = entropy(temperature)(F.col("bare")) - entropy(temperature)(F.col("rag"))
+    return _weights_of_gaps(rows.withColumn("_gap", gap), kappa, center)
+
+
+def _weights_of_gaps(rows: DataFrame, kappa: float, center: bool) -> DataFrame:
+    """``w`` in place of ``_gap``."""
     batch = Window.partitionBy("batch")
     mean = F.coalesce(F.avg(F.when(F.col("label") != IGNORE, F.col("_gap"))).over(batch), F.avg("_gap").over(batch))
     centred = F.col("_gap") - mean if center else F.col("_gap")
-    return rows.withColumn("_gap", gap).withColumn("w", 1 / (1 + F.exp(-centred / kappa))).drop("_gap")
+    return rows.withColumn("w", 1 / (1 + F.exp(-centred / kappa))).drop("_gap")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -207,6 +217,12 @@ def kd_loss(rows: DataFrame, p: LossWeights = LossWeights()) -> DataFrame:
     fused = fusion_weights(rows, t, p.kappa, p.center) if p.epsilon > 0 else rows.withColumn("w", F.lit(0.0))
     terms = loss_terms(t)(F.col("rag"), F.col("bare"), F.col("student"), negative, F.col("label"), F.col("w"))
     scalars = fused.select("batch", "example_id", "label", "w", terms.alias("x")).select("batch", "example_id", "label", "w", *(F.nanvl(f"x.{c}", F.lit(None).cast("double")).alias(c) for c in ("nr", "nb", "ce", "kr", "kb", "kn")), (F.col("x.kf") if p.epsilon > 0 else F.lit(0.0)).alias("kf"))
+    return _batch_losses(scalars, p)
+
+
+def _batch_losses(scalars: DataFrame, p: LossWeights) -> DataFrame:
+    """The components of each batch from the terms of its positions."""
+    t = p.temperature
     valid = F.col("label") != IGNORE
     each = scalars.groupBy("batch", "example_id").agg(
         *(valid_mean(F.col(c)).alias(c) for c in ("nr", "nb", "kr", "kb", "kn", "kf")),
@@ -226,6 +242,68 @@ def kd_loss(rows: DataFrame, p: LossWeights = LossWeights()) -> DataFrame:
     return batch.withColumn("total", sum((w * F.col(c) for w, c in parts), start=F.lit(0.0)))
 
 
+def _divergences_of_block(temperature: float):
+    """Logits of one block of the four models and their log-sum-exps at ``temperature`` -> the block's shares of the entropies
+    er and eb of the teachers and of the divergences kr, kb and kn."""
+
+    @F.pandas_udf("er double, eb double, kr double, kb double, kn double")
+    def of(rag: pd.Series, bare: pd.Series, student: pd.Series, neg: pd.Series, zr: pd.Series, zb: pd.Series, zs: pd.Series, zn: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(rag), 5))
+        for i, (columns, z) in enumerate(zip(zip(rag, bare, student, neg, strict=True), zip(zr, zb, zs, zn, strict=True), strict=True)):
+            lr, lb, ls, ln = (np.asarray(x, np.float64) / temperature - total for x, total in zip(columns, z, strict=True))
+            pr, pb = np.exp(lr), np.exp(lb)
+            hr, hb = np.log(np.maximum(pr, EPS)), np.log(np.maximum(pb, EPS))
+            out[i] = -(pr @ hr), -(pb @ hb), pr @ (hr - ls), pb @ (hb - ls), pr @ (hr - np.log(np.maximum(np.exp(ln), EPS)))
+        return pd.DataFrame(out, columns=["er", "eb", "kr", "kb", "kn"])
+
+    return of
+
+
+def _fused_of_block(temperature: float):
+    """The block's share of the divergence of the fused teachers from the student."""
+
+    @F.pandas_udf("double")
+    def of(rag: pd.Series, bare: pd.Series, student: pd.Series, zr: pd.Series, zb: pd.Series, zs: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for r, b, s, *z, share in zip(rag, bare, student, zr, zb, zs, w, strict=True):
+            lr, lb, ls = (np.asarray(x, np.float64) / temperature - total for x, total in zip((r, b, s), z, strict=True))
+            fused = share * np.exp(lr) + (1 - share) * np.exp(lb)
+            out.append(fused @ (np.log(np.maximum(fused, EPS)) - ls))
+        return pd.Series(out, dtype="float64")
+
+    return of
+
+
+def position_terms_of_blocks(blocks: DataFrame, p: LossWeights) -> DataFrame:
+    """What ``kd_loss`` adds up of each position, from rows that hold the logits of the ids from ``first`` on (batch,
+    example_id, pos, label, first, rag, bare, student, neg). Three passes over the blocks: log-sum-exps, then entropies and
+    divergences, then, as the fusion weight takes the entropies of a whole batch, the fused divergence. What goes between
+    them is some twenty numbers a position. Blocks may have any size and order; all four models have the same ones.
+    Blocks without logits add nothing; a position that has only such blocks has null terms, and one whose batch, example or
+    place is null is left out."""
+    t, models = p.temperature, _TEACHERS if p.contrast else _TEACHERS[:3]
+    blocks = blocks if p.contrast else blocks.withColumn("neg", F.col("bare"))
+    sums = save(_log_sums(blocks, t, models), "log-sums")
+    z = {c: F.col(f"{c}_t") for c in models} | ({} if p.contrast else {"neg": F.col("bare_t")})
+    totals = sums.select(*_POSITION, *(f"{c}_t" for c in models))
+    shares = blocks.join(totals, [*_POSITION]).select(*_POSITION, _divergences_of_block(t)(*(F.col(c) for c in _TEACHERS), *(z[c] for c in _TEACHERS)).alias("x"))
+    summed = shares.groupBy(*_POSITION).agg(*(F.sum(f"x.{c}").alias(c) for c in ("er", "eb", "kr", "kb", "kn")))
+    loss = lambda c: F.when(F.col("label") != IGNORE, F.col(f"{c}_1") - F.col(f"{c}_gold"))
+    known = sums.join(summed, [*_POSITION]).withColumns({"nr": loss("rag"), "nb": loss("bare"), "ce": loss("student"), "_gap": F.col("eb") - F.col("er")})
+    if p.epsilon <= 0:
+        return known.withColumns({"w": F.lit(0.0), "kf": F.lit(0.0)}).select(*_POSITION, "label", "w", *_TERMS)
+    weighed = save(_weights_of_gaps(known, p.kappa, p.center), "fusion-weights")
+    fused = blocks.join(weighed.select(*_POSITION, "rag_t", "bare_t", "student_t", "w"), [*_POSITION])
+    shares = fused.select(*_POSITION, _fused_of_block(t)("rag", "bare", "student", "rag_t", "bare_t", "student_t", "w").alias("kf"))
+    return weighed.join(shares.groupBy(*_POSITION).agg(F.sum("kf").alias("kf")), [*_POSITION]).select(*_POSITION, "label", "w", *_TERMS)
+
+
+def kd_loss_of_blocks(blocks: DataFrame, p: LossWeights | None = None) -> DataFrame:
+    """``kd_loss`` of vocabularies of any size: no row, task or group holds a whole one."""
+    p = p or LossWeights()
+    return _batch_losses(position_terms_of_blocks(blocks, p), p)
+
+
 def utility_summary(utilities: DataFrame) -> DataFrame:
     """mean, median, share of positive utilities, and a warning if retrieval helps fewer than half of the examples."""
     share = F.avg((F.col("utility") > 0).cast("double"))

@@ -276,6 +276,14 @@ def kd_loss(spark, sf_dir):
     return _rounded(soft.kd_loss(soft_rows(spark, sf_dir)), "batch")
 
 
+@query("kd_loss_of_blocks", f"WITH {_ROWS} " + _ROUND.format("", _LOSS.format(**_FULL)))
+def kd_loss_of_blocks(spark, sf_dir):
+    """The same from rows that hold 24 of the 64 ids each."""
+    rows = soft_rows(spark, sf_dir).select("*", F.explode(F.array(*(F.lit(k) for k in range(0, 64, 24)))).alias("first"))
+    blocks = rows.select("batch", "example_id", "pos", "label", "first", *(F.slice(c, F.col("first") + 1, 24).alias(c) for c in ("rag", "bare", "student", "neg")))
+    return _rounded(soft.kd_loss_of_blocks(blocks), "batch")
+
+
 _VARIANTS = {
     "full": ({}, {}),
     "no_contrast": ({"kn": "kx"}, {"contrast": False}),
