@@ -342,6 +342,7 @@ def exact_dedup(spark, sf_dir):
 def stream_exact_dedup(spark, sf_dir):
     """The same from a stream in which the records arrive in four batches and in no order."""
     spark.conf.set(*firsts.STATE_STORE)
+    spark.conf.set(*firsts.CHANGELOG)
     folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     stream = _arriving(texts(spark, sf_dir), f"{folder}/in")
     keyed = stream.select("rec_id", F.md5(text.canonical(F.col("output"))).alias("key"))  # texts stay behind

@@ -28,6 +28,9 @@ from pyspark.sql.streaming import StatefulProcessor
 #: The state store that processors with several states need; a session's setting, read when a stream starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: Batches then add logs of their changes to the checkpoint in place of whole snapshots of every partition.
+CHANGELOG = ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
 
 def _first_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each batch the first row of every ``fp``, by ``id``."""
