@@ -1,13 +1,15 @@
 """Vectors and large vocabularies against plain NumPy."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import retrieval
+from tributary.operators import ann, retrieval
 from tributary.operators import softlabels as soft
 
 BLOCKS = "batch int, example_id string, pos int, label int, first int, rag array<float>, bare array<float>"
@@ -84,3 +86,48 @@ def test_hashed_vectors_are_those_of_the_words(spark):
         norm = math.sqrt(sum(x * x for x in v)) or 1.0
         assert got[i] == pytest.approx([x / norm for x in v], abs=1e-6)
     assert retrieval.embed(rows.limit(0), "text").where(F.size("embedding") > 0).count() == 0
+
+
+class Captured:
+    """Stands for a table; keeps the function that a task would run."""
+
+    def __init__(self, spark, schema=None):
+        self.sparkSession, self.schema = spark, schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, f, kind):
+        self.f = f
+        return self.sparkSession.createDataFrame([], kind)
+
+
+def test_a_task_of_the_exact_search_holds_few_distances(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(4000, 8)).astype(np.float32)
+    m[1::500] = m[1]  # copies, all at one distance
+    queries = spark.createDataFrame(pd.DataFrame({"query_id": np.arange(4000), "embedding": m.tolist()}))
+    corpus = Captured(spark)
+    retrieval.cosine_top_k(queries, corpus, 3, exclude_self=True)
+    batch = pd.DataFrame({"doc_id": np.arange(4000), "embedding": list(m)})
+    tracemalloc.start()
+    got = pd.concat(corpus.f(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and len(got) == 12_000
+    assert got[got["query_id"] == 1]["doc_id"].tolist() == [501, 1001, 1501] and got[got["query_id"] == 1]["distance"].nunique() == 1
+    unit = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    for i in (0, 777, 3999):
+        every = 1 - unit @ unit[i]
+        every[i] = np.inf
+        assert got[got["query_id"] == i]["doc_id"].tolist() == np.argsort(every, kind="stable")[:3].tolist()
+
+
+def test_a_task_gives_out_few_probed_cells_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(0, [0.0])], "query_id long, embedding array<float>")
+    asked = Captured(spark, rows.schema)
+    ann._assign(asked, "query_id", rng.normal(size=(300, 16)), 200)
+    batch = pd.DataFrame({"query_id": np.arange(3000), "embedding": list(rng.normal(size=(3000, 16)).astype(np.float32))})
+    sizes = [len(x) for x in asked.f(iter([batch]))]
+    assert sum(sizes) == 600_000 and max(sizes) * 16 <= ann.AT_ONCE

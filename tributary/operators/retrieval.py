@@ -14,6 +14,8 @@ from tributary.functions.text import let, passage_id, words
 CHUNK, OVERLAP, TOP_K = 256, 32, 3
 #: Queries scored at once; a bounded broadcast. More queries are taken in blocks.
 QUERY_BLOCK = 4096
+#: Distances that a task holds at once, as (queries, corpus rows); distances this close are compared again one by one.
+TILE, SLACK = (512, 512), 1e-9
 
 
 def chunk_windows(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
@@ -83,19 +85,16 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_
 
         def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, matrix = shared.value
-            best_d, best_i = np.full((len(ids), 0), np.inf), np.full((len(ids), 0), -1, np.int64)
+            best = [_no_hits() for _ in range(0, len(ids), TILE[0])]
             for batch in batches:
-                for lo in range(0, len(batch), 2048):
-                    part = batch.iloc[lo : lo + 2048]
-                    doc = part["doc_id"].to_numpy()
-                    distance = 1 - matrix @ _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)).T
-                    if exclude_self:
-                        distance[ids[:, None] == doc[None, :]] = np.inf
-                    every_d, every_i = np.concatenate((best_d, distance), 1), np.concatenate((best_i, np.broadcast_to(doc, distance.shape)), 1)
-                    order = np.lexsort((every_i, every_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
-            q, c = np.nonzero(np.isfinite(best_d))
-            yield pd.DataFrame({"query_id": ids[q], "doc_id": best_i[q, c], "distance": best_d[q, c]})
+                for lo in range(0, len(batch), TILE[1]):
+                    part = batch.iloc[lo : lo + TILE[1]]
+                    doc, m = part["doc_id"].to_numpy(), _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64))
+                    for block, known in enumerate(best):
+                        own = slice(block * TILE[0], (block + 1) * TILE[0])
+                        best[block] = _nearer(known, ids[own], matrix[own], doc, m, k, exclude_self)
+            for block, (q, doc, distance) in enumerate(best):
+                yield pd.DataFrame({"query_id": ids[block * TILE[0] + q], "doc_id": doc, "distance": distance})
 
         part = corpus.select("doc_id", "embedding").mapInPandas(nearest, "query_id long, doc_id long, distance double")
         found = part if found is None else found.unionByName(part)
@@ -105,6 +104,34 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, exclude_
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
 
 
+def _no_hits() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+
+def _nearer(known: tuple, ids: np.ndarray, queries: np.ndarray, doc: np.ndarray, m: np.ndarray, k: int, exclude_self: bool) -> tuple:
+    """The k best of each query among the known hits (place of the query, doc_id, distance) and the rows of a tile. Those
+    near the kth best are taken by a product of the whole tile, and their distances then one by one, so that equal vectors
+    have equal distances wherever they stand."""
+    rough = 1 - queries @ m.T
+    if exclude_self:
+        rough[ids[:, None] == doc[None, :]] = np.inf
+    rough[np.isnan(rough)] = np.inf
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] >= k else np.full(len(ids), np.inf)
+    places, counts = np.unique(known[0], return_counts=True)
+    full = places[counts >= k]
+    limit[full] = np.minimum(limit[full], np.maximum.reduceat(known[2], np.searchsorted(known[0], full)) if len(full) else 0)
+    q, c = np.nonzero((rough <= limit[:, None] + SLACK) & np.isfinite(rough))
+    distance = np.empty(len(q))
+    for lo in range(0, len(q), TILE[0]):
+        at = slice(lo, lo + TILE[0])
+        distance[at] = 1 - (queries[q[at]] * m[c[at]]).sum(axis=1)
+    q, found, distance = (np.concatenate(x) for x in zip(known, (q, doc[c], distance), strict=True))
+    order = np.lexsort((found, distance, q))
+    q, found, distance = q[order], found[order], distance[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], found[keep], distance[keep]
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norm == 0, 1, norm)
