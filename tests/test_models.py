@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import ann, retrieval
+from tributary.operators import ann, evaluate, retrieval
 from tributary.operators import softlabels as soft
 
 BLOCKS = "batch int, example_id string, pos int, label int, first int, rag array<float>, bare array<float>"
@@ -131,3 +131,13 @@ def test_a_task_gives_out_few_probed_cells_at_once(spark):
     batch = pd.DataFrame({"query_id": np.arange(3000), "embedding": list(rng.normal(size=(3000, 16)).astype(np.float32))})
     sizes = [len(x) for x in asked.f(iter([batch]))]
     assert sum(sizes) == 600_000 and max(sizes) * 16 <= ann.AT_ONCE
+
+
+def test_answers_are_scored_in_their_own_rows_by_all_tasks(spark):
+    """Two examples of one id do not meet each other's references, and one small file does not stay one task."""
+    wide = spark.createDataFrame([(1, "p q r s", "p q r s", "q"), (1, "x y", "x x y", "")], "example_id long, reference string, s string, t string").coalesce(1)
+    rows = evaluate.long_answers(wide, ("s", "t"))
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r["model"], round(r["f1"], 6), round(r["bleu4"], 6)) for r in evaluate.measured(rows).collect()}
+    eps = lambda *hits: math.exp(0.25 * sum(math.log(h) for h in hits))
+    assert got == {("s", 1.0, 1.0), ("t", 0.4, round(math.exp(1 - 4) * eps(1, 0.1, 0.1, 0.1), 6)), ("s", 0.8, round(eps(2 / 3, 1 / 2, 0.1, 0.1), 6)), ("t", 0.0, 0.0)}

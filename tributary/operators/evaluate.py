@@ -8,17 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.metrics import answer_metrics, exact_match, token_f1
-from tributary.session import save
+from tributary.session import save, shuffle_partitions
 
 STRATA = ("parametric", "retrieval_dependent", "hard")
 METRICS = ("exact_match", "f1", "bleu4")
 
 
+def long_answers(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """Rows (example_id, reference, and a column a model) to (example_id, reference, model, prediction), dealt out by id
+    before: a small file of many short answers would be scored by one task."""
+    dealt = wide.select("example_id", "reference", *models).repartition(shuffle_partitions(wide.sparkSession), "example_id")
+    return dealt.unpivot(["example_id", "reference"], list(models), "model", "prediction")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Answers (example_id, model, prediction, reference) with their metrics."""
+    found = rows.select("example_id", "model", answer_metrics(F.col("prediction"), F.col("reference")).alias("_m"))
+    return found.select("example_id", "model", "_m.exact_match", "_m.f1", "_m.bleu4")
+
+
 def scored(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Long predictions (example_id, model, prediction) with their metrics."""
     rows = predictions.join(references, "example_id")
-    measured = rows.select("example_id", "model", answer_metrics(F.col("prediction"), F.col("reference")).alias("_m"))
-    return measured.select("example_id", "model", "_m.exact_match", "_m.f1", "_m.bleu4")
+    return measured(rows.repartition(shuffle_partitions(rows.sparkSession), "example_id", "model"))
 
 
 def evaluate_models(scores: DataFrame) -> DataFrame:
@@ -71,9 +83,10 @@ def evaluate_run(wide: DataFrame, models: tuple[str, ...]) -> dict[str, DataFram
     """All results of an evaluation of predictions (example_id, reference, and a column a model): ``models`` (the means of
     each), ``table`` (a row a metric), and the retention probe where there are ``bare``, ``rag`` and ``student`` columns:
     ``probe``, ``strata``, and ``gap`` where there is ``student_rag``, too."""
-    scores = save(scored(wide.unpivot(["example_id"], list(models), "model", "prediction"), wide.select("example_id", "reference")), "scores")
+    scores = save(measured(long_answers(wide, models)), "scores")
     out = {"models": evaluate_models(scores), "table": compare_models(scores)}
     if {"bare", "rag", "student"} <= set(wide.columns):
+        wide = wide.repartition(shuffle_partitions(wide.sparkSession), "example_id")
         stratified = stratify(wide)
         out |= {"probe": retention(stratified), "strata": probe_strata(stratified)}
         if "student_rag" in wide.columns:
