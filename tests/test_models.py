@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators import ann, evaluate, retrieval
+from tributary.functions import curation, text
+from tributary.operators import ann, curate, evaluate, retrieval
 from tributary.operators import softlabels as soft
 
 BLOCKS = "batch int, example_id string, pos int, label int, first int, rag array<float>, bare array<float>"
@@ -141,3 +142,14 @@ def test_answers_are_scored_in_their_own_rows_by_all_tasks(spark):
     got = {(r["model"], round(r["f1"], 6), round(r["bleu4"], 6)) for r in evaluate.measured(rows).collect()}
     eps = lambda *hits: math.exp(0.25 * sum(math.log(h) for h in hits))
     assert got == {("s", 1.0, 1.0), ("t", 0.4, round(math.exp(1 - 4) * eps(1, 0.1, 0.1, 0.1), 6)), ("s", 0.8, round(eps(2 / 3, 1 / 2, 0.1, 0.1), 6)), ("t", 0.0, 0.0)}
+
+
+def test_a_gated_response_goes_through_python_once(spark, capsys):
+    odd = ["I\u0007 am  so rry ﬁne", "\u0085 a b a b a b a b a b 　", "", None, "﻿ x​ y\u001f z", "é Ａ " * 9]
+    rows = spark.createDataFrame([(i, "Say something about it, please", "", x) for i, x in enumerate(odd)], "rec_id long, instruction string, input string, output string")
+    curate.curate(rows).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("EvalPython") == 1
+    both = rows.select(text.clean(F.col("output")).alias("a"), curation.signals(text.clean(F.col("output")), F.col("instruction")).alias("s"), curation.cleaned_signals(F.col("output"), F.col("instruction")).alias("f"))
+    for r in both.collect():
+        assert r["f"].asDict() == {"cleaned": r["a"], **r["s"].asDict()}
