@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import curation, text
-from tributary.operators import ann, curate, evaluate, retrieval
+from tributary.operators import ann, curate, dedup, evaluate, retrieval
 from tributary.operators import softlabels as soft
 
 BLOCKS = "batch int, example_id string, pos int, label int, first int, rag array<float>, bare array<float>"
@@ -153,3 +154,22 @@ def test_a_gated_response_goes_through_python_once(spark, capsys):
     both = rows.select(text.clean(F.col("output")).alias("a"), curation.signals(text.clean(F.col("output")), F.col("instruction")).alias("s"), curation.cleaned_signals(F.col("output"), F.col("instruction")).alias("f"))
     for r in both.collect():
         assert r["f"].asDict() == {"cleaned": r["a"], **r["s"].asDict()}
+
+
+def test_tasks_hold_shingles_of_few_records(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 1500)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], ["rec_id", "key"])
+    task = CapturedArrow(spark)
+    dedup.prefixes(task, spark.sparkContext.broadcast(np.full(dedup.BUCKETS, 2, np.int64)), 0.85)
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in task.f(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 600_000 and peak < 30e6
+
+
+class CapturedArrow(Captured):
+    def mapInArrow(self, f, kind):
+        self.f = f
+        return self.sparkSession.createDataFrame([], kind)
