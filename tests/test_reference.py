@@ -344,3 +344,34 @@ def test_tokenized_records_are_cut_and_masked(spark):
     rows = {r.rec_id: r for r in tokenize_records(df, lambda: lambda texts: [[ord(c) for c in t] for t in texts], 2, 300).collect()}
     assert rows[1].labels[-3:] == [97, 98, 2] and set(rows[1].labels[:-3]) == {-100} and rows[1].attention_mask == [1] * len(rows[1].input_ids)
     assert len(rows[2].input_ids) == 300 and set(rows[2].labels) == {-100} and rows[3].labels[-1] == 2
+
+
+def test_records_of_one_small_vocabulary_make_few_candidates(spark, tmp_path):
+    """All texts share all shingles of one small vocabulary: tables of common shingles would hold every pair."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(80, 160))) for _ in range(300)]
+    texts += [t + " xyz" for t in texts[:20]] + texts[:15]
+    sets = [set(text.character_shingles(t).tolist()) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])}
+    dedup.sketches(keyed(spark, texts), 0.85).write.parquet(f"{tmp_path}/sketches")
+    drawn = spark.read.parquet(f"{tmp_path}/sketches")
+    found = {(r.a, r.b) for r in dedup.candidates(drawn).collect()}
+    meetings = sum(bool(a & b) for a, b in itertools.combinations(sets, 2))
+    assert want <= found and len(found) < meetings / 20
+    assert {(r.a, r.b) for r in dedup.similar_pairs(keyed(spark, texts)).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6])
+def test_candidates_lose_no_pair_at_other_thresholds_and_block_sizes(spark, monkeypatch, threshold):
+    rng = random.Random(8)
+    monkeypatch.setattr(dedup, "ROWS", 16)
+    base = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (3, 40, 90, 200, 500)]
+    texts = [b[: rng.randrange(1, len(b) + 1)] + "".join(rng.choice("ab") for _ in range(rng.randrange(9))) for b in base for _ in range(24)]
+    sets = [set(text.character_shingles(t).tolist()) for t in texts]
+    like = lambda a, b: len(a & b) > 0 and len(a & b) / len(a | b) >= threshold
+    got = {(r.a, r.b) for r in dedup.similar_pairs(keyed(spark, texts), threshold=threshold).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if like(sets[i], sets[j])}
+    left, right = keyed(spark, texts).where("rec_id < 70"), keyed(spark, texts).where("rec_id >= 70")
+    got = {(r.a, r.b) for r in dedup.similar_pairs(left, right, threshold).collect()}
+    assert got == {(i, j) for i in range(70) for j in range(70, len(texts)) if like(sets[i], sets[j])}

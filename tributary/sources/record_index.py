@@ -1,14 +1,12 @@
 """An index on disk of the records that near dedup has kept, so that a new batch is compared with all earlier ones from
-postings, and only texts of candidates are read.
+sketches, and only texts of candidates are read.
 
 ``add`` gives what the sequential pass over all batches in turn would keep of the last one: what is similar to a kept
 record of an earlier batch goes, and ``near_dedup`` decides among the rest, because kept records never go later.
 
-A layer holds kept keys, by bucket of the id, and their prefix postings, by bucket of the shingle, both in order. Prefixes
-need one order of shingles for all layers: counts by hash of the records kept when the order was made. Any order gives the
-same result; a stale one only more candidates, so that it is made anew when the lowest layer is rewritten at more than
-``STALE`` times those records. A batch is written together with the newest layers that are not twice as large, so that
-there are as many layers as the logarithm of the records, and a record is rewritten as often.
+A layer holds kept keys, by bucket of the id, and their sketches (``dedup.sketches``), about a bit a shingle. A batch is
+written together with the newest layers that are not twice as large, so that there are as many layers as the logarithm of
+the records, and a record is rewritten as often.
 
 A batch counts once its manifest is there (``versions``). A batch whose name the manifest has changes nothing and gives
 what it gave before, so that a job that broke off may run again.
@@ -19,16 +17,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators import dedup
-from tributary.session import save
+from tributary.session import drop_saved, n_saved, save
 from tributary.sources.versions import Conflict, Versions
 
-PARTS, STALE = 64, 4
-_KEYS, _POSTINGS, _ORDER = "rec_id long, key string, batch string, part int", "rec_id long, n long, pos long, h long, part int", "chunk int, counts binary"
+PARTS = 64
+_KEYS = "rec_id long, key string, batch string, part int"
 
 
 class RecordIndex(Versions):
@@ -41,8 +38,8 @@ class RecordIndex(Versions):
             raise ValueError("the threshold must lie between 0 and 1")
 
     def manifest(self) -> dict:
-        """order: [name, records it was made from]; layers from old to new: [name, records]; batches: names."""
-        return self._latest()[1] or {"threshold": self.threshold, "k": self.k, "parts": self.parts, "order": [None, 0], "layers": [], "batches": []}
+        """layers from old to new: [name, records]; batches: names."""
+        return self._latest()[1] or {"threshold": self.threshold, "k": self.k, "parts": self.parts, "layers": [], "batches": []}
 
     def _table(self, layers: list, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.path}/layers/{name}/{kind}" for name, _ in layers]
@@ -54,34 +51,14 @@ class RecordIndex(Versions):
         rows = self._table(self.manifest()["layers"], "keys", _KEYS)
         return (rows if batch is None else rows.where(F.col("batch") == batch)).select("rec_id", "key")
 
-    def _part(self, kind: str) -> Column:
-        return F.pmod(F.xxhash64("rec_id") if kind == "keys" else F.col("h"), F.lit(self.parts)).cast("int").alias("part")
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("rec_id"), F.lit(self.parts)).cast("int").alias("part")
 
-    def _touched(self, rows: DataFrame, part: Column) -> list[int]:
-        return [r["part"] for r in rows.select(part).distinct().collect()]  # at most ``parts`` numbers
-
-    def _load_order(self, name: str) -> np.ndarray:
-        rows = self.spark.read.schema(_ORDER).parquet(f"{self.path}/orders/{name}").collect()  # of one size whatever the data
-        return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["chunk"])])
-
-    def _make_order(self, keys: DataFrame) -> tuple[str, np.ndarray]:
-        name, counts = uuid.uuid4().hex, dedup.bucket_counts(keys, self.k)
-        chunks = [(i, bytearray(x.tobytes())) for i, x in enumerate(counts.reshape(-1, dedup.CHUNK))]
-        self.spark.createDataFrame(chunks, _ORDER).coalesce(1).write.parquet(f"{self.path}/orders/{name}")
-        return name, counts
-
-    def _postings(self, keys: DataFrame, counts) -> DataFrame:
-        found = dedup.prefixes(keys.where("key <> ''").select("rec_id", "key"), counts, self.threshold, self.k, alone=True)
-        return found.select("*", self._part("postings"))
-
-    def _known(self, keys: DataFrame, manifest: dict) -> DataFrame:
+    def _known(self, keys: DataFrame, drawn: DataFrame, manifest: dict) -> DataFrame:
         """rec_id of the records that are similar to an indexed one."""
-        counts = self.spark.sparkContext.broadcast(self._load_order(manifest["order"][0]))
-        new = save(self._postings(keys, counts), "prefixes")
-        old = self._table(manifest["layers"], "postings", _POSTINGS).where(F.col("part").isin(self._touched(new, F.col("part"))))
-        pairs = dedup._candidates(dedup._side(new, "a"), dedup._side(old, "b"), self.threshold, F.lit(True))
-        pairs = save(pairs, "candidates")
-        parts = self._touched(pairs.select(F.col("b").alias("rec_id")), self._part("keys"))
+        old = self._table(manifest["layers"], "sketches", dedup.SKETCH)
+        pairs = save(dedup.candidates(drawn, old, self.threshold).select("a", "b"), "candidates")
+        parts = [r["part"] for r in pairs.select(F.col("b").alias("rec_id")).select(self._part()).distinct().collect()]  # at most ``parts`` numbers
         texts = self._table(manifest["layers"], "keys", _KEYS).where(F.col("part").isin(parts)).select("rec_id", "key")
         return dedup._compared(pairs, keys, texts, self.threshold, self.k).select(F.col("a").alias("rec_id")).distinct()
 
@@ -91,17 +68,26 @@ class RecordIndex(Versions):
         version, manifest = self.version(), self.manifest()
         if batch in manifest["batches"]:
             return self.kept(batch)
-        keys = save(dedup.spread(records.select("rec_id", "key")), "keys")
+        since = n_saved()
+        # dealt by bucket once: a layer's keys are then written without another shuffle of texts
+        dealt = records.select("rec_id", "key").repartition(dedup.shuffle_partitions(self.spark), self._part())
+        keys = save(dealt, "keys", "zstd")
+        drawn = save(dedup.sketches(keys, self.threshold, self.k), "sketches")
+        gone = self.spark.createDataFrame([], "rec_id long")
         if manifest["layers"]:
-            keys = save(keys.join(self._known(keys, manifest), "rec_id", "left_anti"), "keys")
-        new = save(dedup.near_dedup(keys, self.threshold, self.k).select("rec_id", "key", F.lit(batch).alias("batch")), "kept")
+            gone = save(self._known(keys, drawn, manifest), "known")
+            drawn = save(drawn.join(gone, "rec_id", "left_anti"), "sketches")
+        own = n_saved()
+        gone = save(gone.unionByName(dedup.near_copies(keys, drawn, self.threshold, self.k, own)).distinct(), "gone")
+        new = keys.join(gone, "rec_id", "left_anti").withColumn("batch", F.lit(batch))
         total = new.count()
         if total:
-            self._write(new, total, manifest)
+            self._write(new, drawn.join(gone, "rec_id", "left_anti"), total, manifest)
+        drop_saved(self.spark, since)
         self._commit(version + 1, {**manifest, "batches": [*manifest["batches"], batch]})
         return self.kept(batch)
 
-    def _write(self, new: DataFrame, total: int, manifest: dict) -> None:
+    def _write(self, new: DataFrame, drawn: DataFrame, total: int, manifest: dict) -> None:
         """Writes a layer of new and merged records, and changes the manifest to it."""
         layers = manifest["layers"]
         at = len(layers)
@@ -109,24 +95,15 @@ class RecordIndex(Versions):
             at -= 1
             total += layers[at][1]
         merged = layers[at:]
-        keys = new.select("*", self._part("keys")).unionByName(self._table(merged, "keys", _KEYS))
-        if at == 0 and total > STALE * manifest["order"][1]:
-            order, counts = self._make_order(keys.where("key <> ''"))
-            manifest["order"] = [order, total]
-            postings = self._postings(keys, self.spark.sparkContext.broadcast(counts))
-        else:
-            counts = self.spark.sparkContext.broadcast(self._load_order(manifest["order"][0]))
-            postings = self._postings(new, counts).unionByName(self._table(merged, "postings", _POSTINGS))
         name = uuid.uuid4().hex
-        for kind, rows, order in (("keys", keys, ["part", "rec_id"]), ("postings", postings, ["part", "h", "rec_id"])):
-            # by range, so that a shingle of many records is shared out and a bucket still has few files
-            rows.repartitionByRange(dedup.shuffle_partitions(self.spark), *order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/layers/{name}/{kind}")
+        keys = new.select("*", self._part()).unionByName(self._table(merged, "keys", _KEYS))
+        keys.sortWithinPartitions("part", "rec_id").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/layers/{name}/keys")
+        drawn.unionByName(self._table(merged, "sketches", dedup.SKETCH)).write.parquet(f"{self.path}/layers/{name}/sketches")
         manifest["layers"] = [*layers[:at], [name, total]]
 
     def vacuum(self, keep: int = 1) -> int:
-        """Removes layers and orders that the newest ``keep`` manifests don't name; not while others write or read."""
-        orders = self._vacuum("orders", lambda m: [m["order"][0]], keep)
-        return orders + self._vacuum("layers", lambda m: [name for name, _ in m["layers"]], keep)
+        """Removes layers that the newest ``keep`` manifests don't name; not while others write or read."""
+        return self._vacuum("layers", lambda m: [name for name, _ in m["layers"]], keep)
 
 
 __all__ = ["Conflict", "RecordIndex"]
