@@ -373,7 +373,8 @@ def near_dedup(spark, sf_dir):
 @query("near_dedup_batches", _NEAR_DEDUP)
 def near_dedup_batches(spark, sf_dir):
     """Three batches by ranges of ids, one after the other, into an index: what one run over all keeps."""
-    texts = keyed_texts(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("rec_id"), dedup.key_of().alias("key"))  # the index deals them out
     index = RecordIndex(spark, f"{shared_dir(spark)}/record-index-{uuid4().hex}")
     low, high = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
@@ -381,6 +382,7 @@ def near_dedup_batches(spark, sf_dir):
     at = [low, low + (high - low) // 2, low + 9 * (high - low) // 10, high + 1]
     for number in range(3):
         index.add(texts.where((F.col("rec_id") >= at[number]) & (F.col("rec_id") < at[number + 1])), str(number))
+        index.vacuum()  # nobody else has this index
     return index.kept().select("rec_id")
 
 
