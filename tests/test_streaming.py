@@ -1,10 +1,14 @@
 """Streams that keep state, against the same rows as a table."""
 
+import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tributary.functions import text
 from tributary.operators import curate, dedup
 from tributary.streaming import firsts
 from tributary.streaming.streams import read_report, report_stream
@@ -103,3 +107,13 @@ def test_running_report_is_that_of_the_table(spark, tmp_path):
         report_stream(stream, f"{tmp_path}/report", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
     want = {tuple(r) for r in curate.report(curate.classify(rows)).collect()}
     assert {tuple(r) for r in read_report(spark, f"{tmp_path}/report").collect()} == want
+
+
+def test_digests_of_keys_hold_one_text_at_a_time():
+    texts = pa.array([f"Text {i} " + "ＡＢ ß, word! " * 300 for i in range(3000)] + [None, ""])
+    want = [hashlib.md5(text.canonical_text(x).encode()).hexdigest() for x in (texts[0].as_py(), texts[1].as_py(), None, "")]
+    tracemalloc.start()
+    got = text.key_digest.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [got[i].as_py() for i in (0, 1, 3000, 3001)] == want and peak < 2e6

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import string
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +77,13 @@ def record_key(instruction: Column, given: Column) -> Column:
     return canonical(F.concat_ws(" ", filled(instruction), filled(given)))
 
 
+@F.arrow_udf(T.StringType())
+def key_digest(text: pa.Array) -> pa.Array:
+    """md5 of the key of a text, text by text out of Arrow: a task never holds the texts of a batch, or their keys, as
+    Python strings."""
+    return pa.array((hashlib.md5(canonical_text(x.as_py()).encode()).hexdigest() for x in text), pa.string())
+
+
 def fingerprint(text: Column) -> Column:
     return F.md5(canonical(text))
 

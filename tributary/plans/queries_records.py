@@ -346,7 +346,7 @@ def stream_exact_dedup(spark, sf_dir):
     spark.conf.set(*firsts.CHANGELOG)
     folder = f"{shared_dir(spark)}/stream-{uuid4().hex}"
     stream = _arriving(texts(spark, sf_dir), f"{folder}/in")
-    keyed = stream.select("rec_id", F.md5(text.canonical(F.col("output"))).alias("key"))  # texts stay behind
+    keyed = stream.select("rec_id", text.key_digest(F.col("output")).alias("key"))  # texts stay behind
     changes = firsts.first_changes(keyed, F.col("key")).select("rec_id", "fingerprint", "replaces")
     sink = changes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
