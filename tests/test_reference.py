@@ -375,3 +375,21 @@ def test_candidates_lose_no_pair_at_other_thresholds_and_block_sizes(spark, monk
     left, right = keyed(spark, texts).where("rec_id < 70"), keyed(spark, texts).where("rec_id >= 70")
     got = {(r.a, r.b) for r in dedup.similar_pairs(left, right, threshold).collect()}
     assert got == {(i, j) for i in range(70) for j in range(70, len(texts)) if like(sets[i], sets[j])}
+
+
+def test_pairs_of_a_crowd_are_compared_without_a_text_a_pair(spark, monkeypatch, capsys):
+    """Keys go to tasks once for the pairs of two shares of a crowd, also where a crowd is cut into many shares."""
+    rng = random.Random(21)
+    monkeypatch.setattr(dedup, "TOGETHER", 2000)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3)]
+    texts = [b[:at] + rng.choice("xyz") + b[at + 1 :] for b in base for at in rng.sample(range(300), 20)] + ["alone", "other"]
+    sets = [set(text.character_shingles(t).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    every = spark.createDataFrame(list(itertools.combinations(range(len(texts)), 2)), "a long, b long")
+    keys = keyed(spark, texts)
+    found = dedup._compared(every, keys, keys, 0.85, 5)
+    assert {(r.a, r.b): r.similarity for r in found.collect()} == {(i, j): alike(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if alike(i, j) >= 0.85}
+    both = dedup._compared(every.where("b < 30"), keys, keyed(spark, texts).where("rec_id < 30"), 0.85, 5)
+    assert {(r.a, r.b) for r in both.collect()} == {(i, j) for i, j in itertools.combinations(range(30), 2) if alike(i, j) >= 0.85}
+    found.explain()
+    assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
