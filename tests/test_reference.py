@@ -393,3 +393,26 @@ def test_pairs_of_a_crowd_are_compared_without_a_text_a_pair(spark, monkeypatch,
     assert {(r.a, r.b) for r in both.collect()} == {(i, j) for i, j in itertools.combinations(range(30), 2) if alike(i, j) >= 0.85}
     found.explain()
     assert "FlatMapCoGroupsInArrow" in capsys.readouterr().out
+
+
+def test_crowds_are_left_out_with_one_pass_over_all_sketches(spark, monkeypatch):
+    """Records are compared again only where they had too many candidates; large widths are cut into tiles of like work."""
+    rng = random.Random(9)
+    passes, real = [], dedup.candidates
+    monkeypatch.setattr(dedup, "candidates", lambda left, right=None, *args: (passes.append(right is None), real(left, right, *args))[1])
+    monkeypatch.setattr(dedup, "CROWD", 3)
+    texts = []
+    for base in ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(4)):
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                t[rng.randrange(len(t))] = rng.choice("xyz")
+            texts.append("".join(t))
+    rng.shuffle(texts)
+    sets, kept = [set(text.character_shingles(t).tolist()) for t in texts], []
+    for i, s in enumerate(sets):
+        if not any(len(s & sets[j]) / len(s | sets[j]) >= 0.85 for j in kept):
+            kept.append(i)
+    assert sorted(r.rec_id for r in dedup.near_dedup(keyed(spark, texts)).collect()) == kept
+    assert passes.count(True) == 1 and len(passes) > 1
+    assert dedup._tiles([[(1024, 1_060_000)]], False)[1] >= 45
